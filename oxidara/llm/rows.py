@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +16,23 @@ def own_columns(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     return frame.select(*[F.col(f"`{column}`").alias(own) for own, column in names.items()])
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut: written to the folder that the cluster shares.
+
+    The folder is the one in spark.checkpoint.dir.  Only where that is unset, as in tests on one machine, a
+    temporary folder is taken."""
+    context = frame.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return frame.checkpoint()
+
+
+def fold(column: str, parts: int):
+    """crc32 of a number as text, modulo parts."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
