@@ -92,11 +92,17 @@ def runs(column: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iter
 
 def words(run: Run, inside: np.ndarray) -> Words:
     """The words of a run; inside: for each of the 256 bytes, if it is part of a word."""
+    begin, end, owner = borders(run, inside)
+    return Words(begin, end, owner, spans(run.data, begin, end))
+
+
+def borders(run: Run, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a run begin and end, and their rows."""
     data, offsets = run.data, run.offsets
     n = len(data)
     if not n:
         none = np.empty(0, dtype=np.int64)
-        return Words(none, none, none, none.astype(np.uint64))
+        return none, none, none
     solid = inside[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
@@ -105,8 +111,7 @@ def words(run: Run, inside: np.ndarray) -> Words:
     first[edge] = solid[edge]
     last[edge - 1] = solid[edge - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    owner = np.searchsorted(offsets, begin, side="right") - 1
-    return Words(begin, end, owner, spans(data, begin, end))
+    return begin, end, np.searchsorted(offsets, begin, side="right") - 1
 
 
 def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
