@@ -35,7 +35,7 @@ from oxidara.llm.rows import own_columns
 #: Leaves of pairs that cannot merge.
 NONE = np.int64(1) << 62
 #: Words remembered by one Python worker; beyond it the memory starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Characters tokenized at a time inside a task; texts are never split, a longer one goes alone.
 CHUNK_CHARS = 3_000_000
 #: Cells of the tree matrix that are worked on at a time.
