@@ -31,7 +31,7 @@ from oxidara.llm.rows import own_columns
 from oxidara.llm.words import Run, borders, letters_and_digits, mix, prefix_sums, runs, spans
 
 WINDOW, STRIDE = 32, 16
-SAMPLE = 6000
+SAMPLE = 3000
 HASH_BITS = 18
 #: Bytes of a word's beginnings and of its end that are inputs beside the whole word.
 HEADS, TAIL = (3, 4, 5, 6), 4
@@ -241,7 +241,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     for run in runs(pa.array(texts, pa.large_string()), lower=True):
         found, owner = word_hashes(run)
         cuts = np.cumsum(np.bincount(owner, minlength=run.rows))
-        places += np.split(found, cuts[:-1], axis=1)
+        places += np.split(found.astype(np.int32), cuts[:-1], axis=1)
     half = r.permutation(len(texts)) % 2
     tables = [log_odds([p for p, h in zip(places, half, strict=True) if h != k], toxic[half != k]) for k in (0, 1)]
     each = [inputs(tables[h], p) for p, h in zip(places, half.tolist(), strict=True)]
@@ -299,9 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample:
     chosen = known.where(spot < F.when(F.col("label") == 1, least[1]).otherwise(least[0])).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
     # about ``sample`` labels, whatever the size of the input: bounded, so they may be broadcast
-    found = rows.join(F.broadcast(chosen.limit(2 * sample)), "doc_id").select("doc_id", "text", "label").toPandas()
-    found = found.sort_values(["doc_id", "text"], kind="stable")  # training does not depend on Spark's order
-    return fit_texts([t if isinstance(t, str) else "" for t in found["text"]], found["label"].to_numpy())
+    found = rows.join(F.broadcast(chosen.limit(2 * sample)), "doc_id").select("doc_id", "text", "label").collect()
+    found.sort(key=lambda row: (row["doc_id"], row["text"] or ""))  # training does not depend on Spark's order
+    return fit_texts([row["text"] or "" for row in found], np.array([row["label"] for row in found]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
