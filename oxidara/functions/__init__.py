@@ -1 +1 @@
-
+"""Special functions."""

@@ -1 +1 @@
-
+"""Dataframe operators of the analytics."""

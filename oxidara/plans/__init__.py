@@ -1 +1 @@
-
+"""Queries made of the operators."""

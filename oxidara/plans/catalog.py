@@ -1,11 +1,258 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables: a fleet read out of lineitem, screened, fitted, searched for faults and forecast.
+
+A supplier is an aircraft, a return flag a component, the running quantity the damage of the part that is installed.  ``_FLEET`` and
+``_DIRTY`` are plain SQL that Spark and DuckDB understand alike; everything behind them is built from the operators."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oxidara.operators import faults, forecast, ingest, wear
+
+K, N_MONTHS, HORIZON = 3, 83, 18
+BETA, SIGMA, MU, TAU, LIMIT = 0.05, 0.2, -0.7985076962177716, 0.2, 7.9
+
+_FLEET = """
+WITH m AS (SELECT l_suppkey + 1 AS tail, l_returnflag AS component, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month,
+    CAST(count(*) * 10 AS DOUBLE) AS usage_hours, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT *, CAST(sum(q) OVER (PARTITION BY tail, component ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cq FROM m),
+s AS (SELECT tail, component, CASE component WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS comp, CAST(floor(cq / 800.0) AS BIGINT) AS ep, month, usage_hours, cq FROM c),
+fleet AS (SELECT tail, component, comp, (tail - 1) * 3 + comp AS chan, (tail * 3 + comp) * 1000 + ep AS serial, month, usage_hours, (cq - 800.0 * ep) / 100.0 AS reading FROM s)
+"""
+_DIRTY = """
+SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'T9999999' ELSE concat('T', CAST(l_suppkey AS STRING)) END AS tail,
+    CASE WHEN l_orderkey % 89 = 0 THEN 'ZZZ' ELSE l_returnflag END AS component,
+    CAST(l_orderkey AS STRING) AS serial, CAST(l_linenumber + CASE WHEN l_orderkey % 83 = 0 THEN 100 ELSE 0 END AS STRING) AS month,
+    CASE WHEN l_orderkey % 101 = 0 THEN 'n/a' WHEN l_orderkey % 103 = 0 THEN 'inf' ELSE CAST(CAST(l_quantity * CASE WHEN l_orderkey % 79 = 0 THEN -1 WHEN l_orderkey % 71 = 0 THEN 100 ELSE 1 END AS INT) AS STRING) END AS usage_hours,
+    CASE WHEN l_orderkey % 107 = 0 THEN '3d' ELSE CAST(CAST(l_quantity * CASE WHEN l_orderkey % 73 = 0 THEN -1 ELSE 1 END AS INT) % 36 AS STRING) END AS reading,
+    l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem
+"""
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> None:
+    spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _view(spark, sf_dir)
+    return spark.sql(_FLEET + "SELECT * FROM fleet")
+
+
+def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wear.sequence_columns(fleet(spark, sf_dir))
+
+
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _view(spark, sf_dir)
+    roster = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("tail"))
+    return ingest.screen(spark.sql(_DIRTY), roster, ["A", "N", "R"], 8, ["l_partkey", "l_suppkey"], jump=12.0)
+
+
+def _with_params(rows: DataFrame) -> DataFrame:
+    for name, value in (("beta", BETA), ("sigma", SIGMA), ("mu", MU), ("tau", TAU)):
+        rows = rows.withColumn(name, F.lit(value))
+    return rows.withColumn("alpha", F.exp(F.col("mu") + F.col("tau") * F.col("tau") / 2))
+
+
+def q_ingest_reason_counts(spark, d):
+    return ingest.reason_counts(screened(spark, d))
+
+
+def q_ingest_row_reasons(spark, d):
+    return ingest.quarantine(screened(spark, d)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "reason")
+
+
+def q_ingest_reconcile(spark, d):
+    return ingest.reconcile(screened(spark, d))
+
+
+def q_encode_channels(spark, d):
+    rows = wear.encode(ingest.clean(screened(spark, d)), ["A", "N", "R"])
+    return rows.groupBy("chan", "comp").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("reading"), 3).alias("total"))
+
+
+def q_increments_by_serial(spark, d):
+    return wear.increments(sequenced(spark, d)).select("chan", "serial", "month", F.round("d", 6).alias("d"), "gap", "du")
+
+
+def q_channel_increment_stats(spark, d):
+    rows = wear.unit_stats(wear.increments(sequenced(spark, d)))
+    return rows.select("chan", "n_incr", "n_seg", F.round("sdu", 3).alias("sdu"), F.round("sd", 4).alias("sd"), F.round("rate", 6).alias("rate"), F.round("ve", 4).alias("ve"))
+
+
+def q_segments_per_channel(spark, d):
+    return sequenced(spark, d).groupBy("chan").agg(F.max("seg").alias("n_parts"), F.count_if("install").alias("n_installs"))
+
+
+def q_prefix_suffix_sums(spark, d):
+    rows = faults.prefix_sums(sequenced(spark, d))
+    return rows.select("chan", "month", F.round("pre_d", 4).alias("pre_d"), F.round("pre_u", 2).alias("pre_u"), F.col("pre_n").cast("bigint").alias("pre_n"), (F.round(F.col("all_d") - F.col("pre_d"), 4) + 0.0).alias("post_d"))
+
+
+def q_install_offset(spark, d):
+    return faults.install_offsets(_with_params(sequenced(spark, d))).select("chan", "serial", "month", F.round("reading", 4).alias("reading"))
+
+
+def q_stuck_runs(spark, d):
+    return faults.stuck_runs(sequenced(spark, d)).groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_dropout_trailing(spark, d):
+    return faults.dropouts(fleet(spark, d), N_MONTHS).select("chan", "first_seen", "n_obs", "missing", "dropout")
+
+
+def q_usage_mean_logsd(spark, d):
+    return forecast.usage_by_tail(fleet(spark, d)).select("tail", F.round("usage", 6).alias("usage"), F.round("log_sd", 6).alias("log_sd"))
+
+
+def q_latest_reading(spark, d):
+    return forecast.latest(fleet(spark, d)).select("chan", "serial", "month", F.round("reading", 4).alias("reading"))
+
+
+def _failures(rows: DataFrame) -> DataFrame:
+    """The parts that another one followed on their channel."""
+    last = rows.groupBy("chan").agg(F.max("serial").alias("last"))
+    return rows.join(last, "chan").where("serial < last").select("serial").distinct()
+
+
+def _comps(spark: SparkSession) -> DataFrame:
+    return spark.range(1, K + 1).select(F.col("id").cast("int").alias("comp"), F.lit(SIGMA).alias("sigma"))
+
+
+def q_threshold_quantile(spark, d):
+    rows = fleet(spark, d)
+    return forecast.thresholds(rows, _failures(rows), _comps(spark)).select("comp", F.round("threshold", 6).alias("threshold"))
+
+
+def q_fit_components(spark, d):
+    comps, _ = wear.fit(sequenced(spark, d))
+    return comps
+
+
+def q_spike_pvalue(spark, d):
+    rows = faults.spikes(_with_params(wear.increments(sequenced(spark, d))))
+    return rows.select("chan", "serial", "month", F.round("p_spike", 6).alias("p"))
+
+
+def q_changepoint_scan(spark, d):
+    return faults.persistence(faults.change_points(_with_params(sequenced(spark, d))))
+
+
+def q_fault_isolation(spark, d):
+    rows = _with_params(sequenced(spark, d))
+    return faults.isolate(rows, rows.select("chan"), N_MONTHS)
+
+
+def q_flag_histogram(spark, d):
+    return q_fault_isolation(spark, d).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _state(spark, d) -> DataFrame:
+    rows = fleet(spark, d)
+    none = rows.select("chan").limit(0)
+    posterior = none.select("chan", *[F.lit(0.0).alias(c) for c in ("la_mu", "la_var", "shrink")], F.lit(0).alias("n_incr"))
+    params = _comps(spark).select("comp", F.lit(BETA).alias("beta"), F.lit(MU).alias("mu"), F.lit(TAU).alias("tau"), F.lit(LIMIT).alias("threshold"))
+    usage = forecast.usage_by_tail(rows).select("tail", "usage")
+    return forecast.damage_state(rows, posterior, none.select("chan", F.lit(0).alias("class")), params, usage, N_MONTHS)
+
+
+def q_damage_state(spark, d):
+    return _state(spark, d).select("chan", "basis", F.round("x0", 5).alias("x0"), F.round("usage", 5).alias("usage"))
+
+
+def q_rul(spark, d):
+    return forecast.forecast(_state(spark, d), HORIZON).select("chan", "p05", "p50", "p95", "pfail")
+
+
+def q_expected_failures(spark, d):
+    return forecast.expected_by_month(forecast.forecast(_state(spark, d), HORIZON))
+
+
+def q_mc_availability(spark, d):
+    state = _state(spark, d).withColumn("log_sd", F.lit(0.2))
+    tails = state.agg(F.max("tail")).first()[0]
+    runs = forecast.availability(state, HORIZON, 20, tails, 11, (0.3, 0.4, 0.9, 2.0))
+    return forecast.nearest_rank(runs, ["month"], "available", {"p05": 0.05, "p95": 0.95})
+
+
+def q_nearest_rank(spark, d):
+    return forecast.nearest_rank(fleet(spark, d).withColumn("x", F.round("reading", 4)), ["comp"], "x", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).withColumn("mean", F.round("mean", 6))
+
+
+def q_calibration_bins(spark, d):
+    rows = fleet(spark, d).select((F.col("reading") / 8).alias("p"), (F.col("month") % 2).alias("y"))
+    return forecast.calibration(rows, "p", "y").select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("observed", 6).alias("observed"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels most likely to fail within the horizon."""
+    return forecast.forecast(_state(spark, sf_dir), HORIZON).select("chan", "tail", "comp", "basis", "x0", "pfail", "p05", "p50", "p95").orderBy(F.desc("pfail"), "chan").limit(25)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return found | {"top_risk": flagship}
+
 
-def queries() -> dict:
-    return {}
+_TAGGED = f"""
+WITH raw AS ({_DIRTY}), t AS (SELECT *, CAST(serial AS DOUBLE) AS s, CAST(month AS DOUBLE) AS m, TRY_CAST(usage_hours AS DOUBLE) AS u, TRY_CAST(reading AS DOUBLE) AS r,
+    row_number() OVER (PARTITION BY tail, component, serial, month ORDER BY l_partkey, l_suppkey) AS copy FROM raw),
+g AS (SELECT *, list_filter([CASE WHEN u IS NULL THEN 'TYPE' END, CASE WHEN r IS NULL THEN 'TYPE' END,
+    CASE WHEN tail NOT IN (SELECT concat('T', CAST(s_suppkey AS STRING)) FROM supplier) THEN 'UNKNOWN_TAIL' END,
+    CASE WHEN component NOT IN ('A', 'N', 'R') THEN 'UNKNOWN_COMP' END, CASE WHEN m < 0 OR m >= 8 THEN 'MONTH_RANGE' END,
+    CASE WHEN u < 0 THEN 'USAGE_NEGATIVE' END, CASE WHEN u IS NULL OR isinf(u) THEN 'USAGE_NONFINITE' END, CASE WHEN u > 744 THEN 'USAGE_FENCE' END,
+    CASE WHEN copy > 1 THEN 'DUPLICATE' END, CASE WHEN r < -1 THEN 'READING_NEGATIVE' END, CASE WHEN r > 30 THEN 'READING_FENCE' END], lambda x: x IS NOT NULL) AS first_tags FROM t),
+p AS (SELECT *, lag(r) OVER w AS b, lead(r) OVER w AS a FROM g WINDOW w AS (PARTITION BY tail, component, s, len(first_tags) = 0 ORDER BY m)),
+tagged AS (SELECT *, CASE WHEN len(first_tags) = 0 AND abs(r - b) > 12 AND abs(r - a) > 12 AND abs(a - b) < 6 THEN ['POINT_OUTLIER'] ELSE first_tags END AS tags FROM p)
+"""
+_SEQ = (
+    _FLEET
+    + """, w1 AS (SELECT *, lag(serial) OVER w AS ps, lag(month) OVER w AS pm, lag(reading) OVER w AS pr, row_number() OVER w AS rn FROM fleet WINDOW w AS (PARTITION BY chan ORDER BY month, serial)),
+q AS (SELECT *, coalesce(serial = ps, false) AS same, CASE WHEN serial = ps THEN reading - pr END AS d, CASE WHEN serial = ps THEN month - pm END AS gap, CASE WHEN serial = ps THEN usage_hours * (month - pm) END AS du FROM w1)
+"""
+)
+_UNITS = _SEQ + ", i AS (SELECT *, greatest(sum(d) OVER (PARTITION BY chan) / greatest(sum(du) OVER (PARTITION BY chan), 2.220446049250313e-16), 1e-6) AS rate FROM q WHERE same AND du > 0)\n"
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "ingest_reason_counts": _TAGGED + "SELECT reason, count(*) AS n_rows FROM (SELECT unnest(tags) AS reason FROM tagged) GROUP BY 1",
+        "ingest_row_reasons": _TAGGED + "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, array_to_string(tags, ';') AS reason FROM tagged WHERE len(tags) > 0",
+        "ingest_reconcile": _TAGGED + "SELECT count(*) AS rows_in, count(*) FILTER (len(tags) = 0) AS rows_clean, count(*) FILTER (len(tags) > 0) AS rows_quarantined, round(count(*) FILTER (len(tags) > 0) / count(*), 5) AS quarantine_frac FROM tagged",
+        "encode_channels": _TAGGED
+        + "SELECT l_suppkey * 3 + CASE component WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS chan, CASE component WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS comp, count(*) AS n_rows, round(sum(r), 3) AS total FROM tagged WHERE len(tags) = 0 GROUP BY 1, 2",
+        "increments_by_serial": _SEQ + "SELECT chan, serial, month, round(d, 6) AS d, gap, du FROM q WHERE same AND du > 0",
+        "channel_increment_stats": _UNITS
+        + "SELECT chan, count(*) AS n_incr, count(DISTINCT serial) AS n_seg, round(sum(du), 3) AS sdu, round(sum(d), 4) AS sd, round(any_value(rate), 6) AS rate, round(sum((d - rate * du) * (d - rate * du)), 4) AS ve FROM i GROUP BY chan",
+        "segments_per_channel": _SEQ + "SELECT chan, count(*) FILTER (NOT same) AS n_parts, count(*) FILTER (NOT same AND rn > 1) AS n_installs FROM q GROUP BY chan",
+        "prefix_suffix_sums": _SEQ
+        + """, x AS (SELECT *, CASE WHEN same AND du > 0 THEN d ELSE 0 END AS xd, CASE WHEN same AND du > 0 THEN du ELSE 0 END AS xu, CASE WHEN same AND du > 0 THEN 1 ELSE 0 END AS xn FROM q)
+SELECT chan, month, round(coalesce(sum(xd) OVER w, 0), 4) AS pre_d, round(coalesce(sum(xu) OVER w, 0), 2) AS pre_u, CAST(coalesce(sum(xn) OVER w, 0) AS BIGINT) AS pre_n, round(sum(xd) OVER (PARTITION BY chan) - coalesce(sum(xd) OVER w, 0), 4) + 0.0 AS post_d
+FROM x WINDOW w AS (PARTITION BY chan ORDER BY month, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        "install_offset": _SEQ + f"SELECT chan, serial, month, round(reading, 4) AS reading FROM q WHERE NOT same AND rn > 1 AND abs(reading) > 5 * {SIGMA}",
+        "stuck_runs": _SEQ
+        + """, r AS (SELECT *, coalesce(abs(reading - pr) < 1e-9, false) AS rep FROM q), n AS (SELECT *, sum(CASE WHEN rep THEN 0 ELSE 1 END) OVER (PARTITION BY chan ORDER BY month, serial ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT run, count(*) AS n_rows FROM (SELECT CAST(sum(CASE WHEN rep THEN 1 ELSE 0 END) OVER (PARTITION BY chan, island ORDER BY month, serial ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM n) GROUP BY run""",
+        "dropout_trailing": _FLEET
+        + ", g AS (SELECT chan, min(month) AS first_seen, count(*) AS n_obs, least(12, 82 - min(month) + 1) AS span, count(*) FILTER (month > 70) AS recent FROM fleet GROUP BY chan) SELECT chan, first_seen, n_obs, span - recent AS missing, span - recent >= 5 AND span - recent >= 0.4 * span AS dropout FROM g",
+        "usage_mean_logsd": _FLEET + "SELECT tail, round(avg(usage_hours), 6) AS usage, round(stddev_samp(ln(usage_hours)), 6) AS log_sd FROM fleet GROUP BY tail",
+        "latest_reading": _FLEET + "SELECT chan, serial, month, round(reading, 4) AS reading FROM (SELECT *, row_number() OVER (PARTITION BY chan ORDER BY month DESC, serial DESC) AS k FROM fleet) WHERE k = 1",
+        "threshold_quantile": _FLEET
+        + f", f AS (SELECT serial, comp, max(reading) AS most FROM fleet WHERE serial < (SELECT max(serial) FROM fleet AS o WHERE o.chan = fleet.chan) GROUP BY 1, 2) SELECT comp, round(CASE WHEN count(*) >= 20 THEN quantile_cont(most, 0.97) - 1.88 * {SIGMA} END, 6) AS threshold FROM f GROUP BY comp",
+        "spike_pvalue": _SEQ
+        + f""", a AS (SELECT chan, serial, month, exp({MU} + {TAU} * {TAU} / 2) * {BETA} * du AS mean, exp({MU} + {TAU} * {TAU} / 2) * {BETA} * {BETA} * du + 2 * {SIGMA} * {SIGMA} AS var, d FROM q WHERE same AND du > 0),
+b AS (SELECT chan, serial, month, mean * mean / var AS k, greatest(d, 0) * mean / var AS x FROM a)
+SELECT chan, serial, month, round(1 - CASE WHEN x = 0 THEN 0 ELSE list_sum(list_transform(range(0, CAST(x + 10 * sqrt(x) AS BIGINT) + 60), lambda n: exp((k + n) * ln(x) - x - lgamma(k + n + 1)))) END, 6) AS p FROM b""",
+        "damage_state": _FLEET
+        + f""", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chan ORDER BY month DESC, serial DESC) AS k FROM fleet) WHERE k = 1), us AS (SELECT tail, avg(usage_hours) AS usage FROM fleet GROUP BY tail),
+j AS (SELECT l.*, usage, 82 - month AS age FROM l JOIN us USING (tail))
+SELECT chan, CASE WHEN age > 3 THEN 'stale_reading_projected' ELSE 'reading' END AS basis, round(least(greatest(CASE WHEN age > 3 THEN reading + exp({MU} + {TAU} * {TAU} / 2) * {BETA} * usage * age ELSE reading END, 0), 0.995 * {LIMIT}), 5) AS x0, round(usage, 5) AS usage FROM j""",
+        "nearest_rank": _FLEET
+        + """, o AS (SELECT comp, round(reading, 4) AS x, row_number() OVER (PARTITION BY comp ORDER BY round(reading, 4)) AS r, count(*) OVER (PARTITION BY comp) AS n FROM fleet)
+SELECT comp, round(avg(x), 6) AS mean, max(x) FILTER (r = greatest(1, least(n, round(0.05 * n)))) AS p05, max(x) FILTER (r = greatest(1, least(n, round(0.5 * n)))) AS p50, max(x) FILTER (r = greatest(1, least(n, round(0.95 * n)))) AS p95 FROM o GROUP BY comp""",
+        "calibration_bins": _FLEET
+        + "SELECT CAST(greatest(1, ceil(round(reading / 8 * 10, 9))) AS INT) AS bin, count(*) AS n, round(avg(reading / 8), 6) AS mean_p, round(avg(CAST(month % 2 AS DOUBLE)), 6) AS observed FROM fleet GROUP BY 1",
+    }

@@ -1 +1 @@
-
+"""Readers, sinks and the store between steps."""

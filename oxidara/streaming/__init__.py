@@ -1 +1 @@
-
+"""Kept free: the analytics work on whole histories; no operator of theirs is a stream."""
