@@ -28,7 +28,7 @@ SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'T9999999' ELSE concat('T', CAST(l_sup
     CAST(l_orderkey AS STRING) AS serial, CAST(l_linenumber + CASE WHEN l_orderkey % 83 = 0 THEN 100 ELSE 0 END AS STRING) AS month,
     CASE WHEN l_orderkey % 101 = 0 THEN 'n/a' WHEN l_orderkey % 103 = 0 THEN 'inf' ELSE CAST(CAST(l_quantity * CASE WHEN l_orderkey % 79 = 0 THEN -1 WHEN l_orderkey % 71 = 0 THEN 100 ELSE 1 END AS INT) AS STRING) END AS usage_hours,
     CASE WHEN l_orderkey % 107 = 0 THEN '3d' ELSE CAST(CAST(l_quantity * CASE WHEN l_orderkey % 73 = 0 THEN -1 ELSE 1 END AS INT) % 36 AS STRING) END AS reading,
-    l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem
+    l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem
 """
 
 
@@ -48,7 +48,7 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     _view(spark, sf_dir)
     roster = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("tail"))
-    return ingest.screen(spark.sql(_DIRTY), roster, ["A", "N", "R"], 8, ["l_partkey", "l_suppkey"], jump=12.0)
+    return ingest.screen(spark.sql(_DIRTY), roster, ["A", "N", "R"], 8, ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], jump=12.0)
 
 
 def _with_params(rows: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TAGGED = f"""
 WITH raw AS ({_DIRTY}), t AS (SELECT *, CAST(serial AS DOUBLE) AS s, CAST(month AS DOUBLE) AS m, TRY_CAST(usage_hours AS DOUBLE) AS u, TRY_CAST(reading AS DOUBLE) AS r,
-    row_number() OVER (PARTITION BY tail, component, serial, month ORDER BY l_partkey, l_suppkey) AS copy FROM raw),
+    row_number() OVER (PARTITION BY tail, component, serial, month ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS copy FROM raw),
 g AS (SELECT *, list_filter([CASE WHEN u IS NULL THEN 'TYPE' END, CASE WHEN r IS NULL THEN 'TYPE' END,
     CASE WHEN tail NOT IN (SELECT concat('T', CAST(s_suppkey AS STRING)) FROM supplier) THEN 'UNKNOWN_TAIL' END,
     CASE WHEN component NOT IN ('A', 'N', 'R') THEN 'UNKNOWN_COMP' END, CASE WHEN m < 0 OR m >= 8 THEN 'MONTH_RANGE' END,
