@@ -205,7 +205,7 @@ class Scorer:
 
 def linear_scorer(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Scorer:
     """Logistic regression on standardised features by gradient descent with momentum estimates (Adam)."""
-    scale = np.sqrt((x.astype(np.float64) ** 2).mean(axis=0)).astype(np.float32)
+    scale = np.sqrt((x.astype(np.float64) ** 2).sum(axis=0) / max(len(x), 1)).astype(np.float32)
     scale = np.where(scale > 0, np.maximum(scale, 1e-3), 1).astype(np.float32)
     z = x / scale
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
