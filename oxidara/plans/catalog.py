@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oxidara.operators import faults, forecast, ingest, wear
+from oxidara.operators import faults, forecast, ingest, scoring, wear
+from oxidara.sources.store import examples
 
 K, N_MONTHS, HORIZON = 3, 83, 18
 BETA, SIGMA, MU, TAU, LIMIT = 0.05, 0.2, -0.7985076962177716, 0.2, 7.9
@@ -187,6 +188,47 @@ def q_calibration_bins(spark, d):
     return forecast.calibration(rows, "p", "y").select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("observed", 6).alias("observed"))
 
 
+def _outcomes(spark, d) -> DataFrame:
+    return fleet(spark, d).select("comp", "chan", "month", (F.col("reading") / 8).alias("p"), (F.col("month") % 2).alias("y"), (F.col("serial") % 4).alias("predicted"))
+
+
+def q_brier_by_group(spark, d):
+    found = scoring.brier(_outcomes(spark, d), "p", "y", ["comp"])
+    return found.select("comp", "n", F.round("brier", 6).alias("brier"), F.round("base", 6).alias("base"))
+
+
+def q_confusion_matrix(spark, d):
+    return scoring.confusion(_outcomes(spark, d), "y", "predicted")
+
+
+def q_conditional_coverage(spark, d):
+    return scoring.conditional_coverage(_outcomes(spark, d), "p").withColumn("benchmark", F.round("benchmark", 6))
+
+
+def q_row_matched_recall(spark, d):
+    rows = _outcomes(spark, d)
+    return scoring.matched_recall(rows.where("p > 0.25"), rows.where("y = 1"), ["chan", "month"])
+
+
+def q_excluded_channels_anti(spark, d):
+    rows = fleet(spark, d)
+    return rows.join(rows.where("reading > 7.9").select("chan").distinct(), "chan", "left_anti").groupBy("chan").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_failed_serial_max(spark, d):
+    rows = fleet(spark, d)
+    return rows.join(_failures(rows), "serial", "left_semi").groupBy("comp", "serial").agg(F.round(F.max("reading"), 4).alias("most"))
+
+
+def q_tail_spine_usage_fallback(spark, d):
+    rows = forecast.dense_usage(fleet(spark, d).where("tail % 7 <> 3"))
+    return rows.select("tail", F.round("usage", 6).alias("usage"), F.round("log_sd", 6).alias("log_sd"))
+
+
+def q_examples_by_basis(spark, d):
+    return examples(_state(spark, d).select("basis", "comp", "chan"), ["basis", "comp"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channels most likely to fail within the horizon."""
     return forecast.forecast(_state(spark, sf_dir), HORIZON).select("chan", "tail", "comp", "basis", "x0", "pfail", "p05", "p50", "p95").orderBy(F.desc("pfail"), "chan").limit(25)
@@ -253,6 +295,16 @@ SELECT chan, CASE WHEN age > 3 THEN 'stale_reading_projected' ELSE 'reading' END
         "nearest_rank": _FLEET
         + """, o AS (SELECT comp, round(reading, 4) AS x, row_number() OVER (PARTITION BY comp ORDER BY round(reading, 4)) AS r, count(*) OVER (PARTITION BY comp) AS n FROM fleet)
 SELECT comp, round(avg(x), 6) AS mean, max(x) FILTER (r = greatest(1, least(n, round(0.05 * n)))) AS p05, max(x) FILTER (r = greatest(1, least(n, round(0.5 * n)))) AS p50, max(x) FILTER (r = greatest(1, least(n, round(0.95 * n)))) AS p95 FROM o GROUP BY comp""",
+        "brier_by_group": _FLEET + "SELECT comp, count(*) AS n, round(avg(pow(reading / 8 - month % 2, 2)), 6) AS brier, round(var_pop(CAST(month % 2 AS DOUBLE)), 6) AS base FROM fleet GROUP BY comp",
+        "confusion_matrix": _FLEET + "SELECT month % 2 AS true_class, serial % 4 AS predicted_class, count(*) AS n FROM fleet GROUP BY 1, 2",
+        "conditional_coverage": _FLEET
+        + "SELECT count(*) AS n, round(avg(CASE WHEN reading / 8 <= 0.05 THEN 0 WHEN reading / 8 >= 0.95 THEN 0.9 / (reading / 8) ELSE (reading / 8 - 0.05) / (reading / 8) END), 6) AS benchmark FROM fleet",
+        "row_matched_recall": _FLEET + "SELECT count(*) AS planted, count(*) FILTER (hit) AS found FROM (SELECT chan, month, bool_or(reading / 8 > 0.25) AS hit FROM fleet WHERE month % 2 = 1 GROUP BY 1, 2)",
+        "excluded_channels_anti": _FLEET + "SELECT chan, count(*) AS n_rows FROM fleet WHERE chan NOT IN (SELECT chan FROM fleet WHERE reading > 7.9) GROUP BY chan",
+        "failed_serial_max": _FLEET + ", l AS (SELECT chan, max(serial) AS last FROM fleet GROUP BY chan) SELECT comp, serial, round(max(reading), 4) AS most FROM fleet JOIN l USING (chan) WHERE serial < last GROUP BY 1, 2",
+        "tail_spine_usage_fallback": _FLEET
+        + """, o AS (SELECT tail, avg(usage_hours) AS usage, stddev_samp(ln(usage_hours)) AS sd FROM fleet WHERE tail % 7 <> 3 GROUP BY tail), f AS (SELECT avg(usage) AS mu, median(sd) AS md, max(tail) AS top FROM o)
+SELECT t.tail, round(coalesce(usage, mu), 6) AS usage, round(coalesce(sd, md, 0), 6) AS log_sd FROM (SELECT unnest(range(1, top + 1)) AS tail, mu, md FROM f) t LEFT JOIN o ON o.tail = t.tail""",
         "calibration_bins": _FLEET
         + "SELECT CAST(greatest(1, ceil(round(reading / 8 * 10, 9))) AS INT) AS bin, count(*) AS n, round(avg(reading / 8), 6) AS mean_p, round(avg(CAST(month % 2 AS DOUBLE)), 6) AS observed FROM fleet GROUP BY 1",
     }
