@@ -55,7 +55,7 @@ def damage_state(rows: DataFrame, posterior: DataFrame, flags: DataFrame, params
     x0 = F.when(model, step * (n_months - F.col("installed"))).when(stale, F.col("reading") + step * age).otherwise(F.col("reading"))
     basis = F.when(model, "usage_model").when(stale, "stale_reading_projected").otherwise("reading")
     now = now.withColumn("basis", basis).withColumn("x0", F.least(F.greatest(x0, F.lit(0.0)), 0.995 * F.col("threshold")))
-    return now.select("chan", "tail", "comp", "serial", "basis", "x0", "la_mu", "la_var", "shrink", "n_incr", "beta", "threshold", "usage", "fault")
+    return now.select("chan", "tail", "comp", "serial", "basis", "x0", "la_mu", "la_var", "shrink", "n_incr", "beta", "threshold", "usage", "fault", "installed", age.alias("age"))
 
 
 def forecast(state: DataFrame, horizon: int) -> DataFrame:
