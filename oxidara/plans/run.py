@@ -74,12 +74,20 @@ def state_step(sequenced: DataFrame, comps: DataFrame, units: DataFrame, flags:
     return {"state": state.join(usage.select("tail", "log_sd"), "tail"), "thresholds": limits}
 
 
+#: Channels of one task of a step that spends milliseconds on each; their bytes alone would put all of them in one task.
+CHANNELS_A_TASK = 500
+
+
+def _dealt(state: DataFrame) -> DataFrame:
+    return state.repartition(state.count() // CHANNELS_A_TASK + 1, "chan")
+
+
 def forecast_step(state: DataFrame, horizon: int) -> dict[str, DataFrame]:
-    return {"forecasts": forecast.forecast(state, horizon)}
+    return {"forecasts": forecast.forecast(_dealt(state), horizon)}
 
 
 def availability_step(state: DataFrame, horizon: int, replicates: int, n_tails: int, seed: int, repair: list[float]) -> dict[str, DataFrame]:
-    return {"runs": forecast.availability(state, horizon, replicates, n_tails, seed, tuple(repair))}
+    return {"runs": forecast.availability(_dealt(state), horizon, replicates, n_tails, seed, tuple(repair))}
 
 
 def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFrame, events: DataFrame, config: Config, order: str = "_row") -> Result:
