@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oxidara.operators import faults, forecast, ingest, scoring, wear
+from oxidara.operators import faults, forecast, ingest, report, scoring, wear
 from oxidara.sources.store import examples
 
 K, N_MONTHS, HORIZON = 3, 83, 18
@@ -229,6 +229,11 @@ def q_examples_by_basis(spark, d):
     return examples(_state(spark, d).select("basis", "comp", "chan"), ["basis", "comp"])
 
 
+def q_ledger(spark, d):
+    rows = report.ledger(forecast.forecast(_state(spark, d), HORIZON), q_fault_isolation(spark, d), ["A", "N", "R"], HORIZON)
+    return rows.select("chan", "tail", "component", "damage_basis", "damage_est", "sensor_status", "watch", "p_fail_within_horizon", "explanation")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channels most likely to fail within the horizon."""
     return forecast.forecast(_state(spark, sf_dir), HORIZON).select("chan", "tail", "comp", "basis", "x0", "pfail", "p05", "p50", "p95").orderBy(F.desc("pfail"), "chan").limit(25)
