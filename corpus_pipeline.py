@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) with the columns of documents and returns a DataFrame; all but the last
 return the columns of documents.  ``run`` writes each stage's rows as Parquet in the shared folder and reads them
 again, so a lost executor never makes a stage start over.
+
+Stages decide about rows, not ids: a row without an id is a document of its own, rows that repeat an id are judged each by
+its own text, and of rows that repeat id and text (or have copies) exactly one passes the exact and near stages.
 """
 
 from __future__ import annotations
@@ -21,30 +24,55 @@ from oxidara.llm import exact_dedup, language_id, ngram_join, packing, quality
 LEAST_SHARE = 0.5
 
 
-def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is in kept, with their own columns only."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: Names that the stages add to the columns of documents while they work.
+KEY, ROW, TEXT = "_key", "_row", "_text"
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column, which operators hand on as if it were the id, and the text."""
+    return docs.select(F.struct(*docs.columns).alias(ROW), F.col("text").alias(TEXT))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the KEY of each row: made of its content alone, so rows have one key only if all their columns are equal.
+
+    The first bytes order rows by id, those without one last; then come 128 bits of SHA-256 over all columns."""
+    number = F.col("doc_id").cast("bigint")
+    by_id = F.concat(F.when(number.isNull(), "01").otherwise("00"), F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (F.col(c).cast("string") for c in docs.columns)]
+    return docs.withColumn(KEY, F.unhex(F.concat(by_id, F.substring(F.sha2(F.concat(*cells), 256), 1, 32))))
+
+
+def _take(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of each key in keys, with the columns of documents.
+
+    Equal rows are combined in each task before they are shuffled; the join then has them where they are."""
+    columns = [c for c in keyed.columns if c != KEY]
+    once = keyed.groupBy(KEY).agg(*[F.first(c).alias(c) for c in columns])
+    return once.join(keys.select(KEY), KEY, "left_semi").select(*columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language that dominates them."""
-    found = language_id.predict(docs, language_id.fit(docs))
-    return _semi(docs, found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)))
+    """Keep documents with a language that dominates them: each row by its own text, with any id or none."""
+    found = language_id.predict(_carried(docs), language_id.fit(docs), ROW, TEXT)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("doc_id.*")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the quality classifier takes for good."""
-    return _semi(docs, quality.score(docs, quality.fit(docs)).where("predicted = 1"))
+    """Keep documents that the quality classifier takes for good: each row by its own text, with any id or none."""
+    return quality.score(_carried(docs), quality.fit(docs), ROW, TEXT).where("predicted = 1").select("doc_id.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    return _semi(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Keep one row of each group of equal texts, also if rows repeat an id or have none."""
+    keyed = _keyed(docs)
+    return _take(keyed, exact_dedup.survivors(keyed, KEY))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    return _semi(docs, ngram_join.ngram_join(docs).where("doc_id = component_id"))
+    """Keep the row with the smallest id of each group of near copies; one row, also if rows repeat an id or have none."""
+    keyed = _keyed(docs)
+    return _take(keyed, ngram_join.ngram_join(keyed, id_col=KEY).where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

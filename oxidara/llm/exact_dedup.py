@@ -56,21 +56,23 @@ def _preferred_id(preference: Column) -> Column:
     return F.when(rest > 0, (_decimal(_TOP) - rest).cast("bigint"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+_DIGESTS = ("sha", "second", "norm_chars")
+
+
+def _digests() -> list[Column]:
+    return [F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), F.xxhash64("norm").alias("second"), F.length("norm").alias("norm_chars")]
+
+
+def _rows(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of names with the normalised text (norm) and the code points of the original (n_chars) for text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.regexp_replace(text, BLANK, "")
-    rows = own_columns(docs, {"doc_id": id_col, "text": text_col}).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.length(text).alias("n_chars"),
-        norm.alias("norm"),
-    )
-    digests = (
-        F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"),
-        F.xxhash64("norm").alias("second"),
-        F.length("norm").alias("norm_chars"),
-    )
-    winners = (
+    others = [F.col("doc_id").cast("bigint").alias("doc_id"), *[c for c in names if c not in ("doc_id", "text")]]
+    return own_columns(docs, names).select(*others, F.length(text).alias("n_chars"), F.regexp_replace(text, BLANK, "").alias("norm"))
+
+
+def _winners(rows: DataFrame, salts: int) -> DataFrame:
+    """Per text its digests, group_size and the largest preference of its rows (best)."""
+    return (
         rows.select(
             "norm",
             F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(salts)).cast("int").alias("salt"),
@@ -80,10 +82,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
         .groupBy("norm")
         .agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-        .select(*digests, "group_size", _preferred_id(F.col("best")).alias("keep_id"))
+        .select(*_digests(), "group_size", "best")
     )
-    members = rows.select("doc_id", *digests)
-    return members.join(winners, ["sha", "second", "norm_chars"]).select(
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows = _rows(docs, {"doc_id": id_col, "text": text_col})
+    winners = _winners(rows, salts).select(*_DIGESTS, "group_size", _preferred_id(F.col("best")).alias("keep_id"))
+    members = rows.select("doc_id", *_digests())
+    return members.join(winners, list(_DIGESTS)).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -92,6 +100,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def survivors(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per group of equal texts: the key of the row that stays (key_col), of rows with equal preference the smallest key."""
+    rows = _rows(docs, {"doc_id": id_col, "text": text_col, "key": key_col})
+    first = rows.select("key", *_digests(), _preference(F.col("n_chars"), F.col("doc_id")).alias("best")).groupBy(*_DIGESTS, "best").agg(F.min("key").alias("key"))
+    return first.join(_winners(rows, salts), [*_DIGESTS, "best"]).select(F.col("key").alias(key_col))
+
+
 ORACLE = """
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
