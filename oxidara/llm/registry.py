@@ -45,8 +45,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
+    found = ngram_join.ngram_join(table(spark, sf_dir, "documents"), count_links=True)
+    return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "class_id", "component_id", "n_links")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,32 @@ def test_near_group_in_rounds(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.ngram_join(docs).collect())) == one
 
 
+@pytest.mark.parametrize("blocks", [(1 << 18, 1024), (300, 7)])
+def test_link_counts(spark, monkeypatch, blocks):
+    """Links of every row, by all pairs: a family with some of its pairs linked, copies of members, a pair, rows alone, a null id."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks[1])
+    r = np.random.default_rng(3)
+    texts = []
+    for i in range(40):
+        words = [f"w{k}" for k in range(60 + i)]
+        for _ in range(int(r.integers(0, 3))):
+            words[int(r.integers(0, 60))] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0].upper(), texts[7], " ".join(f"y{k}" for k in range(50)), " ".join(f"y{k}" for k in range(51)), "quite alone", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[5]), (3, texts[9])]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [grams(t) for _, t in rows]
+    n_links = [sum(1 for b, y in enumerate(sets) if a != b and x and 100 * len(x & y) >= 75 * len(x | y)) for a, x in enumerate(sets)]
+    assert len(set(n_links)) > 5
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"), count_links=True)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in found.collect()) == collections.Counter((i, len(x), n) for (i, _), x, n in zip(rows, sets, n_links, strict=True))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (22, 20), (30, 30)], "a bigint, b bigint")
     assert {r["node"]: r["root"] for r in ngram_join.components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20}
