@@ -5,7 +5,8 @@ Every paragraph passes points for its length and its commas to its parent, half
 an element's points are discounted by the share of its text inside links, and the element with
 the most points is the main container.  Siblings of it with enough points of their own, or
 paragraphs of plain text beside it, are kept as well.  Elements that never hold the article (menus, headers, footers, sidebars,
-forms, scripts, styles, and those whose class or id says notice, advert or comment) are left out beforehand.
+forms, scripts, styles, and those whose class or id says notice, advert or comment) are left out beforehand; a class never leaves out an
+element with an article or main element inside, nor one with the bulk of the page's text unless it says reader comments.
 
 Reading is forgiving: end tags that nothing opened are skipped, block tags end an open paragraph, character
 references are decoded, scripts and styles end only at their own end tag, and a page may stop anywhere.
@@ -27,7 +28,7 @@ from oxidara.llm.rows import own_columns
 
 # Elements of HTML by what they mean for the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
 NEVER = frozenset("nav footer aside form button select option head script style noscript iframe template svg math canvas object embed dialog menu textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -45,6 +46,19 @@ LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>\"']|$)", re.I)
 BLANKS = re.compile(r"\s+")
 
+#: Class words of reader comments and menus, which win over words of content beside them.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:[\s_-]|$)", re.I)
+MENUS = re.compile(r"(?:^|[\s_-])(?:breadcrumbs?|menu|nav|navbar|navigation|pager|pagination)(?:[\s_-]|$)", re.I)
+#: Elements of drawings and formulas end at the latest where the one that holds them does; inside, "/>" ends an element.
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of HTML that end an open drawing or formula.
+BREAKS_OUT = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table ul".split())
+#: Elements inside drawings and formulas that hold HTML.
+HOLDS_HTML = frozenset(("foreignobject", "annotation-xml"))
+TEMPLATE_END = re.compile(r"</template[\s/>]", re.I)
+#: An element with more than this share of the text outside links is not left out by its class alone.
+BULK = 0.5
+
 #: A paragraph of fewer characters gives no points.
 LEAST_POINTS_CHARS = 25
 #: Share of the best element's points that a sibling needs.
@@ -52,18 +66,19 @@ SIBLING_SHARE = 0.2
 
 
 class Element:
-    __slots__ = ("children", "link_chars", "name", "parent", "points", "skip", "text_chars", "weight")
+    __slots__ = ("by_class", "children", "link_chars", "name", "parent", "points", "skip", "text_chars", "weight")
 
-    def __init__(self, name: str, parent: Element | None, skip: bool, weight: float):
-        self.name, self.parent, self.skip, self.weight = name, parent, skip, weight
+    def __init__(self, name: str, parent: Element | None, skip: bool, weight: float, by_class: str = ""):
+        #: skip: left out for good.  by_class: "comment" or "other" if its class says that it should be.
+        self.name, self.parent, self.skip, self.weight, self.by_class = name, parent, skip, weight, by_class
         self.children: list[Element | tuple[str, int]] = []
         self.points = 0.0
         self.text_chars = self.link_chars = 0
 
 
-def _about(name: str, attributes: str) -> tuple[bool, float]:
-    """If an element is left out with all inside, and its head start of points."""
-    weight, skip = 0.0, name in NEVER
+def _about(name: str, attributes: str) -> tuple[bool, float, str]:
+    """If an element is left out with all inside, its head start of points, and what its class says against it."""
+    weight, skip, by_class = 0.0, name in NEVER, ""
     if name == "article" or name == "main":
         weight = 25.0
     if attributes and not attributes.isspace():
@@ -74,12 +89,18 @@ def _about(name: str, attributes: str) -> tuple[bool, float]:
                 skip = True
             elif key in ("class", "id", "role"):
                 said += " " + value
-        if said and name not in ("html", "body", "article", "main"):
-            if WANTED.search(said):
+        if said and name in ("article", "main"):
+            by_class = "comment" if COMMENTS.search(said) and not WANTED.search(said) else ""
+        elif said and name not in ("html", "body"):
+            if COMMENTS.search(said):
+                by_class = "comment"
+            elif MENUS.search(said):
+                by_class = "other"
+            elif WANTED.search(said):
                 weight += 15.0
             elif UNWANTED.search(said) or "complementary" in said or "contentinfo" in said:
-                skip = True
-    return skip, weight
+                by_class = "other"
+    return skip, weight, by_class
 
 
 def parse(page: str) -> Element:
@@ -89,6 +110,7 @@ def parse(page: str) -> Element:
     block: list[str] = []  # text since the last border of a block
     links = 0  # characters of it inside links
     depth = 0  # open links
+    last_template = None  # where the last end tag of a template is
 
     def close() -> None:
         """End the block: its text becomes a child of the element that is open."""
@@ -142,6 +164,18 @@ def parse(page: str) -> Element:
             continue
         depth = 0
         attributes = m[3]
+        closed = attributes.rstrip().endswith("/")
+        if here.name in FOREIGN and (closed or name not in BREAKS_OUT and name not in HOLDS_HTML and name not in ("script", "style")):
+            continue  # parts of a drawing or formula, whose text is skipped with it
+        while here.name in FOREIGN and name in BREAKS_OUT:
+            here = here.parent
+        if name in FOREIGN and closed:
+            continue
+        if name == "template":
+            if last_template is None:
+                last_template = max((x.start() for x in TEMPLATE_END.finditer(page)), default=-1)
+            if last_template < at:
+                continue  # never ended: it would take the rest of the page with it
         if name in RAW:
             end = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
             at = end.end() if end else n
@@ -157,16 +191,61 @@ def parse(page: str) -> Element:
                 here = to.parent
         if name == "body" and here.name == "head":
             here = here.parent
-        skip, weight = _about(name, attributes)
+        skip, weight, by_class = _about(name, attributes)
         if name == "header" and not _inside_article(here):
             skip = True
-        child = Element(name, here, skip or here.skip, weight)
+        child = Element(name, here, skip or here.skip, weight, by_class)
         here.children.append(child)
         here = child
     close()
+    _leave_out(root)
     return root
 
 
+def _leave_out(root: Element) -> None:
+    """Decide by class, once the tree is known: skip what holds neither the article nor the bulk of the text.
+
+    The article is the longest one that no comment holds, if there is such a one.  Comments with the bulk of the text
+    go as well, unless their one article has it; if nothing were left, nothing is skipped by class."""
+    order, stack = [], [root]
+    while stack:
+        element = stack.pop()
+        if not element.skip:
+            order.append(element)
+            stack += [c for c in element.children if isinstance(c, Element)]
+    if not any(e.by_class for e in order):
+        return
+    plain: dict[Element, int] = {}
+    articles: dict[Element, list[Element]] = {}
+    for element in reversed(order):  # children before parents
+        inner = [c for c in element.children if isinstance(c, Element) and c in plain]
+        plain[element] = sum(len(c[0]) - c[1] for c in element.children if isinstance(c, tuple)) + sum(plain[c] for c in inner)
+        own = [element] if element.name in ("article", "main") and not element.by_class else []
+        articles[element] = own + [x for c in inner for x in articles[c]]
+    among = {element: element.by_class == "comment" for element in order}
+    for element in order:  # parents before children
+        among[element] |= among.get(element.parent, False)
+    chief = max([x for x in articles[root] if not among[x]] or articles[root], key=plain.__getitem__, default=None)
+    for element in order:
+        if element.parent is not None and element.parent.skip:
+            element.skip = True
+        elif element.by_class:
+            inside, bulk = articles[element], plain[element] > BULK * plain[root]
+            if element.by_class == "comment":  # in the one longer text that there is, comments may be named on what holds the article
+                bulk = bulk and len(inside) == 1 and _within(element, chief)
+            keep = bulk or chief in inside
+            element.skip = not keep
+    if not any(isinstance(c, tuple) for element in order if not element.skip for c in element.children):
+        for element in order:  # better all than nothing
+            element.skip = False
+
+
+def _within(element: Element, outer: Element | None) -> bool:
+    while element is not None and element is not outer:
+        element = element.parent
+    return element is not None
+
+
 def _inside_article(element: Element | None) -> bool:
     while element is not None:
         if element.name in ("article", "main"):

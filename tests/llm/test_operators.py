@@ -301,6 +301,16 @@ def test_gradients(seed):
         ("<body><div class=sidebar><p>Links, many of them, and so on and so forth.</p></div><div id=main><p>The article has a long text, with commas, of course.</p><p>Short.</p></div><div class='comments'><p>First, I would like to say, nice one, really nice.</p></div>", "The article has a long text, with commas, of course.\nShort."),
         ("<script>var t='</p>';</script><p>Only this, then, is the text of the page.</p>", "Only this, then, is the text of the page."),
         ("<article><p>cut off &am", "cut off &am"),
+        ("<body><svg width=1/><math/><article><p>Behind drawings.</p></article>", "Behind drawings."),
+        ("<body><svg><path d='x'/><text>not this</text><g><article><p>Behind an open drawing.</p></article>", "Behind an open drawing."),
+        ("<svg><foreignObject><div><p>A label, which is long, but only a label.</p></div></foreignObject></svg><article><p>Behind.</p></article>", "Behind."),
+        ("<body><template><p>Never shown.</p></template><article><p>Shown.</p></article>", "Shown."),
+        ("<body><template><article><p>Behind an open template.</p></article>", "Behind an open template."),
+        ("<div class='layout sidebar-right'><article><p>All of it.</p></article></div>", "All of it."),
+        ("<div class='page-menu'><p>The text of a page without an article, long, long enough.</p></div>", "The text of a page without an article, long, long enough."),
+        ("<div id=main><p>The article has a long text, with commas, of course.</p><div class='post-comments'><p>First, I would like to say, nice one, really nice.</p></div><p class='comment-text'>And another, who says, more or less, the same.</p></div>", "The article has a long text, with commas, of course."),
+        ("<article><p>A story.</p></article><div class=comments><article><p>First, I would like to say, nice one, really nice.</p></article></div>", "A story."),
+        ("<div class='layout comments-open'><article><p>A story.</p></article></div>", "A story."),
         ("a < b and c > d", "a < b and c > d"),
     ],
 )
