@@ -78,6 +78,12 @@ def moment_regression(units: DataFrame) -> DataFrame:
     return last.select("chan", "comp", F.col("use").alias("accepted"), F.greatest("c1", F.lit(1e-4)).alias("beta"), F.sqrt(F.greatest(F.col("c2") / 2, F.lit(1e-6))).alias("sigma"))
 
 
+def log_rates(units: DataFrame) -> DataFrame:
+    """Adds la, the logarithm of each unit's rate over beta, and its variance v.  units: unit_stats with beta and sigma."""
+    var_r = (F.col("rate") * F.col("beta") * F.col("sdu") + 2 * F.col("sigma") * F.col("sigma") * F.col("n_seg")) / (F.col("sdu") * F.col("sdu"))
+    return units.withColumn("la", F.log(F.col("rate") / F.col("beta"))).withColumn("v", F.greatest(var_r / (F.col("rate") * F.col("rate")), F.lit(1e-4)))
+
+
 def fit(sequenced: DataFrame, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, units): beta, sigma, mu, tau per component, and each channel's posterior of its log-rate.
 
@@ -91,9 +97,7 @@ def fit(sequenced: DataFrame, exclude: DataFrame | None = None) -> tuple[DataFra
     noise = found.groupBy("comp").agg(F.first("beta").alias("beta"), F.first("sigma").alias("sigma"), F.count_if(~F.col("accepted")).alias("rejected_units"))
     noise = enough.join(noise, "comp", "left").withColumn("beta", F.when(F.col("n_units") >= LEAST_UNITS, F.col("beta"))).withColumn("sigma", F.when(F.col("n_units") >= LEAST_UNITS, F.col("sigma")))
     rates = units.join(F.broadcast(noise.select("comp", "beta", "sigma")), "comp").join(found.select("chan", "accepted"), "chan", "left")
-    rates = rates.withColumn("la", F.log(F.col("rate") / F.col("beta")))
-    var_r = (F.col("rate") * F.col("beta") * F.col("sdu") + 2 * F.col("sigma") * F.col("sigma") * F.col("n_seg")) / (F.col("sdu") * F.col("sdu"))
-    rates = rates.withColumn("v", F.greatest(var_r / (F.col("rate") * F.col("rate")), F.lit(1e-4)))
+    rates = log_rates(rates)
     prior = eb_prior(rates.where("n_incr >= 5 AND rate > 1e-5 AND coalesce(accepted, false) AND la IS NOT NULL"))
     comps = noise.join(prior, "comp", "left").select("comp", "beta", "sigma", "mu", F.sqrt("tau2").alias("tau"), "n_units", "n_incr", "rejected_units")
     return comps, posterior(rates.join(F.broadcast(prior), "comp"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from oxidara.operators import faults, forecast, ingest, report, scoring, wear
 from oxidara.sources.store import examples
 
-K, N_MONTHS, HORIZON = 3, 83, 18
+K, N_MONTHS, HORIZON, REPLICATES = 3, 83, 18, 200
 BETA, SIGMA, MU, TAU, LIMIT = 0.05, 0.2, -0.7985076962177716, 0.2, 7.9
 
 _FLEET = """
@@ -160,22 +160,47 @@ def _state(spark, d) -> DataFrame:
     return forecast.damage_state(rows, posterior, none.select("chan", F.lit(0).alias("class")), params, usage, N_MONTHS)
 
 
+def _posterior(spark, d) -> DataFrame:
+    """Each channel's posterior of its log-rate under the fixed parameters."""
+    rates = wear.log_rates(_with_params(wear.unit_stats(wear.increments(sequenced(spark, d))))).withColumn("tau2", F.lit(TAU * TAU))
+    return wear.posterior(rates.drop("alpha"))
+
+
+def _whole_state(spark, d, flags: DataFrame | None = None) -> DataFrame:
+    """_state with the channels' own posteriors and fault classes; channels with false readings keep the prior, as in the chain."""
+    rows = fleet(spark, d)
+    flags = q_fault_isolation(spark, d) if flags is None else flags
+    false = flags.where(F.col("class").isin(*faults.EXCLUDED)).select("chan")
+    params = _comps(spark).select("comp", F.lit(BETA).alias("beta"), F.lit(MU).alias("mu"), F.lit(TAU).alias("tau"), F.lit(LIMIT).alias("threshold"))
+    usage = forecast.usage_by_tail(rows).select("tail", "usage")
+    return forecast.damage_state(rows, _posterior(spark, d).join(false, "chan", "left_anti"), flags, params, usage, N_MONTHS)
+
+
+def q_posterior(spark, d):
+    return _posterior(spark, d).select("chan", "n_incr", *[F.round(c, 6).alias(c) for c in ("la_mu", "la_var", "shrink", "alpha")])
+
+
+def q_unit_state(spark, d):
+    """Beside damage_state, whose SQL knows no posterior and no faults: the state that all forecasts start from."""
+    return _whole_state(spark, d).select("chan", "basis", "fault", "n_incr", F.round("shrink", 5).alias("shrink"), F.round("x0", 5).alias("x0"), F.round("usage", 5).alias("usage"))
+
+
 def q_damage_state(spark, d):
     return _state(spark, d).select("chan", "basis", F.round("x0", 5).alias("x0"), F.round("usage", 5).alias("usage"))
 
 
 def q_rul(spark, d):
-    return forecast.forecast(_state(spark, d), HORIZON).select("chan", "p05", "p50", "p95", "pfail")
+    return forecast.forecast(_whole_state(spark, d), HORIZON).select("chan", "p05", "p50", "p95", "pfail")
 
 
 def q_expected_failures(spark, d):
-    return forecast.expected_by_month(forecast.forecast(_state(spark, d), HORIZON))
+    return forecast.expected_by_month(forecast.forecast(_whole_state(spark, d), HORIZON))
 
 
 def q_mc_availability(spark, d):
-    state = _state(spark, d).withColumn("log_sd", F.lit(0.2))
+    state = _whole_state(spark, d).withColumn("log_sd", F.lit(0.2))
     tails = state.agg(F.max("tail")).first()[0]
-    runs = forecast.availability(state, HORIZON, 20, tails, 11, (0.3, 0.4, 0.9, 2.0))
+    runs = forecast.availability(state, HORIZON, REPLICATES, tails, 11, (0.3, 0.4, 0.9, 2.0))
     return forecast.nearest_rank(runs, ["month"], "available", {"p05": 0.05, "p95": 0.95})
 
 
@@ -226,17 +251,18 @@ def q_tail_spine_usage_fallback(spark, d):
 
 
 def q_examples_by_basis(spark, d):
-    return examples(_state(spark, d).select("basis", "comp", "chan"), ["basis", "comp"])
+    return examples(_whole_state(spark, d).select("basis", "comp", "chan"), ["basis", "comp"])
 
 
 def q_ledger(spark, d):
-    rows = report.ledger(forecast.forecast(_state(spark, d), HORIZON), q_fault_isolation(spark, d), ["A", "N", "R"], HORIZON)
+    flags = q_fault_isolation(spark, d)
+    rows = report.ledger(forecast.forecast(_whole_state(spark, d, flags), HORIZON), flags, ["A", "N", "R"], HORIZON)
     return rows.select("chan", "tail", "component", "damage_basis", "damage_est", "sensor_status", "watch", "p_fail_within_horizon", "explanation")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channels most likely to fail within the horizon."""
-    return forecast.forecast(_state(spark, sf_dir), HORIZON).select("chan", "tail", "comp", "basis", "x0", "pfail", "p05", "p50", "p95").orderBy(F.desc("pfail"), "chan").limit(25)
+    return forecast.forecast(_whole_state(spark, sf_dir), HORIZON).select("chan", "tail", "comp", "basis", "x0", "pfail", "p05", "p50", "p95").orderBy(F.desc("pfail"), "chan").limit(25)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -274,6 +300,10 @@ def oracle_sql() -> dict[str, str]:
         "increments_by_serial": _SEQ + "SELECT chan, serial, month, round(d, 6) AS d, gap, du FROM q WHERE same AND du > 0",
         "channel_increment_stats": _UNITS
         + "SELECT chan, count(*) AS n_incr, count(DISTINCT serial) AS n_seg, round(sum(du), 3) AS sdu, round(sum(d), 4) AS sd, round(any_value(rate), 6) AS rate, round(sum((d - rate * du) * (d - rate * du)), 4) AS ve FROM i GROUP BY chan",
+        "posterior": _UNITS
+        + f""", k AS (SELECT chan, count(*) AS n_incr, any_value(rate) AS rate, greatest((any_value(rate) * {BETA} * sum(du) + 2 * {SIGMA} * {SIGMA} * count(DISTINCT serial)) / pow(sum(du), 2) / pow(any_value(rate), 2), 1e-4) AS v FROM i GROUP BY chan),
+x AS (SELECT chan, n_incr, CASE WHEN n_incr < 2 THEN {TAU} * {TAU} ELSE 1 / (1 / ({TAU} * {TAU}) + 1 / v) END AS la_var, CASE WHEN n_incr < 2 THEN {MU} ELSE ({MU} / ({TAU} * {TAU}) + ln(rate / {BETA}) / v) / (1 / ({TAU} * {TAU}) + 1 / v) END AS la_mu FROM k)
+SELECT chan, n_incr, round(la_mu, 6) AS la_mu, round(la_var, 6) AS la_var, round(CASE WHEN n_incr < 2 THEN 1 ELSE la_var / ({TAU} * {TAU}) END, 6) AS shrink, round(exp(la_mu + la_var / 2), 6) AS alpha FROM x""",
         "segments_per_channel": _SEQ + "SELECT chan, count(*) FILTER (NOT same) AS n_parts, count(*) FILTER (NOT same AND rn > 1) AS n_installs FROM q GROUP BY chan",
         "prefix_suffix_sums": _SEQ
         + """, x AS (SELECT *, CASE WHEN same AND du > 0 THEN d ELSE 0 END AS xd, CASE WHEN same AND du > 0 THEN du ELSE 0 END AS xu, CASE WHEN same AND du > 0 THEN 1 ELSE 0 END AS xn FROM q)
