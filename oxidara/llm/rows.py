@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,18 +32,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir.  Only on a single machine, where it may be unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return _own_folder()
+    return folder
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
 
-    The folder is the one in spark.checkpoint.dir.  Only where that is unset, as in tests on one machine, a
-    temporary folder is taken."""
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, by a checkpoint in the folder that the cluster shares."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The same rows read back from a Parquet table in the folder that the cluster shares: like cut, but smaller, and read by columns."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def fold(column: str, parts: int):
     """crc32 of a number as text, modulo parts."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))

@@ -131,21 +131,68 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
-def test_near_group_in_rounds(spark, monkeypatch):
-    """Many near copies of one text, none of them equal: rounds of pivots and the last step give the same components."""
+@pytest.mark.parametrize("blocks", [(1024, 16_384), (16, 8)])
+def test_near_group(spark, monkeypatch, blocks):
+    """Many near copies of one text, none of them equal, and variants that link with few or none: components and links as by all pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", blocks[1])
     r = np.random.default_rng(2)
     base = [f"w{k}" for k in range(60)]
     rows = []
-    for i in range(80):
+    for i in range(120):
         words = list(base)
-        for _ in range(int(r.integers(1, 4))):
+        for _ in range(int(r.integers(1, 6))):
             words[int(r.integers(0, 60))] = f"x{i}"
         rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    one = sorted(map(tuple, ngram_join.ngram_join(docs).collect()))
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", -1)
-    monkeypatch.setattr(ngram_join, "LEAST_PROGRESS", 0.99)
-    assert sorted(map(tuple, ngram_join.ngram_join(docs).collect())) == one
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    link = np.array([[a != b and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
+    low = np.arange(len(rows))
+    for _ in rows:
+        low = np.minimum(low, np.where(link, low[None, :], len(rows)).min(axis=1))
+    assert len(set(low.tolist())) > 3
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), count_links=True)
+    assert sorted((x["doc_id"], x["component_id"], x["n_links"]) for x in found.collect()) == [(i, int(low[i]), int(link[i].sum())) for i in range(len(rows))]
+
+
+def test_blocks_of_an_ngram(spark, monkeypatch):
+    """Members of different clusters at one n-gram are compared in blocks of any size; of many close ones a forest is given, not the pairs."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 62, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: int(r.integers(80, 101))], r.integers(0, 1 << 62, int(r.integers(0, 15)), dtype=np.uint64)))) for _ in range(60)]
+    rows = [(7, i, len(g), 0) for i, g in enumerate(sets)]
+    members = spark.createDataFrame(rows, "gram bigint, class bigint, n int, place int")
+    signatures = spark.createDataFrame([(i, len(g), ngram_join._signature(g)) for i, g in enumerate(sets)], "class bigint, n bigint, signature binary")
+    a, b = np.triu_indices(len(sets), 1)
+    n = np.array([len(g) for g in sets])
+    differ = ngram_join._differing_bits([ngram_join._signature(g) for g in sets], a, b)
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(differ, a, b, strict=True))
+    close = (differ * 175 <= (n[a] + n[b]) * 25) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
+    for labels in (None, spark.createDataFrame([(i, i % 3) for i in range(50)], "node bigint, root bigint")):
+        own = [i % 3 if labels is not None and i < 50 else i for i in range(60)]
+        root = {i: i for i in own}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(a[close].tolist(), b[close].tolist(), strict=True):
+            root[find(own[i])] = find(own[j])
+        wanted = {(x, y) for x in root for y in root if find(x) == find(y)}
+        for room in (1024, 7):
+            monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", room)
+            edges = ngram_join._close_in_blocks(members, labels, signatures, 75).collect()
+            got = {i: i for i in root}
+
+            def find_got(x, root=got):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for e in edges:
+                got[find_got(e["a"])] = find_got(e["b"])
+            assert {(x, y) for x in root for y in root if find_got(x) == find_got(y)} == wanted
+            assert len(edges) <= 60 * (1 + 60 // room)
 
 
 @pytest.mark.parametrize("blocks", [(1 << 18, 1024), (300, 7)])
