@@ -10,7 +10,6 @@ its own text, and of rows that repeat id and text (or have copies) exactly one p
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.llm import exact_dedup, language_id, ngram_join, packing, quality
+from oxidara.llm.rows import shared_folder
 
 #: A document stays if its language is known and makes up at least this share of it.
 LEAST_SHARE = 0.5
@@ -94,8 +94,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{at}/{i}-{name}"
