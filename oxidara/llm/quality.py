@@ -1,14 +1,18 @@
 """Quality by weak labels: overlapping heuristic labellers, their accuracies by expectation-maximisation, a linear scorer.
 
-1. Each of the LABELLERS looks at one trait of a text and votes good, bad or nothing.  The votes of all documents
-   are counted by pattern; there are at most 3**len(LABELLERS) patterns, whatever the number of documents.
-2. Expectation-maximisation on the pattern counts estimates how often each labeller votes what on good and on bad
-   documents, and the share of bad ones; each pattern gets the probability that its documents are good.
-3. These probabilities are the labels of a hashed linear scorer (shapes of neighbouring bytes, words, repeated words), fitted on a
+1. Each of the LABELLERS looks at one trait of a text and votes good, bad or nothing.  Each kind of junk shows in more than one trait, so
+   labellers overlap.  The votes of all documents are counted by pattern; there are at most 3**len(LABELLERS) patterns, whatever the number of documents.
+2. Labellers of one kind of junk agree and say nothing of the others, so given just "bad" their votes are not independent.  The label model
+   therefore has one good class and one bad class for each labeller to begin with (the kind of junk that it looks for; those that no second labeller sees are given up).  Expectation-maximisation on the pattern counts estimates how often each labeller votes what in each class, and
+   the share of each class; nothing is bounded or fixed.  A pattern's label is the posterior of good, and ``LabelModel.accuracy`` gives the
+   estimated share of right ones among each labeller's votes.  It starts from the votes' majority: two complaints make a document bad, a single one
+   leaves it open, so a complaint that the labeller's partners contradict ends as an error of the labeller.
+3. These posteriors are the labels of a hashed linear scorer (shapes of neighbouring bytes, words, repeated words), fitted on a
    sample of at most about ``sample`` documents.
 4. The scorer scores every whole text.
 
-Results for unusual rows: null and empty texts are bad (score 0); repeated ids stay rows of their own; an empty table
+Results for unusual rows: null and empty texts are bad (score 0); repeated ids stay rows of their own; tables of copies of one text, or of too
+few texts for a sample, get the posterior of their votes instead of a scorer's score; an empty table
 gives no rows; other columns are ignored.  No label and no other column is an input.
 """
 
@@ -25,14 +29,15 @@ from pyspark.sql import functions as F
 from oxidara.llm.rows import own_columns
 from oxidara.llm.words import Run, Words, not_blank, runs, words
 
-LABELLERS = ("symbols", "capitals", "exclamations", "repeated_words", "repeated_lines", "bars", "sentences", "word_length", "size")
+LABELLERS = ("symbols", "signed_words", "capitals", "exclamations", "repeated_words", "longest_run", "repeated_lines", "bars", "bare_signs", "sentences", "word_length", "size")
 BAD, GOOD, NONE = 0, 1, 2
-#: What is known of the labellers beforehand: none complains about more than this share of good documents.  Without it,
-#: expectation-maximisation takes one kind of junk for the bad class and the other kinds for noise.
-MOST_FALSE = 0.002
 #: Documents that the linear scorer is fitted on.
 SAMPLE = 4000
 WORD_BITS = 11
+#: With fewer documents in the sample there is no scorer.
+LEAST_SAMPLE = 20
+#: Votes of each kind that each class is thought to have besides.
+SMOOTHING = 0.05
 #: Words that a text is thought to have besides, of which nothing is known: a single word says little.
 FEW = 30
 
@@ -57,6 +62,15 @@ def _same_as_before(found: Words) -> np.ndarray:
     return same
 
 
+def _longest_run(found: Words, same: np.ndarray, rows: int) -> np.ndarray:
+    """The largest number of equal words in a row, by document."""
+    out = np.zeros(rows)
+    if len(same):
+        began = np.flatnonzero(~same)
+        np.maximum.at(out, found.owner[began], np.diff(np.append(began, len(same))))
+    return out
+
+
 def _repeated_lines(run: Run) -> np.ndarray:
     """Share of a row's bytes in lines that stood before in it."""
     line = np.ones(256, dtype=bool)
@@ -73,6 +87,12 @@ def _repeated_lines(run: Run) -> np.ndarray:
     return out
 
 
+def _bare(kind: np.ndarray, found: Words) -> np.ndarray:
+    """If a word has neither letters nor digits."""
+    solid = np.concatenate(([0], np.cumsum((kind == _LOWER) | (kind == _UPPER) | (kind == _HIGH) | (kind == _DIGIT))))
+    return solid[found.end] == solid[found.begin]
+
+
 def votes(run: Run) -> np.ndarray:
     """document x labeller votes."""
     kind = _CLASSES[run.data]
@@ -81,16 +101,22 @@ def votes(run: Run) -> np.ndarray:
     found = words(run, not_blank())
     n = found.counts(run.rows).astype(float)
     some = np.maximum(n, 1)
-    repeats = np.bincount(found.owner, weights=_same_as_before(found), minlength=run.rows)
+    same = _same_as_before(found)
+    repeats = np.bincount(found.owner, weights=same, minlength=run.rows)
+    signed = np.bincount(found.owner, weights=kind[found.end - 1] == _SIGN, minlength=run.rows)
+    bare = np.bincount(found.owner, weights=_bare(kind, found), minlength=run.rows)
     letters = count[:, _LOWER] + count[:, _UPPER] + count[:, _HIGH] / 2
     solid = np.maximum(count.sum(axis=1) - count[:, _SPACE] - count[:, _LINE], 1)
     traits = {
         "symbols": (count[:, _SIGN] / solid, 0.01, 0.05),
+        "signed_words": (signed / some, 0.02, 0.1),
         "capitals": (count[:, _UPPER] / np.maximum(letters, 1), 0.2, 0.5),
         "exclamations": (count[:, _SHOUT] / some, 0.05, 0.25),
         "repeated_words": (repeats / some, 0.05, 0.2),
+        "longest_run": (_longest_run(found, same, run.rows), 3, 5),
         "repeated_lines": (_repeated_lines(run), 0.1, 0.6),
         "bars": (count[:, _BAR] / some, 0.02, 0.15),
+        "bare_signs": (bare / some, 0.02, 0.15),
         "sentences": (some / (count[:, _STOP] + count[:, _ASK] + count[:, _SHOUT] + count[:, _COLON] + 1), 40, 120),
         "word_length": (np.abs(solid / some - 6.5), 3.5, 6.0),
     }
@@ -116,39 +142,66 @@ def patterns(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """rates[c, j, v]: how often labeller j votes v on documents of class c (0 bad, 1 good)."""
+    """rates[c, j, v]: how often labeller j votes v on documents of class c; class 0 is good, the others are kinds of junk."""
 
     rates: np.ndarray
-    good_share: float
+    shares: np.ndarray
+
+    def classes(self, vote: np.ndarray) -> np.ndarray:
+        """row x class posteriors."""
+        j = np.arange(vote.shape[1])
+        log = np.log(self.shares)[:, None] + np.log(self.rates[:, j, vote.astype(np.int64)]).sum(axis=2)
+        p = np.exp(log - log.max(axis=0))
+        return (p / p.sum(axis=0)).T
 
     def posterior(self, vote: np.ndarray) -> np.ndarray:
         """Probability of good for each row of votes."""
-        j = np.arange(vote.shape[1])
-        log = np.log(self.rates[:, j, vote.astype(np.int64)]).sum(axis=2)
-        odds = log[1] - log[0] + np.log(self.good_share / (1 - self.good_share))
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return self.classes(vote)[:, 0]
 
+    def accuracy(self) -> np.ndarray:
+        """Share of right ones among the votes for good or bad that each labeller is expected to give."""
+        said = self.shares[:, None, None] * self.rates
+        right = said[0, :, GOOD] + said[1:, :, BAD].sum(axis=0)
+        return right / (said[:, :, GOOD] + said[:, :, BAD]).sum(axis=0)
 
-def label_model(vote: np.ndarray, n: np.ndarray, steps: int = 100) -> LabelModel:
-    """Expectation-maximisation over vote patterns (rows of vote, each met n times)."""
-    good = np.where((vote == BAD).any(axis=1), 0.1, 0.9)  # to begin with: any complaint counts
+
+def label_model(vote: np.ndarray, n: np.ndarray, steps: int = 500, tolerance: float = 1e-7) -> LabelModel:
+    """Expectation-maximisation over vote patterns (rows of vote, each met n times).
+
+    Once it has settled, bad classes that fewer than two labellers see (complain in more often than they approve) go, the likeliest to be noise
+    first: votes can't tell such a class from that labeller's errors.  Its documents begin anew as good, and the rest settles again."""
     n = n.astype(float)
-    model = LabelModel(np.full((2, vote.shape[1], 3), 1 / 3), 0.5)
+    bad = vote == BAD
+    complaints = bad.sum(axis=1)
+    weight = np.zeros((len(vote), 1 + vote.shape[1]))
+    weight[:, 0] = np.where(complaints > 1, 0.1, np.where(complaints == 1, 0.5, 1.0))
+    weight[:, 1:] = bad * ((1 - weight[:, 0]) / np.maximum(complaints, 1))[:, None]
+    while True:
+        model, weight = _settled(vote, n, weight, steps, tolerance)
+        seen_by = (model.rates[1:, :, BAD] > model.rates[1:, :, GOOD]).sum(axis=1)
+        if not len(seen_by) or seen_by.min() > 1:
+            return model
+        least = 1 + int(seen_by.argmin())
+        weight[:, 0] += weight[:, least]
+        weight = np.delete(weight, least, axis=1)
+
+
+def _settled(vote: np.ndarray, n: np.ndarray, weight: np.ndarray, steps: int, tolerance: float) -> tuple[LabelModel, np.ndarray]:
+    """Steps of expectation-maximisation, until the mean log-likelihood gains less than tolerance, and the posteriors (row x class)."""
+    before = -np.inf
     for _ in range(steps):
-        rates = np.empty_like(model.rates)
-        for c, weight in enumerate((n * (1 - good), n * good)):
-            for v in range(3):
-                rates[c, :, v] = (vote == v).T @ weight + 0.5
+        rates = np.stack([((weight * n[:, None]).T @ (vote == v)) for v in range(3)], axis=2) + SMOOTHING
         rates /= rates.sum(axis=2, keepdims=True)
-        false = np.minimum(rates[GOOD, :, BAD], MOST_FALSE)
-        rates[GOOD] *= ((1 - false) / (1 - rates[GOOD, :, BAD]))[:, None]
-        rates[GOOD, :, BAD] = false
-        model = LabelModel(rates, float(np.clip((n * good).sum() / max(n.sum(), 1), 0.01, 0.99)))
-        new = model.posterior(vote)
-        if np.abs(new - good).max(initial=0) < 1e-6:
+        shares = (weight * n[:, None]).sum(axis=0) + SMOOTHING
+        model = LabelModel(rates, shares / shares.sum())
+        j = np.arange(vote.shape[1])
+        log = np.log(model.shares)[:, None] + np.log(rates[:, j, vote.astype(np.int64)]).sum(axis=2)
+        now = float((n * np.logaddexp.reduce(log, axis=0)).sum() / max(n.sum(), 1))
+        weight = model.classes(vote)
+        if now - before < tolerance:
             break
-        good = new
-    return model
+        before = now
+    return model, weight
 
 
 def _pairs(run: Run) -> np.ndarray:
@@ -225,7 +278,8 @@ def linear_scorer(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float =
 @dataclass
 class Model:
     labels: LabelModel
-    scorer: Scorer
+    #: None if there was nothing to fit it on
+    scorer: Scorer | None
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
@@ -261,6 +315,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
     x = np.zeros((len(found), FEATURES), dtype=np.float32)
     for i, row in enumerate(found):
         x[i, row["at"]] = row["value"]
+    if len(found) < LEAST_SAMPLE:
+        return Model(labels, None)
     return Model(labels, linear_scorer(x, np.array([row["y"] for row in found])))
 
 
@@ -275,8 +331,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             weak, own = [np.empty(0)], [np.empty(0)]
             for piece in runs(batch.column("text")):
-                weak.append(known.labels.posterior(votes(piece)))
-                own.append(known.scorer.scores(piece))
+                by_votes = known.labels.posterior(votes(piece))
+                weak.append(by_votes)
+                own.append(by_votes if known.scorer is None else known.scorer.scores(piece))
             y = np.concatenate(own)
             arrays = [batch.column("doc_id"), pa.array(np.concatenate(weak)), pa.array(y), pa.array((y >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "weak_label", "score", "predicted"])
