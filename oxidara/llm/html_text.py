@@ -3,8 +3,8 @@
 A page is read into a tree of elements; blocks (paragraphs, headings, list items and loose text) are its leaves.
 Every paragraph passes points for its length and its commas to its parent, half of them to the grandparent and a third to the one above,
 an element's points are discounted by the share of its text inside links, and the element with
-the most points is the main container.  Siblings of it with enough points of their own, or
-paragraphs of plain text beside it, are kept as well.  Elements that never hold the article (menus, headers, footers, sidebars,
+the most points is the main container.  Siblings of it with enough points of their own are kept as well, and so is what stands beside it as plain
+text, however short: loose text, headings and paragraphs with few links, and any element with few links between two kept ones.  Elements that never hold the article (menus, headers, footers, sidebars,
 forms, scripts, styles, and those whose class or id says notice, advert or comment) are left out beforehand; a class never leaves out an
 element with an article or main element inside, nor one with the bulk of the page's text unless it says reader comments.
 
@@ -46,9 +46,10 @@ LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>\"']|$)", re.I)
 BLANKS = re.compile(r"\s+")
 
-#: Class words of reader comments and menus, which win over words of content beside them.
+#: Class words of reader comments; like all of UNWANTED they win over words of content beside them.
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:[\s_-]|$)", re.I)
-MENUS = re.compile(r"(?:^|[\s_-])(?:breadcrumbs?|menu|nav|navbar|navigation|pager|pagination)(?:[\s_-]|$)", re.I)
+#: The heading of an article is no header of the page.
+OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|text)[_-]header(?:[\s_-]|$)", re.I)
 #: Elements of drawings and formulas end at the latest where the one that holds them does; inside, "/>" ends an element.
 FOREIGN = frozenset(("svg", "math"))
 #: Elements of HTML that end an open drawing or formula.
@@ -61,8 +62,10 @@ BULK = 0.5
 
 #: A paragraph of fewer characters gives no points.
 LEAST_POINTS_CHARS = 25
-#: Share of the best element's points that a sibling needs.
-SIBLING_SHARE = 0.2
+#: Share of the best element's points that a sibling needs, and the share of links that plain text may have.
+SIBLING_SHARE, FEW_LINKS = 0.2, 0.25
+#: Elements that an end tag which is left out does not reach across.
+LISTS = ("ul", "ol", "dl", "table", "div", "article", "section")
 
 
 class Element:
@@ -94,18 +97,18 @@ def _about(name: str, attributes: str) -> tuple[bool, float, str]:
         elif said and name not in ("html", "body"):
             if COMMENTS.search(said):
                 by_class = "comment"
-            elif MENUS.search(said):
+            elif UNWANTED.search(OWN_HEADER.sub(" ", said)) or "complementary" in said or "contentinfo" in said:
                 by_class = "other"
             elif WANTED.search(said):
                 weight += 15.0
-            elif UNWANTED.search(said) or "complementary" in said or "contentinfo" in said:
-                by_class = "other"
     return skip, weight, by_class
 
 
 def parse(page: str) -> Element:
-    """The tree of a page.  Text inside elements that are left out is not kept."""
+    """The tree of a page, in time linear in its length however deep it is.  Text inside elements that are left out is not kept."""
     root = here = Element("#", None, False, 0.0)
+    path = [root]  # the open elements
+    places: dict[str, list[int]] = {}  # where in path the elements of a name are
     at, n = 0, len(page)
     block: list[str] = []  # text since the last border of a block
     links = 0  # characters of it inside links
@@ -121,6 +124,17 @@ def parse(page: str) -> Element:
                 here.children.append((text, min(links, len(text))))
             block, links = [], 0
 
+    def leave(to: int) -> None:
+        """End all open elements from place to of the path."""
+        nonlocal here
+        while len(path) > to:
+            places[path.pop().name].pop()
+        here = path[-1]
+
+    def last(names: tuple[str, ...]) -> int:
+        """Where in the path the innermost open element of these names is, or 0."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def add(raw: str) -> None:
         nonlocal links
         if not here.skip:
@@ -154,11 +168,9 @@ def parse(page: str) -> Element:
             continue
         close()
         if m[1]:  # an end tag: up to the element that it ends, if one is open
-            to = here
-            while to.parent is not None and to.name != name:
-                to = to.parent
-            if to.parent is not None:
-                here, depth = to.parent, 0
+            if places.get(name):
+                leave(places[name][-1])
+                depth = 0
             continue
         if name in VOID:
             continue
@@ -168,7 +180,7 @@ def parse(page: str) -> Element:
         if here.name in FOREIGN and (closed or name not in BREAKS_OUT and name not in HOLDS_HTML and name not in ("script", "style")):
             continue  # parts of a drawing or formula, whose text is skipped with it
         while here.name in FOREIGN and name in BREAKS_OUT:
-            here = here.parent
+            leave(len(path) - 1)
         if name in FOREIGN and closed:
             continue
         if name == "template":
@@ -181,21 +193,19 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
             continue
         if here.name == "p":  # a block ends an open paragraph
-            here = here.parent
+            leave(len(path) - 1)
         ended = ENDS.get(name)
-        if ended:
-            to = here
-            while to.parent is not None and to.name not in ended and to.name not in ("ul", "ol", "dl", "table", "div", "article", "section"):
-                to = to.parent
-            if to.name in ended:
-                here = to.parent
+        if ended and (to := last(ended)) > last(LISTS):
+            leave(to)
         if name == "body" and here.name == "head":
-            here = here.parent
+            leave(len(path) - 1)
         skip, weight, by_class = _about(name, attributes)
-        if name == "header" and not _inside_article(here):
+        if name == "header" and not last(("article", "main")):
             skip = True
         child = Element(name, here, skip or here.skip, weight, by_class)
         here.children.append(child)
+        places.setdefault(name, []).append(len(path))
+        path.append(child)
         here = child
     close()
     _leave_out(root)
@@ -215,45 +225,37 @@ def _leave_out(root: Element) -> None:
             stack += [c for c in element.children if isinstance(c, Element)]
     if not any(e.by_class for e in order):
         return
+    among: dict[Element, bool] = {}
+    for element in order:  # parents before children
+        among[element] = element.by_class == "comment" or among.get(element.parent, False)
     plain: dict[Element, int] = {}
-    articles: dict[Element, list[Element]] = {}
+    inside: dict[Element, int] = {}  # articles
     for element in reversed(order):  # children before parents
         inner = [c for c in element.children if isinstance(c, Element) and c in plain]
         plain[element] = sum(len(c[0]) - c[1] for c in element.children if isinstance(c, tuple)) + sum(plain[c] for c in inner)
-        own = [element] if element.name in ("article", "main") and not element.by_class else []
-        articles[element] = own + [x for c in inner for x in articles[c]]
-    among = {element: element.by_class == "comment" for element in order}
-    for element in order:  # parents before children
-        among[element] |= among.get(element.parent, False)
-    chief = max([x for x in articles[root] if not among[x]] or articles[root], key=plain.__getitem__, default=None)
+        inside[element] = (element.name in ("article", "main") and not element.by_class) + sum(inside[c] for c in inner)
+    found = [e for e in order if e.name in ("article", "main") and not e.by_class]
+    chief = max([x for x in found if not among[x]] or found, key=plain.__getitem__, default=None)
+    holds = set()  # the chief article and all that it stands in
+    element = chief
+    while element is not None:
+        holds.add(element)
+        element = element.parent
+    within: dict[Element, bool] = {}
     for element in order:
+        within[element] = element is chief or within.get(element.parent, False)
         if element.parent is not None and element.parent.skip:
             element.skip = True
         elif element.by_class:
-            inside, bulk = articles[element], plain[element] > BULK * plain[root]
+            bulk = plain[element] > BULK * plain[root]
             if element.by_class == "comment":  # in the one longer text that there is, comments may be named on what holds the article
-                bulk = bulk and len(inside) == 1 and _within(element, chief)
-            keep = bulk or chief in inside
-            element.skip = not keep
+                bulk = bulk and inside[element] == 1 and within[element]
+            element.skip = not (bulk or element in holds)
     if not any(isinstance(c, tuple) for element in order if not element.skip for c in element.children):
         for element in order:  # better all than nothing
             element.skip = False
 
 
-def _within(element: Element, outer: Element | None) -> bool:
-    while element is not None and element is not outer:
-        element = element.parent
-    return element is not None
-
-
-def _inside_article(element: Element | None) -> bool:
-    while element is not None:
-        if element.name in ("article", "main"):
-            return True
-        element = element.parent
-    return False
-
-
 def _score(root: Element) -> Element:
     """Points of all elements; returns the best one."""
     order, stack = [], [root]
@@ -323,18 +325,20 @@ def main_text(page: str | None) -> str:
                 if child is best or (isinstance(child, Element) and child.name == best.name and not child.skip and child.points >= SIBLING_SHARE * best.points):
                     _blocks(child, out)
         return "\n".join(out)
+    siblings: list[tuple[Element | tuple[str, int], bool, bool]] = []  # each with: it is kept, it may be kept between others
     for child in around.children:
-        if child is best:
-            _blocks(child, out)
-        elif isinstance(child, tuple):
-            text, links = child
-            if len(text) > 80 and links * 4 < len(text):
-                out.append(text)
+        if isinstance(child, tuple):
+            few = child[1] < FEW_LINKS * len(child[0])
+            siblings.append((child, few, few))
         elif not child.skip and child.text_chars:
-            share = child.link_chars / child.text_chars
-            heading = child.name in ("h1", "h2")
-            plain = child.name in PARAGRAPHS and (child.text_chars > 80 and share < 0.25)
-            if heading or plain or child.points >= max(10, SIBLING_SHARE * best.points):
+            few = child.link_chars < FEW_LINKS * child.text_chars
+            siblings.append((child, child is best or few and child.name in PARAGRAPHS or child.points >= SIBLING_SHARE * best.points > 0, few))
+    kept = [i for i, (_, keep, _) in enumerate(siblings) if keep]
+    for i, (child, keep, few) in enumerate(siblings):
+        if keep or few and kept[0] < i < kept[-1]:
+            if isinstance(child, tuple):
+                out.append(child[0])
+            else:
                 _blocks(child, out)
     return "\n".join(out)
 

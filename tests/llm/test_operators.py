@@ -300,6 +300,59 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, quality.fit(empty)).count() == 0
 
 
+def test_label_model_recovers_planted_accuracies():
+    """Two kinds of junk, each seen by two labellers that also complain about good rows; a fifth labeller is mostly noise."""
+    r = np.random.default_rng(8)
+    n = 60_000
+    kind = r.choice(3, n, p=[0.85, 0.1, 0.05])
+    hit = np.array([[0.03, 0.9, 0.02], [0.01, 0.8, 0.02], [0.05, 0.03, 0.95], [0.02, 0.02, 0.7], [0.1, 0.15, 0.15]])
+    rest = r.random((n, 5)) < 0.3  # what is no complaint abstains
+    vote = np.where(r.random((n, 5)) < hit.T[kind], quality.BAD, np.where(rest, quality.NONE, quality.GOOD))
+    rows, count = np.unique(vote, axis=0, return_counts=True)
+    model = quality.label_model(rows, count)
+    good = model.posterior(vote) >= 0.5
+    rates = np.stack([hit, 0.7 * (1 - hit), 0.3 * (1 - hit)], axis=2).transpose(1, 0, 2)
+    best = quality.LabelModel(rates, np.array([0.85, 0.1, 0.05])).posterior(vote) >= 0.5  # what can be known with the planted rates
+    assert ((kind == 0) == good).mean() > ((kind == 0) == best).mean() - 0.005
+    assert np.abs(model.rates[0, :, quality.BAD] - hit[:, 0]).max() < 0.03
+    junk = model.shares[1:] / model.shares[1:].sum()
+    by_bad = (junk[:, None] * model.rates[1:, :, quality.BAD]).sum(axis=0)
+    assert np.abs(by_bad - (2 * hit[:, 1] + hit[:, 2]) / 3).max() < 0.06
+    said = vote != quality.NONE
+    right = np.where(kind[:, None] == 0, vote == quality.GOOD, vote == quality.BAD)
+    assert np.abs(model.accuracy() - right.sum(axis=0) / said.sum(axis=0)).max() < 0.02
+
+
+def test_label_model_is_plain_em():
+    """The vectorised steps against loops over rows, classes and labellers."""
+    r = np.random.default_rng(9)
+    rows = np.unique(r.integers(0, 3, (25, 3)), axis=0)
+    count = r.integers(1, 50, len(rows))
+    weight = []
+    for v in rows:
+        bad = [j for j in range(3) if v[j] == quality.BAD]
+        w = {0: 1.0, 1: 0.5}.get(len(bad), 0.1)
+        weight.append([w, *[(1 - w) / len(bad) if j in bad else 0.0 for j in range(3)]])
+    got, posteriors = quality._settled(rows, count.astype(float), np.array(weight), 7, -1.0)
+    for _ in range(7):
+        share = [sum(w[c] * n for w, n in zip(weight, count, strict=True)) + quality.SMOOTHING for c in range(4)]
+        rate = [[[sum(w[c] * n for w, n, v in zip(weight, count, rows, strict=True) if v[j] == k) + quality.SMOOTHING for k in range(3)] for j in range(3)] for c in range(4)]
+        rate = [[[x / sum(three) for x in three] for three in by] for by in rate]
+        weight = []
+        for v in rows:
+            p = [share[c] / sum(share) * rate[c][0][v[0]] * rate[c][1][v[1]] * rate[c][2][v[2]] for c in range(4)]
+            weight.append([x / sum(p) for x in p])
+    assert np.allclose(got.rates, rate) and np.allclose(posteriors, weight)
+
+
+def test_quality_of_few_or_equal_texts(spark):
+    """With too few different texts for a scorer the posterior of the votes counts; repeated ids stay rows of their own."""
+    rows = [(1, "The same clean text, over and over again in every row of it.")] * 30 + [(1, "%%% $$$ *** %%% ### @@@ %%% ^^^ &&& ***"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("clash")).repartition(3)
+    found = collections.Counter((r["doc_id"], r["predicted"]) for r in quality.score(docs, quality.fit(docs)).collect())
+    assert found[1, 1] == 30 and sum(found.values()) == 32
+
+
 def test_toxicity(spark, docs, empty):
     big = DATA.replace("sf0.001", "sf0.1")
     found = registry.op3_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out")
@@ -359,12 +412,44 @@ def test_gradients(seed):
         ("<article><p>A story.</p></article><div class=comments><article><p>First, I would like to say, nice one, really nice.</p></article></div>", "A story."),
         ("<div class='layout comments-open'><article><p>A story.</p></article></div>", "A story."),
         ("a < b and c > d", "a < b and c > d"),
+        *[
+            (f"<body><div id=story><p>The article has a long text, with commas, of course.</p></div><div class='{name}'><p>Not this, whatever it says, at length, or not.</p></div>", "The article has a long text, with commas, of course.")
+            for name in ("page-footer", "content-sidebar", "main-menu", "comment-body", "article-promo", "post-share", "page-header", "body_newsletter")
+        ],
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>One.</p></article>", "Title\nOne."),
+        ("<body><div><p>The article has a long text, with commas, of course.</p></div>He left.<p>That was the end of it.</p>", "The article has a long text, with commas, of course.\nHe left.\nThat was the end of it."),
+        ("<body><div><p>The first part has a long text, with commas, of course.</p></div><section>***</section><div><p>The second part has a long text, with commas, as well.</p></div><div><a href=x>More, of the same, to read</a></div>", "The first part has a long text, with commas, of course.\n***\nThe second part has a long text, with commas, as well."),
     ],
 )
 def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_html_of_the_pages():
+    """A plain extractor, which knows that these pages have one article of headings and paragraphs."""
+    import html as library
+
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' order by page_id").fetchall()
+    assert len(pages) >= 200
+    for (page,) in pages:
+        inner = re.search("<article>(.*)</article>", page, re.S)[1]
+        blocks = [" ".join(library.unescape(re.sub("<[^>]*>", " " if "<br" in x else "", re.sub("<br[^>]*>", " ", x))).split()) for x in re.split("</?(?:p|h1)(?: [^>]*)?>", inner)]
+        assert html_text.main_text(page) == "\n".join(x for x in blocks if x)
+
+
+@pytest.mark.parametrize("piece", ["<div></p>", "<li><div>", "<x></y>", "<article>", "<div class=comments><p>a", "<table><td>", "<svg><g>", "<section class=sidebar><article>b"])
+def test_html_of_deep_pages(piece):
+    """Time grows with the length of a page, also if nothing in it is ever closed."""
+    import time
+
+    took = []
+    for size in (1 << 19, 1 << 21):
+        began = time.process_time()
+        html_text.main_text(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5 and took[1] < 12
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>Ünï</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(tuple(r) for r in html_text.extract_text(pages).collect()) == [(1, "u", "", 0), (1, "u", "Ünï", 3)]
