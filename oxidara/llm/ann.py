@@ -7,8 +7,13 @@ numbers them; blocks of consecutive numbers are the windows.  A query looks at i
 curve, the blocks give their best candidates, and these are merged and reranked by the exact cosine.
 
 How far a query looks is measured, not guessed: for a bounded sample of queries, the exact neighbours are found by
-one pass over all vectors in blocks, and the half-width is what brings TARGET of them into some window.  Data without structure in
-the projections (independent random vectors of many dimensions) thus get wide windows, structured data narrow ones.
+one pass over all vectors in blocks, and the half-width is what brings TARGET of them into some window.  Structured data thus get narrow
+windows.  Independent random vectors of many dimensions have no structure that a projection keeps: there the windows grow to most of the table,
+as they must for the recall that is asked for, and the search does the work of a brute-force one, spread over blocks.  ``nearest`` reports the
+half-width, the share of the table that a query reads and the sample's recall in ``report``.
+
+A group of the comparison holds one block of candidates and at most about MOST_QUERIES queries; where more are within reach, they are dealt over
+several groups.
 
 Of identical vectors only the k + 1 smallest ids are candidates: no other one can be among the k nearest.
 
@@ -36,8 +41,10 @@ TARGET = 0.96
 #: Queries whose exact neighbours set the width; rows that set the scale of the projections.
 SAMPLE_QUERIES, SAMPLE_ROWS = 120, 2000
 LEAST_BLOCK, MOST_BLOCK = 256, 8192
-#: Candidates that a block gives for a query, beyond k.
-SPARE = 4
+#: Queries of a group.
+MOST_QUERIES = 4096
+#: Candidates whose cosine by matrix product is so little less than the k-th best one's are ranked exactly as well.
+MARGIN = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -108,23 +115,24 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, most: int) -> pd.DataFrame:
-    """The best candidates of each query among v, other than itself, with their exact scores."""
-    out_q, out_v = [], []
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best candidates of each query among v, other than itself, with their exact scores; ties to the smaller id, however many there are."""
+    out: list[pd.DataFrame] = []
     unit_q, unit_v = _unit(q), _unit(v)
     step = max(1, 4_000_000 // max(len(v), 1))
     for at in range(0, len(q), step):
         s = unit_q[at : at + step] @ unit_v.T
         s[q_ids[at : at + step, None] == ids[None, :]] = -2.0
-        k = min(most, len(v))
-        # ties in order of id: candidates are sorted by id, and rounding hides the order of summation
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(v) else np.tile(np.arange(len(v)), (len(s), 1))
-        keep = np.take_along_axis(s, top, axis=1) > -2.0
-        rows = np.broadcast_to(np.arange(at, at + len(s))[:, None], top.shape)
-        out_q.append(rows[keep])
-        out_v.append(top[keep])
-    a, b = np.concatenate(out_q), np.concatenate(out_v)
-    return pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[b], "score": cosines(q[a], v[b])})
+        # the product only excludes: what is within its rounding of the k-th best is ranked by the exact score
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < len(v) else np.full(len(s), -1.5)
+        a, b = np.nonzero(s >= np.maximum(least - MARGIN, -1.5)[:, None])
+        score = cosines(q[at + a], v[b])
+        order = np.lexsort((ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a, side="left")
+        keep = place < k
+        out.append(pd.DataFrame({"query_id": q_ids[at + a[keep]], "vec_id": ids[b[keep]], "score": score[keep]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -141,8 +149,10 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query.  queries: a condition on vec_id."""
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found of each query.  queries: a condition on vec_id.
+
+    report gets half_width, share (of the candidates that a query reads at most on one curve) and recall (of the sample, by the windows alone)."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -194,51 +204,65 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     starts = numbered.groupBy("curve", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     placed = numbered.join(F.broadcast(starts), ["curve", "part"]).withColumn("place", F.col("place") + F.col("start")).drop("part", "start")
 
-    width = _half_width(everything, placed, some(False, SAMPLE_QUERIES), k)
+    width, recall = _half_width(everything, placed, some(False, SAMPLE_QUERIES), k)
     block = int(np.clip(width // 4, LEAST_BLOCK, MOST_BLOCK))
     reach = -(-width // block)
+    span, total = (2 * reach + 1) * block, max(sum(count.values()), 1)
+    chunks = max(1, -(-min(span, total) * count.get(False, 0) // (total * MOST_QUERIES)))
+    if report is not None:
+        report |= {"half_width": width, "share": min(1.0, span / total), "recall": recall}
     blocked = placed.withColumn("block", F.expr(f"CAST(place DIV {block} AS INT)")).drop("place")
-    members = blocked.where("candidate").select("curve", "block", "vec_id", "v").toDF("of_curve", "of_block", "member", "vector")
-    probes = blocked.where("NOT candidate").select("curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "vec_id", "v")
+    members = blocked.where("candidate").select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v").toDF("of_curve", "of_block", "of_chunk", "member", "vector")
+    probes = blocked.where("NOT candidate").select("curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "v")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         right = right.sort_values("member", kind="stable")
-        return _best(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["member"].to_numpy(), np.stack(right["vector"].to_numpy()), k + SPARE)
+        return _best(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["member"].to_numpy(), np.stack(right["vector"].to_numpy()), k)
 
-    found = probes.groupBy("curve", "block").cogroup(members.groupBy("of_curve", "of_block")).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
+    found = probes.groupBy("curve", "block", "chunk").cogroup(members.groupBy("of_curve", "of_block", "of_chunk")).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
     return _rank(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _half_width(everything: DataFrame, placed: DataFrame, sample: DataFrame, k: int) -> int:
-    """How far from a query on the nearest of the curves TARGET of the sample's true neighbours lie."""
-    asked = sample.select("vec_id", "v").collect()  # at most 2 * SAMPLE_QUERIES
-    if not asked:
-        return LEAST_BLOCK
-    q_ids, q = np.array([row["vec_id"] for row in asked]), np.array([row["v"] for row in asked])
-    shared = everything.sparkSession.sparkContext.broadcast((q_ids, q))
+def exact(vectors: DataFrame, asked: list, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest of a few queries, by one pass over all vectors.
+
+    vectors: vec_id and v as ``usable`` gives them; asked: at most MOST_QUERIES rows with vec_id and v."""
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([row["vec_id"] for row in asked]), np.array([row["v"] for row in asked])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
+        ids, q = shared.value
         for batch in batches:
-            if batch.num_rows:
-                best = _best(ids, vectors, batch.column("vec_id").to_numpy(), _matrix(batch.column("v")), k + SPARE)
+            if batch.num_rows and len(ids):
+                order = np.argsort(batch.column("vec_id").to_numpy(), kind="stable")
+                best = _best(ids, q, batch.column("vec_id").to_numpy()[order], _matrix(batch.column("v"))[order], k)
                 yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    true = _rank(everything.where("candidate").select("vec_id", "v").mapInArrow(scan, "query_id bigint, vec_id bigint, score double"), k)
+    return _rank(vectors.select("vec_id", "v").mapInArrow(scan, "query_id bigint, vec_id bigint, score double"), k)
+
+
+def _half_width(everything: DataFrame, placed: DataFrame, sample: DataFrame, k: int) -> tuple[int, float]:
+    """How far from a query on the nearest of the curves TARGET of the sample's true neighbours lie, and the share that is within."""
+    asked = sample.select("vec_id", "v").collect()  # at most 2 * SAMPLE_QUERIES
+    if not asked:
+        return LEAST_BLOCK, 1.0
+    true = exact(everything.where("candidate"), asked, k)
     pairs = [(row["query_id"], row["vec_id"]) for row in true.select("query_id", "vec_id").collect()]  # k for each sampled query
     if not pairs:
-        return LEAST_BLOCK
-    wanted = everything.sparkSession.createDataFrame([(int(a), False) for a in q_ids] + [(int(b), True) for _, b in pairs], "vec_id bigint, candidate boolean").distinct()
+        return LEAST_BLOCK, 1.0
+    wanted = everything.sparkSession.createDataFrame([(row["vec_id"], False) for row in asked] + [(b, True) for _, b in pairs], "vec_id bigint, candidate boolean").distinct()
     at: dict[tuple, np.ndarray] = {}
     for row in placed.join(F.broadcast(wanted), ["vec_id", "candidate"]).select("vec_id", "candidate", "curve", "place").collect():
         at.setdefault((row["vec_id"], row["candidate"]), np.full(CURVES, -(1 << 40), dtype=np.int64))[row["curve"]] = row["place"]
     far = np.array([np.abs(at[a, False] - at[b, True]).min() for a, b in pairs if (a, False) in at and (b, True) in at])
-    return int(np.quantile(far, TARGET, method="higher")) + LEAST_BLOCK // 2
+    width = int(np.quantile(far, TARGET, method="higher")) + LEAST_BLOCK // 2
+    return width, float((far <= width).mean())
 
 
-def recall(found: DataFrame, exact: DataFrame) -> float:
-    """Share of the exact (query_id, vec_id) pairs that were found."""
-    both = exact.join(found, ["query_id", "vec_id"], "left_semi").count()
-    return both / max(exact.count(), 1)
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """Share of the true (query_id, vec_id) pairs that were found."""
+    both = truth.join(found, ["query_id", "vec_id"], "left_semi").count()
+    return both / max(truth.count(), 1)

@@ -247,6 +247,34 @@ def test_nearest(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_leaves_rows_out(spark, monkeypatch):
+    """Vectors with structure: windows that hold a small part of the table find nearly all true neighbours."""
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 64)
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(300, 6)) @ r.normal(size=(6, 48))
+    v = (centres[r.integers(0, 300, 12_000)] + 0.15 * r.normal(size=(12_000, 48))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v[i].tolist()) for i in range(len(v))], "vec_id bigint, embedding array<float>")
+    report = {}
+    found = ann.nearest(frame, F.col("vec_id") % 50 == 0, report=report).cache()
+    rows = ann.usable(frame)
+    truth = ann.exact(rows, rows.where("vec_id % 50 = 0").collect())
+    assert truth.count() == 240 * 5 and ann.recall(found, truth) >= 0.9
+    assert report["share"] < 0.35 and report["recall"] >= ann.TARGET
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_nearest_ties(spark, monkeypatch, most):
+    """Equal cosines of different vectors (one direction, many lengths): the smaller ids; queries dealt over groups."""
+    monkeypatch.setattr(ann, "MOST_QUERIES", most)
+    lengths = [1.0, 2.0, 4.0, 0.5, 0.25, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0, 1024.0, 0.125]
+    rows = [(i, [lengths[i % 14] * x for x in (1.0, 2.0, 3.0, 4.0)]) for i in range(200)] + [(1000, [-1.0, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for row in ann.nearest(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append(row["vec_id"])
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == got[100] == got[150] == [0, 1, 2, 3, 4]
+
+
 def test_hilbert_neighbours():
     """Consecutive keys are neighbouring cells, and each cell has one key."""
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
