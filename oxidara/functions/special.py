@@ -118,21 +118,41 @@ def failure_cdf(x0, la_mu, la_var, beta, limit, usage, t) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def failure_quantiles(x0, la_mu, la_var, beta, limit, usage, probs=(0.05, 0.5, 0.95), horizon: int = 18, steps: int = 32) -> np.ndarray:
-    """Months until failure by bisection on [0, 4 * horizon]; infinity beyond that."""
-    args = (x0, la_mu, la_var, beta, limit, usage)
-    top = failure_cdf(*args, [4.0 * horizon])[:, 0]
-    out = np.empty((len(top), len(probs)))
+def failure_quantiles(x0, la_mu, la_var, beta, limit, usage, probs=(0.05, 0.5, 0.95), horizon: int = 18, monthly: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """Months until failure (units x probs); infinity beyond four horizons.
+
+    The monthly probabilities (units x horizon, computed where not given) say between which two months a quantile lies, else it lies between one
+    horizon and four.  Inside, false position closes in on it, with the weight of an end halved that stays twice (Illinois)."""
+    args = [np.asarray(c, dtype=np.float64) for c in (x0, la_mu, la_var, beta, limit, usage)]
+    if monthly is None:
+        monthly = failure_cdf(*args, np.arange(1, horizon + 1))
+    grid = np.concatenate((np.zeros((len(monthly), 1)), monthly, failure_cdf(*args, [4.0 * horizon])), axis=1)
+    months = np.append(np.arange(horizon + 1.0), 4.0 * horizon)
+    out = np.empty((len(grid), len(probs)))
     for j, p in enumerate(probs):
-        low, high = np.zeros(len(top)), np.full(len(top), 4.0 * horizon)
-        for _ in range(steps):
-            middle = (low + high) / 2
-            below = failure_cdf(*args, middle[:, None])[:, 0] < p
-            low, high = np.where(below, middle, low), np.where(below, high, middle)
-        out[:, j] = np.where(top < p, np.inf, (low + high) / 2)
+        above = (grid >= p).argmax(axis=1)
+        out[:, j] = np.where(grid[:, -1] < p, np.inf, months[above])
+        active = np.flatnonzero((grid[:, -1] >= p) & (above > 0))
+        low, high = months[above[active] - 1], months[above[active]]
+        f_low, f_high = grid[active, above[active] - 1] - p, grid[active, above[active]] - p
+        stayed = np.zeros(len(active))  # the end that stayed in the round before: -1 low, 1 high
+        for _ in range(rounds):
+            if not len(active):
+                break
+            middle = high - f_high * (high - low) / (f_high - f_low)
+            f = failure_cdf(*(c[active] for c in args), middle[:, None])[:, 0] - p
+            below = f < 0
+            f_low, f_high = np.where(below, f, np.where(stayed < 0, f_low / 2, f_low)), np.where(below, np.where(stayed > 0, f_high / 2, f_high), f)
+            low, high, stayed = np.where(below, middle, low), np.where(below, high, middle), np.where(below, 1, -1)
+            out[active, j] = middle
+            go = (high - low > QUANTILE_TOLERANCE) & (np.abs(f) > 1e-12)
+            active, low, high, f_low, f_high, stayed = active[go], low[go], high[go], f_low[go], f_high[go], stayed[go]
     return out
 
 
+#: Months by which a quantile may be off.
+QUANTILE_TOLERANCE = 1e-7
+
 FORECAST_INPUTS = ("x0", "la_mu", "la_var", "beta", "threshold", "usage")
 
 
@@ -143,15 +163,10 @@ def forecast_udf(horizon: int):
     def forecast(x0: pd.Series, la_mu: pd.Series, la_var: pd.Series, beta: pd.Series, threshold: pd.Series, usage: pd.Series) -> pd.DataFrame:
         args = [c.to_numpy(dtype=np.float64) for c in (x0, la_mu, la_var, beta, threshold, usage)]
         cdf = failure_cdf(*args, np.arange(1, horizon + 1))
-        q = failure_quantiles(*args, horizon=horizon)
+        q = failure_quantiles(*args, horizon=horizon, monthly=cdf)
         return pd.DataFrame({"p05": q[:, 0], "p50": q[:, 1], "p95": q[:, 2], "pfail": cdf[:, -1], "cdf": list(cdf)}, index=x0.index)
 
     return forecast
 
 
-def register(spark) -> None:
-    """Make gammainc usable from SQL."""
-    spark.udf.register("gammainc", pandas_udf(_gamma_p, "double"))
-
-
-__all__ = ["FORECAST_INPUTS", "failure_cdf", "failure_quantiles", "forecast_udf", "gamma_p", "gammainc", "hermite", "log_gamma", "register"]
+__all__ = ["FORECAST_INPUTS", "failure_cdf", "failure_quantiles", "forecast_udf", "gamma_p", "gammainc", "hermite", "log_gamma"]

@@ -57,8 +57,9 @@ def prefix_sums(sequenced: DataFrame) -> DataFrame:
 def change_points(sequenced: DataFrame) -> DataFrame:
     """Per candidate row: p that what follows is no faster than what came before predicts.
 
-    sequenced: with beta, sigma, mu, tau.  Prefix sums make every candidate O(1); the special function sees candidates only."""
-    rows = prefix_sums(sequenced).where("n_rows >= 13 AND (rn - 1) % 3 = 0 AND rn > 1 AND rn <= n_rows - 6")
+    sequenced: with beta, sigma, mu, tau.  Candidates are every third row from the first one, which has nothing before it and is held against the
+    prior alone.  Prefix sums make every candidate O(1); the special function sees candidates only."""
+    rows = prefix_sums(sequenced).where("n_rows >= 13 AND (rn - 1) % 3 = 0 AND rn <= n_rows - 6")
     eps, beta, s2 = F.lit(2.220446049250313e-16), F.col("beta"), F.col("sigma") * F.col("sigma")
     u = F.greatest(F.col("pre_u").cast("double"), eps)
     rows = rows.withColumn("r_pre", F.greatest(F.col("pre_d") / u, F.lit(1e-6)))
@@ -78,8 +79,11 @@ def change_points(sequenced: DataFrame) -> DataFrame:
 
 
 def persistence(candidates: DataFrame) -> DataFrame:
-    """Per channel: p_min, its month (the first of equal ones), corrected p, persistent, watch."""
-    best = candidates.groupBy("chan").agg(F.min(F.struct("p", "rn", "month")).alias("best"), F.count(F.lit(1)).alias("n_valid"))
+    """Per channel: p_min, its month (the first of equal ones), corrected p, persistent, watch.
+
+    p is one less a probability, so what it has below 1e-12 is rounding: such values are equal."""
+    settled = candidates.withColumn("p", F.round(F.greatest("p", F.lit(0.0)), 12))
+    best = settled.groupBy("chan").agg(F.min(F.struct("p", "rn", "month")).alias("best"), F.count(F.lit(1)).alias("n_valid"))
     rows = best.select("chan", F.col("best.p").alias("p_min"), F.col("best.month").alias("onset"), F.least(F.lit(1.0), F.col("best.p") * F.col("n_valid")).alias("p_corrected"))
     return rows.withColumn("persistent", F.col("p_corrected") < PERSIST_P).withColumn("watch", F.col("p_min") < WATCH_P)
 
@@ -99,7 +103,7 @@ def isolate(rows: DataFrame, channels: DataFrame, n_months: int) -> DataFrame:
     scale = persistent & e1 & (F.col("t_spike") <= F.col("onset"))
     kind = F.when(dropout, DROPOUT).when(e3, STUCK).when(scale, SCALE).when(persistent, ACCELERATED).when(e1 | e5, BIAS).otherwise(NONE)
     found = found.withColumn("class", kind)
-    start = F.when(dropout, F.lit(n_months - 12)).when(e3, F.col("t_stuck") - 2).when(persistent, F.col("onset")).when(e1 | e5, F.least("t_spike", "t_install"))
+    start = F.when(dropout, F.lit(n_months - 12)).when(e3, F.col("t_stuck") - 2).when(scale, F.col("t_spike")).when(persistent, F.col("onset")).when(e1 | e5, F.least("t_spike", "t_install"))
     sure = F.when(dropout, F.least(F.lit(1.0), F.col("missing") / 12)).when(e3, 1.0).when(persistent, F.least(F.lit(1.0), -F.log10(F.greatest("p_corrected", F.lit(1e-12))) / 6)).when(e1 | e5, 0.7 + 0.3 * (e1 & e5).cast("int"))
     bits = e1.cast("int") + 2 * persistent.cast("int") + 4 * e3.cast("int") + 8 * dropout.cast("int") + 16 * e5.cast("int")
     return found.select("chan", "class", start.alias("onset_month"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), bits.alias("bits"), F.coalesce("n_obs", F.lit(0)).alias("n_obs"), (F.coalesce("watch", F.lit(False)) & (F.col("class") == NONE)).alias("watch"), F.coalesce("p_corrected", F.lit(1.0)).alias("persist_p"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oxidara.functions.special import FORECAST_INPUTS, forecast_udf
+from oxidara.operators.ranks import interpolated
 
 STALE_MONTHS, LEAST_FAILURES = 3, 20
 
@@ -17,7 +18,7 @@ STALE_MONTHS, LEAST_FAILURES = 3, 20
 def thresholds(rows: DataFrame, failures: DataFrame, comps: DataFrame) -> DataFrame:
     """comp, threshold: the 0.97 quantile of the largest readings of failed parts, less sensor noise; null if fewer than 20."""
     most = rows.join(failures.select("serial").distinct(), "serial", "left_semi").groupBy("comp", "serial").agg(F.max("reading").alias("most"))
-    q = most.groupBy("comp").agg(F.percentile("most", 0.97).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = interpolated(most, ["comp"], "most", 0.97).withColumnRenamed("most", "q")
     return comps.join(q, "comp", "left").select("comp", F.when(F.col("n") >= LEAST_FAILURES, F.col("q") - 1.88 * F.col("sigma")).alias("threshold"))
 
 
@@ -29,8 +30,9 @@ def usage_by_tail(rows: DataFrame) -> DataFrame:
 def dense_usage(rows: DataFrame) -> DataFrame:
     """usage_by_tail for every tail from 1 to the largest; gaps get the fleet's mean and median."""
     own = usage_by_tail(rows)
-    fleet = own.agg(F.avg("usage").alias("mean_usage"), F.median("log_sd").alias("median_sd"), F.max("tail").alias("top"))
-    spine = fleet.select(F.explode(F.sequence(F.lit(1), F.col("top").cast("int"))).alias("tail"), "mean_usage", "median_sd")
+    fleet = own.agg(F.avg("usage").alias("mean_usage"), F.median("log_sd").alias("median_sd"))
+    top = rows.agg(F.max("tail")).first()[0] or 0
+    spine = rows.sparkSession.range(1, int(top) + 1).select(F.col("id").cast("int").alias("tail")).crossJoin(F.broadcast(fleet))  # one row
     return spine.join(own, "tail", "left").select("tail", F.coalesce("usage", "mean_usage").alias("usage"), F.coalesce("log_sd", "median_sd", F.lit(0.0)).alias("log_sd"))
 
 
@@ -59,8 +61,11 @@ def damage_state(rows: DataFrame, posterior: DataFrame, flags: DataFrame, params
 
 
 def forecast(state: DataFrame, horizon: int) -> DataFrame:
-    """state with p05, p50, p95 (infinite beyond four horizons), pfail and the monthly cdf."""
-    return state.withColumn("f", forecast_udf(horizon)(*FORECAST_INPUTS)).select(*state.columns, "f.*")
+    """state with p05, p50, p95 (infinite beyond four horizons), pfail and the monthly cdf.
+
+    The special functions cost far more than a shuffle of a row per channel: channels are dealt evenly over all cores."""
+    dealt = state.repartition(state.sparkSession.sparkContext.defaultParallelism, "chan")
+    return dealt.withColumn("f", forecast_udf(horizon)(*FORECAST_INPUTS)).select(*state.columns, "f.*")
 
 
 def expected_by_month(forecasts: DataFrame) -> DataFrame:
@@ -70,48 +75,92 @@ def expected_by_month(forecasts: DataFrame) -> DataFrame:
     return each.groupBy((F.col("month") + 1).alias("month")).agg(F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("variance"))
 
 
-def availability(units: DataFrame, horizon: int, replicates: int, n_tails: int, seed: int, repair: tuple[float, float, float, float]) -> DataFrame:
-    """rep, month, available: Monte-Carlo over unit lives; rep and month are dealt over tasks by unit.
+#: Units whose lives are simulated side by side.
+UNITS_A_STEP = 64
+
 
-    units: chan, tail, x0, la_mu, la_var, beta, threshold, usage, log_sd.  Each unit's draws depend on (seed, chan) only.  What a
-    task sends on are the (rep, month, tail) that are down, so an aircraft's units may lie in several tasks."""
+def unit_lives(pdf: pd.DataFrame, horizon: int, replicates: int, seed: int, repair: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """down and failed (unit x replicate x month).  Each unit's draws depend on (seed, chan) only."""
     mu, sigma, p_spare, backorder = repair
+    columns = [pdf[c].to_numpy(dtype=np.float64) for c in ("x0", "la_mu", "la_var", "beta", "threshold", "usage", "log_sd")]
+    fine = np.isfinite(np.stack(columns)).all(axis=0) & (columns[6] >= 0) & (columns[6] <= 2) & (columns[2] >= 0)
+    if not fine.all():
+        raise ValueError(f"channel {pdf['chan'].iloc[int(np.flatnonzero(~fine)[0])]}: inputs out of range")
+    x0, la_mu, la_var, beta, threshold, usage, log_sd = columns
+    size = (len(pdf), replicates, horizon)
+    grown, wait = np.empty(size), np.empty(size)
+    for i, chan in enumerate(pdf["chan"].tolist()):
+        r = np.random.default_rng([seed, int(chan)])
+        alpha = np.exp(la_mu[i] + np.sqrt(la_var[i]) * r.standard_normal(replicates))
+        shape = alpha[:, None] * usage[i] * np.exp(log_sd[i] * r.standard_normal(size[1:]))
+        if not (np.isfinite(shape) & (shape > 0)).all():  # such a unit would never fail
+            raise ValueError(f"channel {chan}: the shape of its wear is not a positive number")
+        grown[i] = beta[i] * r.gamma(shape)
+        wait[i] = r.lognormal(mu, sigma, size[1:]) + backorder * (r.random(size[1:]) > p_spare)
+    months = np.ceil(wait).astype(np.int64)
+    x, until = np.broadcast_to(x0[:, None], size[:2]).copy(), np.zeros(size[:2], dtype=np.int64)
+    down, failed = np.empty(size, dtype=bool), np.empty(size, dtype=bool)
+    for m in range(1, horizon + 1):
+        works = until < m
+        x += np.where(works, grown[:, :, m - 1], 0.0)
+        hit = works & (x >= threshold[:, None])
+        until = np.where(hit, m + months[:, :, m - 1], until)
+        x[hit] = 0.0
+        down[:, :, m - 1], failed[:, :, m - 1] = until >= m, hit
+    return down, failed
+
+
+def lives(units: DataFrame, horizon: int, replicates: int, seed: int, repair: tuple[float, float, float, float]) -> DataFrame:
+    """rep, month, comp, n: failures of each component (comp from 1), and aircraft that are down (comp 0).
+
+    units: chan, tail, comp, x0, la_mu, la_var, beta, threshold, usage, log_sd.  The units of an aircraft, a row for each component, meet in one task,
+    which adds up what it simulates: (components + 1) x replicates x months rows leave it, whatever the number of its units."""
 
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        last_tail, last_down = None, None  # an aircraft's units may go on in the next batch
+
+        def count(comp: int, what: np.ndarray) -> None:
+            total[comp] = total.get(comp, 0) + what.astype(np.int64)
+
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if not np.isfinite([row.x0, row.la_mu, row.la_var, row.beta, row.threshold, row.usage, row.log_sd]).all() or not 0 <= row.log_sd <= 2:
-                    raise ValueError(f"channel {row.chan}: inputs out of range")
-                r = np.random.default_rng([seed, int(row.chan)])
-                alpha = np.exp(row.la_mu + np.sqrt(row.la_var) * r.standard_normal(replicates))
-                x, until = np.full(replicates, float(row.x0)), np.zeros(replicates, dtype=np.int64)
-                down = np.zeros((replicates, horizon), dtype=bool)
-                failed = np.zeros((replicates, horizon), dtype=bool)
-                for m in range(1, horizon + 1):
-                    du = row.usage * np.exp(row.log_sd * r.standard_normal(replicates))
-                    grown = x + row.beta * r.gamma(np.maximum(alpha * du, 1e-12))
-                    x = np.where(until < m, grown, x)
-                    hit = (x >= row.threshold) & (until < m)
-                    wait = r.lognormal(mu, sigma, replicates) + backorder * (r.random(replicates) > p_spare)
-                    until = np.where(hit, m + np.ceil(wait).astype(np.int64), until)
-                    x = np.where(hit, 0.0, x)
-                    down[:, m - 1], failed[:, m - 1] = until >= m, hit
-                rep, month = np.nonzero(down)
-                yield pd.DataFrame({"rep": rep, "month": month + 1, "tail": np.int64(row.tail), "failed": failed[rep, month].astype(np.int32)})
-
-    columns = units.select("chan", "tail", "x0", "la_mu", "la_var", "beta", "threshold", "usage", "log_sd")
-    down = columns.mapInPandas(simulate, "rep int, month int, tail bigint, failed int")
-    by_tail = down.groupBy("rep", "month", "tail").agg(F.sum("failed").alias("failed")).groupBy("rep", "month").agg(F.count(F.lit(1)).alias("down"), F.sum("failed").alias("failures"))
-    spine = units.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("month"))
-    return spine.join(by_tail, ["rep", "month"], "left").select("rep", "month", (1 - F.coalesce("down", F.lit(0)) / F.lit(n_tails)).alias("available"), F.coalesce("failures", F.lit(0)).alias("failures"))
-
-
-def nearest_rank(frame: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Means and nearest-rank quantiles (an element of the sorted values, never interpolated)."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = frame.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    at = {k: F.greatest(F.lit(1), F.least(F.col("_n"), F.round(F.lit(p) * F.col("_n")).cast("bigint"))) for k, p in probs.items()}
-    return ranked.groupBy(*by).agg(F.avg(value).alias("mean"), *[F.max(F.when(F.col("_r") == x, F.col(value))).alias(k) for k, x in at.items()])
+            for at in range(0, len(pdf), UNITS_A_STEP):
+                part = pdf.iloc[at : at + UNITS_A_STEP]
+                down, failed = unit_lives(part, horizon, replicates, seed, repair)
+                comp, tail = part["comp"].to_numpy(), part["tail"].to_numpy()
+                for k in np.unique(comp).tolist():
+                    count(int(k), failed[comp == k].sum(axis=0))
+                begins = np.flatnonzero(np.append(True, tail[1:] != tail[:-1]))
+                by_tail = np.logical_or.reduceat(down, begins, axis=0)
+                if last_down is not None:
+                    if tail[0] == last_tail:
+                        by_tail[0] |= last_down
+                    else:
+                        count(0, last_down)
+                count(0, by_tail[:-1].sum(axis=0))
+                last_tail, last_down = tail[-1], by_tail[-1]
+        if last_down is not None:
+            count(0, last_down)
+        rep, month = (x.ravel() for x in np.indices((replicates, horizon)))
+        for comp, n in total.items():
+            yield pd.DataFrame({"rep": rep.astype(np.int32), "month": (month + 1).astype(np.int32), "comp": np.int32(comp), "n": n.ravel()})
+
+    columns = units.select("chan", "tail", "comp", "x0", "la_mu", "la_var", "beta", "threshold", "usage", "log_sd")
+    dealt = columns.repartition(units.sparkSession.sparkContext.defaultParallelism, "tail").sortWithinPartitions("tail", "chan")
+    return dealt.mapInPandas(simulate, "rep int, month int, comp int, n bigint").groupBy("rep", "month", "comp").agg(F.sum("n").alias("n"))
+
+
+def availability(lived: DataFrame, n_tails: int) -> DataFrame:
+    """rep, month, available (share of n_tails aircraft), failures of all components.  lived: from ``lives``."""
+    rows = lived.groupBy("rep", "month").agg(F.sum(F.when(F.col("comp") == 0, F.col("n")).otherwise(0)).alias("down"), F.sum(F.when(F.col("comp") > 0, F.col("n")).otherwise(0)).alias("failures"))
+    return rows.select("rep", "month", (1 - F.col("down") / F.lit(n_tails)).alias("available"), "failures")
+
+
+def replicate_quantiles(runs: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Means and nearest-rank quantiles over the replicates, of which a group has one row each."""
+    found = runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("_v"))
+    at = {k: F.greatest(F.lit(1), F.least(F.size("_v"), F.round(F.lit(p) * F.size("_v")).cast("int"))) for k, p in probs.items()}
+    return found.select(*by, "mean", *[F.element_at("_v", x).alias(k) for k, x in at.items()])
 
 
 def calibration(frame: DataFrame, p: str, y: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The columns of a record; the reason codes below and their bounds are fixed values as well.
 REQUIRED = ("tail", "component", "serial", "month", "usage_hours", "reading")
 NUMERIC = ("serial", "month", "usage_hours", "reading")
+#: A fraction in these is no number of a part or of a month: TYPE, never cut off.
+WHOLE = ("serial", "month")
 MOST_HOURS = 24 * 31
 _NUMBER = r"^[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf|infinity)$"
 
@@ -32,9 +35,11 @@ def screen(rows: DataFrame, roster: DataFrame, components: list[str], n_months:
     (tail, component, serial) serves both windows; the roster, one row for each aircraft, is joined by tail."""
     missing = [c for c in REQUIRED if c not in rows.columns]
     if missing:
-        raise Refused(f"SCHEMA_COLUMNS: missing {missing}")
+        raise Refused(f"SCHEMA_COLUMNS: the source lacks {', '.join(missing)}")
     for c in NUMERIC:
         rows = rows.withColumn(c, number(c))
+    for c in WHOLE:
+        rows = rows.withColumn(c, F.when((F.col(c) == F.floor(c)) & (F.abs(c) < 2.0**53), F.col(c)))
     known = roster.select(F.col("tail").alias("_tail")).distinct()
     rows = rows.join(known, rows["tail"] == known["_tail"], "left").repartition("tail", "component", "serial")
     keys = ["tail", "component", "serial", "month"]
@@ -85,4 +90,4 @@ def refuse(summary: DataFrame, most: float = 0.05) -> None:
     """Stop if too large a share is quarantined."""
     row = summary.first()
     if row["rows_quarantined"] > most * max(row["rows_in"], 1):
-        raise Refused(f"quarantine fraction {row['quarantine_frac']:.3f} exceeds {most}")
+        raise Refused(f"{row['rows_quarantined']} of {row['rows_in']} records were set aside; at most a share of {most} may be")

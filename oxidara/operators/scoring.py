@@ -21,7 +21,8 @@ def conditional_coverage(frame: DataFrame, cdf_at_horizon: str) -> DataFrame:
     """What share of failures within the horizon a 90 % interval should cover, as only failures are seen."""
     f = F.col(cdf_at_horizon)
     share = F.when(f <= 0.05, 0.0).when(f >= 0.95, 0.9 / f).otherwise((f - 0.05) / f)
-    return frame.agg(F.count(F.lit(1)).alias("n"), F.avg(share).alias("benchmark"))
+    found = frame.agg(F.count(F.lit(1)).alias("n"), F.avg(share).alias("benchmark"))
+    return found.withColumn("se", F.sqrt(F.col("benchmark") * (1 - F.col("benchmark")) / F.greatest("n", F.lit(1))))
 
 
 def matched_recall(found: DataFrame, planted: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,14 +16,14 @@ class Stopped(RuntimeError):
 NOISE_FLOOR = 0.0011
 
 
-def fit_degradations(components: DataFrame) -> list[str]:
+def fit_degradations(components: DataFrame, which: str = "fit") -> list[str]:
     """What is wrong with the fit, a sentence for each component (a row per component comes to the driver)."""
     out = []
     for row in components.orderBy("comp").collect():
         if row["beta"] is None:
-            out.append(f"component {row['comp']} could not be fitted")
+            out.append(f"{which}: component {row['comp']} could not be fitted")
         elif row["sigma"] is not None and row["sigma"] <= NOISE_FLOOR:
-            out.append(f"component {row['comp']}: sensor noise hit its floor")
+            out.append(f"{which}: sensor noise of component {row['comp']} hit its floor")
     return out
 
 

@@ -74,20 +74,12 @@ def state_step(sequenced: DataFrame, comps: DataFrame, units: DataFrame, flags:
     return {"state": state.join(usage.select("tail", "log_sd"), "tail"), "thresholds": limits}
 
 
-#: Channels of one task of a step that spends milliseconds on each; their bytes alone would put all of them in one task.
-CHANNELS_A_TASK = 500
-
-
-def _dealt(state: DataFrame) -> DataFrame:
-    return state.repartition(state.count() // CHANNELS_A_TASK + 1, "chan")
-
-
 def forecast_step(state: DataFrame, horizon: int) -> dict[str, DataFrame]:
-    return {"forecasts": forecast.forecast(_dealt(state), horizon)}
+    return {"forecasts": forecast.forecast(state, horizon)}
 
 
-def availability_step(state: DataFrame, horizon: int, replicates: int, n_tails: int, seed: int, repair: list[float]) -> dict[str, DataFrame]:
-    return {"runs": forecast.availability(_dealt(state), horizon, replicates, n_tails, seed, tuple(repair))}
+def lives_step(state: DataFrame, horizon: int, replicates: int, seed: int, repair: list[float]) -> dict[str, DataFrame]:
+    return {"lived": forecast.lives(state, horizon, replicates, seed, tuple(repair))}
 
 
 def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFrame, events: DataFrame, config: Config, order: str = "_row") -> Result:
@@ -101,24 +93,29 @@ def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFr
     ingest.refuse(counts, config.most_quarantined)
     sequenced = store.run("encode", encode_step, {"screened": screened}, ["sequenced"], {"components": codes})["sequenced"]
     first = store.run("fit", fit_step, {"sequenced": sequenced}, ["comps", "units"])
+    degradations = gates.fit_degradations(first["comps"], "first fit")
     flags = store.run("detect", detect_step, {"sequenced": sequenced, "roster": roster, **first}, ["flags"], {"k": len(codes), "n_months": config.n_months})["flags"]
     gates.flagged_share(flags, config.most_flagged)
     second = store.run("refit", refit_step, {"sequenced": sequenced, "flags": flags}, ["comps", "units"])
-    degradations = gates.fit_degradations(second["comps"])
+    degradations += gates.fit_degradations(second["comps"], "refit")
     made = store.run("state", state_step, {"sequenced": sequenced, "flags": flags, "events": events, **second}, ["state", "thresholds"], {"n_months": config.n_months})
     for row in made["thresholds"].where("threshold IS NULL").orderBy("comp").collect():  # at most a row per component
         degradations.append(f"component {row['comp']} has too few failures for a threshold")
     forecasts = store.run("forecast", forecast_step, {"state": made["state"]}, ["forecasts"], {"horizon": config.horizon})["forecasts"]
     gates.forecasts(forecasts)
-    params = {"horizon": config.horizon, "replicates": config.replicates, "n_tails": roster.distinct().count(), "seed": config.seed, "repair": list(config.repair)}
-    runs = store.run("availability", availability_step, {"state": made["state"]}, ["runs"], params)["runs"]
+    params = {"horizon": config.horizon, "replicates": config.replicates, "seed": config.seed, "repair": list(config.repair)}
+    lived = store.run("lives", lives_step, {"state": made["state"]}, ["lived"], params)["lived"]
+    runs = forecast.availability(lived, roster.distinct().count())
     gates.availability(runs)
-    months = forecast.nearest_rank(runs, ["month"], "available", {"p05": 0.05, "p95": 0.95})
+    band = {"p05": 0.05, "p95": 0.95}
+    months = forecast.replicate_quantiles(runs, ["month"], "available", band)
+    failures = forecast.replicate_quantiles(lived.where("comp > 0"), ["comp", "month"], "n", band)
     ledger = report.ledger(forecasts, flags, codes, config.horizon)
-    head = report.header(ledger, flags, counts, months, made["thresholds"], codes, config.horizon, config.high_risk, degradations)
+    report.complete(ledger, made["state"])
+    head = report.header(ledger, flags, counts, months, failures, made["thresholds"], second["comps"], codes, config.horizon, config.high_risk, degradations)
     text, facts = report.summary(head)
     gates.audit(text, facts | {f"code_{c}": c for c in codes}, degradations, "|".join([r"T\d{4,}", *codes]))
-    tables = {"screened": screened, "flags": flags, "comps": second["comps"], "units": second["units"], "state": made["state"], "thresholds": made["thresholds"], "forecasts": forecasts, "availability": months, "ledger": ledger}
+    tables = {"screened": screened, "flags": flags, "comps": second["comps"], "units": second["units"], "state": made["state"], "thresholds": made["thresholds"], "forecasts": forecasts, "availability": months, "failures": failures, "ledger": ledger}
     return Result(tables, head, text)
 
 

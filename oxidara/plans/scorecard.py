@@ -1,4 +1,6 @@
-"""A run over a simulated fleet, scored against what was planted: a row per check with its value and its bound."""
+"""A run over a fleet whose truth is known, scored against it: a row per check with its value and its bound, and tables behind them.
+
+truth: chan, comp, alpha, fault, onset, ttf (months to failure after the last inspection, -1 beyond the horizon); corrupted: kind, tail, component, month."""
 
 from __future__ import annotations
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oxidara.operators import forecast, scoring
 from oxidara.plans.run import Result
-from oxidara.sources.fleet import FAULTS, Fleet
+from oxidara.operators.report import FAULT_NAMES
 
 # Bounds of the checks, and the reason code by which each kind of corruption is found.
 BETA_RATIO, SEVERITY, COVERAGE_GAP, SURVIVORS, MONTHS_INSIDE, TOTAL_SE, FALSE_ALARMS = 1.3, (0.85, 0.95), 0.06, 0.95, 13 / 18, 3.5, 0.01
@@ -60,8 +62,35 @@ def recall(screened: DataFrame, corrupted: DataFrame) -> DataFrame:
     return out
 
 
-def score(fleet: Fleet, result: Result, components: list[tuple], horizon: int) -> DataFrame:
-    """name, value, least, most, passed.  Every aggregate is one row, or one for each component, month or kind."""
+def details(truth: DataFrame, result: Result, limits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables that the checks rest on, each of a few rows.  limits: comp, threshold as they truly are."""
+    t = result.tables
+    joined = t["forecasts"].join(truth.select("chan", "ttf", F.col("fault").alias("true_fault")), "chan").withColumn("y", (F.col("ttf") > 0).cast("int"))
+    severity = t["units"].join(truth.select("chan", "fault", F.col("alpha").alias("true_alpha")), "chan").withColumn("miss", F.abs(F.log("true_alpha") - F.col("la_mu")) / F.sqrt("la_var"))
+    out = {
+        "severity_coverage": severity.groupBy("fault").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("miss") < Z90).cast("int")).alias("share")),
+        "calibration": forecast.calibration(joined, "pfail", "y"),
+        "brier_by_basis": scoring.brier(joined, "pfail", "y", ["basis"]),
+        "confusion": scoring.confusion(t["flags"].join(truth.select("chan", "fault"), "chan"), "fault", "class"),
+        "onset_errors": onset_errors(t["flags"], truth),
+        "power": detection_power(t["flags"], truth),
+        "watch": watch_yield(t["flags"], truth),
+    }
+    if limits is not None:
+        out["thresholds"] = t["thresholds"].join(limits.select("comp", F.col("threshold").alias("true_threshold")), "comp")
+    return out
+
+
+def drift(before: DataFrame, after: DataFrame, rtol: float = 1e-6) -> DataFrame:
+    """Rows of two scorecards (name, value) that do not agree: a name that only one has, or values further apart than rtol."""
+    both = before.select("name", F.col("value").alias("before"), F.lit(True).alias("_b")).join(after.select("name", F.col("value").alias("after"), F.lit(True).alias("_a")), "name", "full")
+    same = F.col("before").eqNullSafe(F.col("after")) | (F.abs(F.col("before") - F.col("after")) <= 1e-9 + rtol * F.greatest(F.abs("before"), F.abs("after")))
+    return both.where(F.col("_a").isNull() | F.col("_b").isNull() | ~F.coalesce(same, F.lit(False))).drop("_a", "_b")
+
+
+def score(truth: DataFrame, corrupted: DataFrame, result: Result, betas: dict[str, float], horizon: int) -> DataFrame:
+    """name, value, least, most, passed.  betas: true scale of each component, in catalogue order.  Every aggregate is one row, or one for each
+    component, month or kind."""
     t, found = result.tables, []
     spark = t["ledger"].sparkSession
 
@@ -70,12 +99,12 @@ def score(fleet: Fleet, result: Result, components: list[tuple], horizon: int) -
         found.append((name, value, float(least), float(most), least <= value <= most))
 
     for row in t["comps"].orderBy("comp").collect():
-        code, _, beta, *_ = components[row["comp"] - 1]
+        code, beta = list(betas.items())[row["comp"] - 1]
         check(f"beta of {code} over truth", (row["beta"] or math.nan) / beta, 1 / BETA_RATIO, BETA_RATIO)
-    healthy = t["units"].join(fleet.truth.where("fault = 0").select("chan", F.col("alpha").alias("true_alpha")), "chan")
+    healthy = t["units"].join(truth.where("fault = 0").select("chan", F.col("alpha").alias("true_alpha")), "chan")
     inside = F.abs(F.log("true_alpha") - F.col("la_mu")) < Z90 * F.sqrt("la_var")
     check("severity coverage, healthy channels", healthy.agg(F.avg(inside.cast("int"))).first()[0], *SEVERITY)
-    joined = t["forecasts"].join(fleet.truth.select("chan", "ttf", F.col("fault").alias("true_fault")), "chan").withColumn("y", (F.col("ttf") > 0).cast("int"))
+    joined = t["forecasts"].join(truth.select("chan", "ttf", F.col("fault").alias("true_fault")), "chan").withColumn("y", (F.col("ttf") > 0).cast("int"))
     bad = [F.col(c).isNull() | F.isnan(c) for c in ("p05", "p50", "p95", "pfail")]
     check("NaN in forecasts", joined.agg(F.count_if(bad[0] | bad[1] | bad[2] | bad[3])).first()[0], most=0)
     row = scoring.brier(joined, "pfail", "y", []).first()
@@ -89,17 +118,17 @@ def score(fleet: Fleet, result: Result, components: list[tuple], horizon: int) -
     row = months.agg(F.avg(F.col("inside").cast("int")).alias("inside"), (F.abs(F.sum("expected") - F.sum("actual")) / F.sqrt(F.sum("variance"))).alias("se")).first()
     check("share of months inside the band", row["inside"], MONTHS_INSIDE)
     check("standard errors of all failures", row["se"], most=TOTAL_SE)
-    truth = t["flags"].join(fleet.truth.select("chan", F.col("fault").alias("true_fault")), "chan")
-    check("false alarms on healthy channels", truth.where("true_fault = 0").agg(F.avg((F.col("class") > 0).cast("int"))).first()[0], most=FALSE_ALARMS)
+    flagged = t["flags"].join(truth.select("chan", F.col("fault").alias("true_fault")), "chan")
+    check("false alarms on healthy channels", flagged.where("true_fault = 0").agg(F.avg((F.col("class") > 0).cast("int"))).first()[0], most=FALSE_ALARMS)
     caught = joined.join(t["flags"].select("chan", (F.col("class") > 0).alias("caught")), "chan").where("true_fault > 0")
     scores = {(r["true_fault"], r["caught"]): (r["brier"], r["n"]) for r in scoring.brier(caught, "pfail", "y", ["true_fault", "caught"]).collect()}
     for name in ("accelerated", "dropout"):
-        yes, no = (scores.get((FAULTS.index(name), c)) for c in (True, False))
+        yes, no = (scores.get((FAULT_NAMES.index(name), c)) for c in (True, False))
         if yes and no and min(yes[1], no[1]) >= 5:
             check(f"brier of caught {name} less that of missed", yes[0] - no[0], most=0)
     row = result.header["ingest"]
     check("rows lost by ingest", row["rows_in"] - row["rows_clean"] - row["rows_quarantined"], 0, 0)
-    for row in recall(t["screened"], fleet.corrupted).collect():
+    for row in recall(t["screened"], corrupted).collect():
         if row["planted"]:
             check(f"recall of {row['kind']}", row["found"] / row["planted"], RECALL_SCALED if row["kind"] == "units_x10" else RECALL)
     return spark.createDataFrame(found, "name string, value double, least double, most double, passed boolean")

@@ -1,7 +1,8 @@
 """Steps whose results are kept by content: same inputs, parameters and code, same result.
 
-A step's tables live in a folder that all executors share, reached through Spark's file system only. Its
-manifest is written last, so a step that broke off is never taken for done."""
+A step's tables live in a folder that all executors share, reached through Spark's file system only.  Each attempt writes to a folder
+of its own and its manifest names that folder last, so neither a step that broke off nor a half-written table is ever taken for done.  The key of a step
+holds a digest of all code of this package but its training-data part: a constant changed anywhere recomputes what it may have changed."""
 
 from __future__ import annotations
 
@@ -9,7 +10,10 @@ import hashlib
 import inspect
 import json
 import time
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +35,28 @@ def fingerprint(frame: DataFrame) -> str:
     return hashlib.sha256(f"{frame.schema.simpleString()}|{row['n']}|{row['s']}|{row['x']}".encode()).hexdigest()
 
 
+@lru_cache(maxsize=1)
+def code_digest() -> str:
+    """A digest of the sources that a step's result may depend on."""
+    package = resources.files(__package__.partition(".")[0])
+    parts = []
+    for folder in ("functions", "operators", "plans", "sources"):
+        for file in sorted(package.joinpath(folder).iterdir(), key=lambda f: f.name):
+            if file.name.endswith(".py"):
+                parts.append(f"{folder}/{file.name}:{hashlib.sha256(file.read_bytes()).hexdigest()}")
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
 class Store:
     """Results of steps below one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: Tables that this store gave, with their fingerprints: they need not be read again to know what they are.
+        self.known: list[tuple[DataFrame, str]] = []
+
+    def _fingerprint(self, frame: DataFrame) -> str:
+        return next((digest for kept, digest in self.known if kept is frame), None) or fingerprint(frame)
 
     def _manifest(self, at: str) -> dict | None:
         try:
@@ -49,31 +70,35 @@ class Store:
     def run(self, name: str, step: Callable[..., dict[str, DataFrame]], inputs: dict[str, DataFrame], outputs: list[str], params: dict | None = None) -> dict[str, DataFrame]:
         """The outputs of step(**inputs, **params), computed only if they are not there yet or were changed since."""
         params = params or {}
-        parts = [name, inspect.getsource(step), json.dumps(params, sort_keys=True), *(f"{k}:{fingerprint(v)}" for k, v in sorted(inputs.items()))]
+        parts = [name, code_digest(), inspect.getsource(step), json.dumps(params, sort_keys=True), *(f"{k}:{self._fingerprint(v)}" for k, v in sorted(inputs.items()))]
         at = f"{self.folder}/{name}-{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:16]}"
-        known = self._manifest(at)
-        if known is not None:
-            kept = {k: self.spark.read.parquet(f"{at}/{k}") for k in outputs}
-            if all(fingerprint(v) == known["outputs"].get(k) for k, v in kept.items()):
+        manifest = self._manifest(at)
+        if manifest is not None:
+            kept = {k: self.spark.read.parquet(f"{at}/{manifest['attempt']}/{k}") for k in outputs}
+            if all(fingerprint(v) == manifest["outputs"].get(k) for k, v in kept.items()):
+                self.known += [(v, manifest["outputs"][k]) for k, v in kept.items()]
                 return kept
-        made = self._tried(step, inputs, params)
-        missing = [k for k in outputs if k not in made]
-        if missing:
-            raise StageFailed(f"{name} did not give {missing}")
-        for k in outputs:
-            made[k].write.mode("overwrite").parquet(f"{at}/{k}")
-        kept = {k: self.spark.read.parquet(f"{at}/{k}") for k in outputs}
-        line = json.dumps({"params": params, "outputs": {k: fingerprint(v) for k, v in kept.items()}, "finished": time.time()})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
-        return kept
-
-    @staticmethod
-    def _tried(step: Callable, inputs: dict, params: dict) -> dict[str, DataFrame]:
         for wait in (*WAITS, None):
             try:
-                return step(**inputs, **params)
+                return self._attempt(name, at, step, inputs, outputs, params)
             except TRANSIENT:
                 if wait is None:
                     raise
                 time.sleep(wait)
         raise AssertionError
+
+    def _attempt(self, name: str, at: str, step: Callable, inputs: dict, outputs: list[str], params: dict) -> dict[str, DataFrame]:
+        """Compute and write: Spark's work happens in the writes."""
+        made = step(**inputs, **params)
+        missing = [k for k in outputs if k not in made]
+        if missing:
+            raise StageFailed(f"{name} did not give {missing}")
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        for k in outputs:
+            made[k].write.parquet(f"{at}/{attempt}/{k}")
+        kept = {k: self.spark.read.parquet(f"{at}/{attempt}/{k}") for k in outputs}
+        digests = {k: fingerprint(v) for k, v in kept.items()}
+        line = json.dumps({"attempt": attempt, "params": params, "outputs": digests, "finished": time.time(), "spark": self.spark.version, "code": code_digest()})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
+        self.known += [(v, digests[k]) for k, v in kept.items()]
+        return kept

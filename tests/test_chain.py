@@ -1,10 +1,13 @@
+import math
+
 import pytest
+from fleet import HORIZON, PARTS, make
 from pyspark.sql import functions as F
 
 from oxidara.__main__ import main
 from oxidara.operators import report
 from oxidara.plans import run, scorecard
-from oxidara.sources import fleet
+from oxidara.sources import store
 
 LEDGER = "tail string, component string, damage_basis string, damage_est double, threshold double, shrinkage double, n_increments int, sensor_status string, watch boolean, p_fail_within_horizon double, rul_months struct<p05:double,p50:double,p95:double>"
 
@@ -19,11 +22,11 @@ def test_explanation(spark):
     )
     first, second = (r["text"] for r in rows.select("tail", report.explanation(18).alias("text")).orderBy("tail").collect())
     assert first == (
-        "T0000 64E: damage 0.0 of threshold 5.958 from the latest inspection reading. Median remaining life 63.61 months (90% interval 52.16 to beyond horizon); "
-        "P(fail within 18 months) = 0.0. Severity estimate rests on 57 inspection increments; 3% of it is borrowed from the fleet prior."
+        "Part 64E of T0000 stands at 0.0 out of 5.958, as its last inspection found it. It fails within 18 months with probability 0.0; half of such parts last 63.61 months "
+        "(one in twenty 52.16 or less, one in twenty past the search). Its own record counts for 97% of the wear rate (57 increments), the fleet for the rest."
     )
-    assert "beyond the search horizon (90% interval - to beyond horizon)" in second and "= 0.186." in second and "100% of it" in second
-    assert second.endswith("Sensor status: bias_step. On watch list: weak evidence of a rate change, not confirmed.")
+    assert "half of such parts last past the search (one in twenty past the search, one in twenty past the search)" in second and "probability 0.186;" in second and "counts for 0%" in second
+    assert second.endswith("Sensor fault: bias_step. Watched: it may wear faster than before, which is not established.")
 
 
 def test_plain(spark):
@@ -32,38 +35,71 @@ def test_plain(spark):
 
 
 @pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("fleet"))
-    assert main(["simulate", at, "--tails", "60"], spark) == 0
-    return at
+def fleet(spark):
+    return {name: frame.cache() for name, frame in make(spark).items()}
 
 
-def test_same_fleet_at_any_partitioning(spark, folder):
-    again = fleet.simulate(spark, 60)
-    kept = spark.read.parquet(f"{folder}/inspections.parquet")
-    assert kept.exceptAll(again.inspections).isEmpty() and again.inspections.exceptAll(kept).isEmpty()
-    assert again.truth.groupBy("chan").count().where("count > 1").isEmpty() and again.truth.count() == 60 * len(fleet.COMPONENTS)
+@pytest.fixture(scope="module")
+def result(spark, fleet, tmp_path_factory):
+    config = run.Config(tuple(PARTS), replicates=20, most_flagged=0.2)
+    return run.run(spark, str(tmp_path_factory.mktemp("steps")), fleet["inspections"], fleet["roster"], fleet["events"], config)
 
 
-def test_chain(spark, folder, tmp_path):
-    read = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("inspections", "roster", "events", "truth", "corrupted")}
-    config = run.Config(tuple(c[0] for c in fleet.COMPONENTS), replicates=20)
-    result = run.run(spark, str(tmp_path), read["inspections"], read["roster"], read["events"], config)
+def test_chain(spark, fleet, result, tmp_path):
     ledger = result.tables["ledger"]
-    assert result.header["n_channels_forecast"] == ledger.count() == ledger.select("chan").distinct().count()
-    assert result.header["ingest"]["rows_in"] == read["inspections"].count()
+    n = 80 * len(PARTS)
+    assert result.header["n_channels_forecast"] == ledger.count() == ledger.select("chan").distinct().count() == n
+    assert result.header["ingest"]["rows_in"] == fleet["inspections"].count()
     assert ledger.where("explanation IS NULL OR size(failure_cdf_by_month) <> 18").isEmpty()
-    assert sum(result.header["detect"]["by_class"].values()) == 60 * 8
-    card = {r["name"]: r for r in scorecard.score(fleet.Fleet(**read), result, fleet.COMPONENTS, 18).collect()}
-    for name in ("NaN in forecasts", "brier less that of the base rate", "rows lost by ingest", "recall of dup", "recall of usage_neg", "survivors whose p95 lies beyond"):
-        assert card[name]["passed"], card[name]
+    assert sum(result.header["detect"]["by_class"].values()) == n
+    assert set(result.header["failures_by_component"]) == set(result.header["fit"]) == set(PARTS)
     run.publish(result, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "ledger")).count() == ledger.count()
+    assert spark.read.json(str(tmp_path / "out" / "ledger")).count() == n
 
 
-def test_refused(spark, folder, tmp_path):
+def test_planted_faults_and_scores(spark, fleet, result):
+    betas = {code: p[1] for code, p in PARTS.items()}
+    card = scorecard.score(fleet["truth"], fleet["corrupted"], result, betas, HORIZON).cache()
+    rows = {r["name"]: r for r in card.collect()}
+    for name in ("NaN in forecasts", "brier less that of the base rate", "rows lost by ingest", "recall of dup", "recall of usage_neg", "survivors whose p95 lies beyond"):
+        assert rows[name]["passed"], rows[name]
+    tables = scorecard.details(fleet["truth"], result, spark.createDataFrame([(i + 1, p[2]) for i, p in enumerate(PARTS.values())], "comp int, threshold double"))
+    found = {(r["true_class"], r["predicted_class"]): r["n"] for r in tables["confusion"].collect()}
+    stuck = {k: n for k, n in found.items() if k[0] == 3}
+    assert stuck and stuck.get((3, 3), 0) >= 0.9 * sum(stuck.values())  # a frozen sensor is always seen
+    dropped = {k: n for k, n in found.items() if k[0] == 4}
+    assert dropped and dropped.get((4, 4), 0) >= 0.7 * sum(dropped.values())
+    assert sum(n for (t, p), n in found.items() if t == 0 and p) <= 0.08 * sum(n for (t, _), n in found.items() if t == 0)
+    assert sum(r["n"] for r in tables["calibration"].collect()) == sum(r["n"] for r in tables["brier_by_basis"].collect()) == 80 * len(PARTS)
+    for r in tables["thresholds"].where("threshold IS NOT NULL").collect():
+        assert abs(r["threshold"] - r["true_threshold"]) < 0.1 * r["true_threshold"]
+    onset = {r["fault"]: r["median"] for r in tables["onset_errors"].collect()}
+    assert abs(onset[3]) <= 2
+    assert tables["watch"].first()["base"] > 0 and tables["power"].count() > 0
+    assert scorecard.drift(card, card).isEmpty()
+    moved = card.withColumn("value", F.when(F.col("name") == "rows lost by ingest", F.lit(1.0)).otherwise(F.col("value"))).where("name <> 'recall of dup'")
+    assert sorted(r["name"] for r in scorecard.drift(card, moved).collect()) == ["recall of dup", "rows lost by ingest"]
+
+
+def test_command_line_on_csv(spark, fleet, tmp_path):
+    at = str(tmp_path / "in")
+    fleet["inspections"].drop("_row").coalesce(1).write.option("header", True).csv(f"{at}/inspections.csv")
+    for name in ("roster", "events"):
+        fleet[name].write.option("header", True).csv(f"{at}/{name}.csv")
     bad = str(tmp_path / "bad")
     for name in ("roster", "events"):
-        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{bad}/{name}.parquet")
-    spark.read.parquet(f"{folder}/inspections.parquet").withColumn("reading", F.lit("n/a")).write.parquet(f"{bad}/inspections.parquet")
-    assert main(["run", bad, str(tmp_path / "out")], spark) == 2
+        fleet[name].write.parquet(f"{bad}/{name}.parquet")
+    fleet["inspections"].withColumn("reading", F.lit("n/a")).drop("_row").write.parquet(f"{bad}/inspections.parquet")
+    assert main([bad, str(tmp_path / "out"), "--components", ",".join(PARTS)], spark) == 2
+    rows = store.read_inspections(spark, f"{at}/inspections.csv")
+    assert rows.count() == fleet["inspections"].count() and rows.select("_row").distinct().count() == rows.count()
+
+
+def test_csv_sink_and_matrix(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "a"), (2, 0.5, None), (3, float("nan"), "c"), (4, float("inf"), "d")], "k int, x double, s string")
+    store.write_csv(rows, str(tmp_path / "x.csv"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "x.csv")).distinct().collect())
+    assert lines[:2] == ["1,NaN,a", '2,0.5,""'] and "3,NaN,c" in lines and "4,Infinity,d" in lines
+    spark.createDataFrame([("1,2.5",), ("3,NaN",)], "value string").coalesce(1).write.text(str(tmp_path / "m.csv"))
+    got = store.read_matrix(spark, str(tmp_path / "m.csv"), ["a", "b"]).orderBy("a").collect()
+    assert got[0]["b"] == 2.5 and math.isnan(got[1]["b"])

@@ -22,7 +22,7 @@ def test_flag_and_availability_gates(spark):
 
 def test_fit_degradations(spark):
     rows = spark.createDataFrame([(1, None, None), (2, 0.3, 0.001), (3, 0.3, 0.2)], "comp int, beta double, sigma double")
-    assert gates.fit_degradations(rows) == ["component 1 could not be fitted", "component 2: sensor noise hit its floor"]
+    assert gates.fit_degradations(rows) == ["fit: component 1 could not be fitted", "fit: sensor noise of component 2 hit its floor"]
 
 
 def test_audit():

@@ -32,7 +32,8 @@ def test_changed_output_is_noticed(spark, tmp_path):
     calls.clear()
     store.run("double", double, {"rows": spark.range(5)}, ["out"])
     folder = next(p for p in tmp_path.iterdir() if p.name.startswith("double-"))
-    spark.range(1).select(F.col("id").alias("x")).write.mode("overwrite").parquet(str(folder / "out"))
+    written = next(p for p in folder.iterdir() if p.name.startswith("attempt-"))
+    spark.range(1).select(F.col("id").alias("x")).write.mode("overwrite").parquet(str(written / "out"))
     out = store.run("double", double, {"rows": spark.range(5)}, ["out"])["out"]
     assert out.count() == 5 and calls == [2, 2]
 
@@ -62,3 +63,40 @@ def test_retries(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         store.run("broken", broken, {"rows": spark.range(2)}, ["out"])
     assert len(tries) == 1
+
+
+def test_failed_writes_are_tried_again(spark, tmp_path, monkeypatch):
+    """Spark's work happens in the write: an attempt that breaks off there leaves nothing that is taken for done."""
+    monkeypatch.setattr(stages, "WAITS", (0, 0, 0))
+    kind = type(spark.range(1))
+    write, tries = kind.write, []
+
+    class Flaky:
+        def __init__(self, frame):
+            self.frame = frame
+
+        def parquet(self, path):
+            tries.append(path)
+            write.fget(self.frame).parquet(path)
+            if len(tries) < 3:
+                raise ConnectionError
+
+    monkeypatch.setattr(kind, "write", property(lambda frame: Flaky(frame) if "x" in frame.columns else write.fget(frame)))
+    out = stages.Store(spark, str(tmp_path)).run("double", double, {"rows": spark.range(2)}, ["out"])["out"]
+    assert out.count() == 2 and len(set(tries)) == 3
+
+
+def test_changed_code_recomputes(spark, tmp_path, monkeypatch):
+    """A constant changed in any operator makes another key."""
+    from oxidara.operators import faults
+
+    calls.clear()
+    stages.Store(spark, str(tmp_path)).run("double", double, {"rows": spark.range(3)}, ["out"])
+    before = stages.code_digest()
+    read = type(stages.resources.files("oxidara")).read_bytes
+    monkeypatch.setattr(type(stages.resources.files("oxidara")), "read_bytes", lambda self: read(self).replace(b"SPIKE_P, PERSIST_P, WATCH_P = 2e-5", b"SPIKE_P, PERSIST_P, WATCH_P = 3e-5"))
+    stages.code_digest.cache_clear()
+    assert faults.SPIKE_P == 2e-5 and stages.code_digest() != before
+    stages.Store(spark, str(tmp_path)).run("double", double, {"rows": spark.range(3)}, ["out"])
+    stages.code_digest.cache_clear()
+    assert calls == [2, 2]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oxidara.functions import special
-from oxidara.operators import forecast, ingest, wear
+from oxidara.operators import faults, forecast, ingest, wear
 from oxidara.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +43,7 @@ def set_at(i, **values):
         (set_at(5, reading="3d"), ["TYPE"]),
         (set_at(5, reading="NaN"), ["TYPE"]),
         (set_at(5, reading="n/a", month="?"), ["TYPE;TYPE"]),
+        (set_at(5, month="3.7"), ["TYPE"]),
         (set_at(20, reading="21"), ["POINT_OUTLIER"]),
         (set_at(0, reading="21"), []),
         (lambda rows: [*rows, rows[3] | {"row": 999}], ["DUPLICATE"]),
@@ -97,10 +98,65 @@ def test_fit_recovers_known_parameters(spark):
 
 
 def test_availability(spark):
-    units = spark.range(1, 51).select("id", F.col("id").alias("chan"), F.col("id").alias("tail"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("la_mu", math.log(0.02)), ("la_var", 0.01), ("beta", 0.3), ("threshold", 5.0), ("usage", 40.0), ("log_sd", 0.2))])
-    runs = forecast.availability(units, 12, 20, 50, 1, (0.3, 0.4, 0.9, 2.0))
-    rows = {r["month"]: r for r in forecast.nearest_rank(runs, ["month"], "available", {"p05": 0.05, "p95": 0.95}).collect()}
+    units = spark.range(1, 51).select("id", F.col("id").alias("chan"), F.col("id").alias("tail"), F.lit(1).alias("comp"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("la_mu", math.log(0.02)), ("la_var", 0.01), ("beta", 0.3), ("threshold", 5.0), ("usage", 40.0), ("log_sd", 0.2))])
+    repair = (0.3, 0.4, 0.9, 2.0)
+    lived = forecast.lives(units, 12, 20, 1, repair).cache()
+    rows = {r["month"]: r for r in forecast.replicate_quantiles(forecast.availability(lived, 50), ["month"], "available", {"p05": 0.05, "p95": 0.95}).collect()}
     assert len(rows) == 12 and rows[1]["mean"] == 1.0 and all(r["p05"] <= r["mean"] <= r["p95"] for r in rows.values())
+    again = forecast.lives(units.repartition(7), 12, 20, 1, repair)  # draws don't depend on where a unit is
+    assert lived.exceptAll(again).isEmpty() and again.exceptAll(lived).isEmpty()
+    with pytest.raises(Exception, match="wear is not a positive number"):
+        forecast.lives(units.withColumn("usage", F.lit(0.0)), 12, 20, 1, repair).count()
+
+
+def test_lives_by_hand():
+    """The vectorised months against a loop over one unit's replicates."""
+    import pandas as pd
+
+    pdf = pd.DataFrame({"chan": [5, 9], "x0": [0.5, 3.0], "la_mu": [math.log(0.02)] * 2, "la_var": [0.1, 0.0], "beta": [0.3, 0.5], "threshold": [4.0, 5.0], "usage": [40.0, 60.0], "log_sd": [0.2, 0.0]})
+    down, failed = forecast.unit_lives(pdf, 12, 6, 1, (0.3, 0.4, 0.5, 2.0))
+    for i, row in enumerate(pdf.itertuples()):
+        r = np.random.default_rng([1, row.chan])
+        alpha = np.exp(row.la_mu + np.sqrt(row.la_var) * r.standard_normal(6))
+        grown = row.beta * r.gamma(alpha[:, None] * row.usage * np.exp(row.log_sd * r.standard_normal((6, 12))))
+        wait = r.lognormal(0.3, 0.4, (6, 12)) + 2.0 * (r.random((6, 12)) > 0.5)
+        for k in range(6):
+            x, until = row.x0, 0
+            for m in range(1, 13):
+                hit = False
+                if until < m:
+                    x += grown[k, m - 1]
+                    hit = x >= row.threshold
+                    if hit:
+                        until, x = m + math.ceil(wait[k, m - 1]), 0.0
+                assert failed[i, k, m - 1] == hit and down[i, k, m - 1] == (until >= m)
+
+
+def test_quantiles_by_bisection():
+    r = np.random.default_rng(4)
+    args = [r.uniform(0, 7.8, 40), r.normal(-1, 1, 40), r.uniform(0, 0.5, 40), r.uniform(0.05, 1, 40), np.full(40, 7.9), r.uniform(1, 60, 40)]
+    found = special.failure_quantiles(*args)
+    for j, p in enumerate((0.05, 0.5, 0.95)):
+        low, high = np.zeros(40), np.full(40, 72.0)
+        for _ in range(40):
+            middle = (low + high) / 2
+            below = special.failure_cdf(*args, middle[:, None])[:, 0] < p
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+        beyond = special.failure_cdf(*args, [72.0])[:, 0] < p
+        assert (np.isinf(found[:, j]) == beyond).all() and np.abs(found[:, j] - low)[~beyond].max() < 1e-5
+
+
+def test_ranks(spark):
+    from oxidara.operators import ranks
+
+    r = np.random.default_rng(5)
+    values = {g: np.round(r.normal(size=n), 1) for g, n in (("a", 1), ("b", 2), ("c", 997))}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v], "g string, x double").repartition(5)
+    for row in ranks.interpolated(rows, ["g"], "x", 0.97).collect():
+        assert row["n"] == len(values[row["g"]]) and abs(row["x"] - np.quantile(values[row["g"]], 0.97)) < 1e-9
+    for row in ranks.nearest_rank(rows, ["g"], "x", {"lo": 0.05, "hi": 0.95}).collect():
+        v = np.sort(values[row["g"]])
+        assert [row["lo"], row["hi"]] == [v[int(min(max(math.floor(p * len(v) + 0.5), 1), len(v))) - 1] for p in (0.05, 0.95)] and abs(row["mean"] - v.mean()) < 1e-9
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -112,3 +168,35 @@ def test_catalog_against_sql(spark, name):
     columns = [x[0] for x in con.description]
     expected = sorted(map(str, con.fetchall()))
     assert sorted(str(tuple(row)) for row in catalog.queries()[name](spark, DATA).select(*columns).collect()) == expected
+
+
+def test_isolation_of_planted_faults(spark):
+    """One channel of each class, with its onset; the first row is a candidate as well."""
+    r = np.random.default_rng(6)
+    beta, sigma, rate, hours = 0.05, 0.05, 0.45, 10.0
+    rows = []
+    for chan in range(1, 8):
+        steps = beta * r.gamma(rate * hours, size=60)
+        if chan == 2:
+            steps[31:] *= 2.2  # wears faster
+        seen = np.cumsum(steps)
+        if chan == 3:
+            seen[30:] *= 1.3  # a scale error: a jump, then faster
+        if chan == 4:
+            seen[40:] = seen[40]
+        if chan == 5:
+            seen[30:] += 1.2  # a step
+        if chan == 7:
+            seen = np.cumsum(steps * 4)  # fast from the first row on
+        for m in range(60):
+            if chan != 6 or m < 45 or m % 4 == 0:
+                rows.append((chan, 1, chan, chan, m, hours, float(seen[m])))
+    made = spark.createDataFrame(rows, "chan bigint, comp int, tail int, serial bigint, month int, usage_hours double, reading double")
+    rows = wear.sequence_columns(made)
+    for name, value in (("alpha", rate), ("beta", beta), ("sigma", sigma), ("mu", math.log(rate)), ("tau", 0.1)):
+        rows = rows.withColumn(name, F.lit(value))
+    found = {x["chan"]: x for x in faults.isolate(rows, spark.range(1, 9).select(F.col("id").alias("chan")), 60).collect()}
+    assert [found[c]["class"] for c in range(1, 9)] == [0, 5, 2, 3, 1, 4, 5, 0]
+    assert found[3]["onset_month"] == 30 and found[4]["onset_month"] == 40 and found[5]["onset_month"] == 30 and found[6]["onset_month"] == 48
+    assert abs(found[2]["onset_month"] - 31) <= 3 and found[7]["onset_month"] <= 3 and found[8]["n_obs"] == 0
+    assert {x["month"] for x in faults.change_points(rows).where("chan = 1").collect()} == set(range(0, 54, 3))
