@@ -5,10 +5,11 @@ into full windows, which are sequences of their own; what is left of it goes, lo
 capacity that still holds it.  That window is found by a segment tree indexed by remaining capacity: a
 leaf counts the open windows with that capacity, and the search goes up from the wanted length to the first subtree with any.
 
-Packing runs where documents are read, without a shuffle: each task packs its own rows in blocks of at most
-``block`` remainders, so memory is bounded by the block and a lost task is simply run again.  At the end of a
-block, windows that are less than ``full_enough`` filled are opened again for the next block, so only the
-last block of a task leaves poorly filled windows.  Sequence ids are the task's number in the upper bits and a counter below.
+Packing runs where documents are read: each task packs its own rows in blocks of about ``block`` remainders, so memory is bounded by the block
+and a lost task is simply run again.  Windows that are less than ``full_enough`` filled stay open for the next block.  What is in those that are
+still open when a task ends is packed again, together with that of the other tasks, in a second step: one small shuffle of rows without text, dealt over
+tasks of about ``block`` pieces.  So padding does not depend on how the input happens to be split.  Sequence ids are the task's number in the upper
+bits and a counter below; those of the second step have a bit of their own.
 
 Results for unusual rows: a null or empty text is one piece of one separator; repeated ids are rows of
 their own; an empty table gives no rows; other columns are ignored.  Sequences are shorter than the window where
@@ -24,17 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from oxidara.llm.bpe import ids_of, vocabulary
-from oxidara.llm.rows import own_columns
+from oxidara.llm.rows import own_columns, stored
 
 WINDOW = 1024
-#: Remainders packed together in one task.
+#: Pieces packed together in one task.
 BLOCK = 50_000
 #: Texts tokenized at a time.
 STEP = 256
-#: Bits of a sequence id below the task's number.
-TASK_SHIFT = 36
+#: Bits of a sequence id below the task's number, and the bit of the second step.
+TASK_SHIFT, SECOND_STEP = 36, 1 << 62
 
 
 class CapacityTree:
@@ -80,6 +82,10 @@ class Packer:
         self.next += 1
         return self.next - 1
 
+    def still_open(self) -> set[int]:
+        """The sequences that may get more."""
+        return {own for stack in self.open for own in stack}
+
     def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of each length (all of them at most the window), longest first."""
         sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
@@ -113,28 +119,32 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, b
     if with_ids:
         schema += ", ids array<int>"
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         context = TaskContext.get()
         packer = Packer(window, (context.partitionId() if context else 0) << TASK_SHIFT)
-        doc, start, length, crc, tokens, sequence, offset, kept = [], [], [], [], [], [], [], []
+        pieces: list[list] = []  # rows in the order of names
         waiting: list[int] = []
         id_type = None
 
-        def flush() -> pa.RecordBatch:
-            where = np.array(waiting, dtype=np.int64)
-            own, at = packer.place(np.array(length, dtype=np.int64)[where])
+        def give(some: list[list], loose: bool) -> pa.RecordBatch:
+            columns = list(zip(*some, strict=True)) or [()] * len(names)
+            kinds = [id_type, *[pa.int64()] * 6, *([pa.list_(pa.int32())] if with_ids else [])]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(some), loose))], names=[*names, "loose"])
+
+        def place() -> pa.RecordBatch:
+            """Give what lies in windows that are closed; the rest goes on."""
+            own, at = packer.place(np.array([pieces[i][2] for i in waiting], dtype=np.int64))
             for i, s, o in zip(waiting, own.tolist(), at.tolist(), strict=True):
-                sequence[i], offset[i] = s, o
-            arrays = [pa.array(doc, id_type), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens, sequence, offset))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            out = pa.RecordBatch.from_arrays(arrays, names=names)
-            for x in (doc, start, length, crc, tokens, sequence, offset, kept, waiting):
-                x.clear()
-            return out
+                pieces[i][5:7] = s, o
+            waiting.clear()
+            unfinished = packer.still_open()
+            done = [x for x in pieces if x[5] not in unfinished]
+            pieces[:] = [x for x in pieces if x[5] in unfinished]
+            return give(done, False)
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
@@ -145,22 +155,46 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, b
                     n = len(whole)
                     for at in range(0, n, window):
                         piece = whole[at : at + window]
-                        doc.append(doc_id)
-                        start.append(at)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece))
-                        tokens.append(n)
-                        if with_ids:
-                            kept.append(piece.astype(np.int32))
-                        offset.append(0)
-                        if len(piece) == window:
-                            sequence.append(packer.take())
-                        else:
-                            sequence.append(-1)
-                            waiting.append(len(doc) - 1)
-                if len(doc) >= block:
-                    yield flush()
-        if doc:
-            yield flush()
-
-    return rows.mapInArrow(run, schema)
+                        full = len(piece) == window
+                        if not full:
+                            waiting.append(len(pieces))
+                        pieces.append([doc_id, at, len(piece), zlib.crc32(piece), n, packer.take() if full else -1, 0, *([piece.astype(np.int32)] if with_ids else [])])
+                if len(pieces) >= block:
+                    yield place()
+        if pieces:
+            yield place()
+            if pieces:
+                yield give(pieces, True)
+
+    first = stored(rows.mapInArrow(run, f"{schema}, loose boolean"))
+    left = first.where("loose").count()
+    if not left:
+        return first.drop("loose")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        packer = Packer(window, SECOND_STEP | ((context.partitionId() if context else 0) << TASK_SHIFT))
+        held: list[pa.RecordBatch] = []
+
+        def place() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            own, at = packer.place(table.column("length").to_numpy())
+            columns = {c: table.column(c) for c in names} | {"sequence_id": pa.array(own), "offset": pa.array(at)}
+            return pa.table(columns).combine_chunks().to_batches()[0]
+
+        rows_held = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows_held += batch.num_rows
+            if rows_held >= 2 * block:
+                rows_held = 0
+                yield place()
+        if held:
+            yield place()
+
+    # by content, so that a lost task finds the same rows in the same order again
+    dealt = first.where("loose").drop("loose").repartition(-(-left // block), F.xxhash64("doc_id", "start", "ids_crc32"))
+    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
+    return first.where("NOT loose").drop("loose").unionByName(ordered.mapInArrow(again, schema))

@@ -83,14 +83,39 @@ def test_packing(docs, rows, empty):
             assert offset == at
             at += length
         assert at <= packing.WINDOW
-    wanted = collections.defaultdict(list)
-    for i, x in rows:
-        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
-        wanted[i, len(ids)] += ids
-    assert {k: sorted(v) for k, v in wanted.items()} == {k: sorted(x for _, ids in v for x in ids) for k, v in pieces.items()}
+    wanted = collections.Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 0])) for i, x in rows)
+    got = collections.Counter()
+    for (i, n), own in pieces.items():  # rows that repeat an id and a length are told apart by where their pieces begin
+        own.sort(key=lambda p: p[0])
+        whole = [[]]
+        for start, ids in own:
+            place = next(w for w in whole if len(w) == start and w is not None) if any(len(w) == start for w in whole) else None
+            if place is None:
+                place = []
+                whole.append(place)
+            assert len(place) == start
+            place += ids
+        for w in whole:
+            assert len(w) == n
+            got[i, tuple(w)] += 1
+    assert {k: n for k, n in got.items() if len(k[1]) <= packing.WINDOW} == {k: n for k, n in wanted.items() if len(k[1]) <= packing.WINDOW}
+    assert {(i, len(w)) for i, w in got} == {(i, len(w)) for i, w in wanted} and sum(got.values()) == len(rows)
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8, 48])
+def test_padding_at_any_number_of_tasks(spark, parts):
+    """Sequences are filled alike however the input is split; every document's pieces follow one another from 0."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").repartition(parts)
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).cache()
+    used = found.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    row = used.agg(F.sum("used").alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("used") != F.col("end")).alias("gaps"), F.max("used").alias("most")).first()
+    assert row["gaps"] == 0 and row["most"] <= packing.WINDOW
+    assert 1 - row["tokens"] / (packing.WINDOW * row["n"]) < 0.015
+    by_doc = found.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole"), F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("last"))
+    assert by_doc.where("n <> whole OR first <> 0 OR last <> whole").isEmpty() and by_doc.count() == docs.count()
+
+
 def test_capacity_tree():
     r, tree, have = np.random.default_rng(1), packing.CapacityTree(100), collections.Counter()
     for _ in range(2000):
