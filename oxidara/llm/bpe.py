@@ -10,7 +10,8 @@ root of every row that still has a mergeable pair.  Rows never influence each ot
 is that of the one-word algorithm.  Words are encoded once and remembered in a cache of bounded
 size; the cache changes speed only.
 
-Rows of ``encode_frame``: null text counts as empty and gives no ids.  Texts are never cut.
+Rows of ``encode_frame``: null text counts as empty and gives no ids.  Texts are never cut.  Rows that repeat an id stay rows of
+their own, an empty table gives no rows, other columns are ignored whatever their names.
 Special strings of the vocabulary found inside a text become their own id, as the tokenizers
 library does by default.
 """

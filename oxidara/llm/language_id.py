@@ -4,8 +4,8 @@ Every language has a model of character n-grams (three bytes of lower-case text,
 that may be learned from.  A document is a mixture: each of its words comes from one language, with the likelihood that
 the language's n-grams give the word.  Expectation-maximisation estimates the proportions of all languages.  Then
 the set of languages is selected by penalised likelihood: the sets nested by proportion are
-compared, and a language more must raise the log-likelihood by PENALTY * log(words); a set that could not do so even with all
-languages is not fitted.  The prediction is the language with the largest proportion within the selected set.
+compared, and a language more must raise the log-likelihood by PENALTY * log(words).  EM runs until the distance to the largest likelihood, which
+the gradient bounds, is below TOLERANCE; by the same bound a set that could not gain enough even with all languages is not fitted.  The prediction is the language with the largest proportion within the selected set.
 
 Results for unusual rows: a null text, or one without a letter, is ``und`` with score 0 and no languages; rows with a
 null language are not learned from; if there is nothing to learn from, everything is ``und``; repeated ids stay rows
@@ -31,7 +31,8 @@ UNDETERMINED = "und"
 GRAM_BITS = 18
 #: What a language more must bring, times the logarithm of the number of words.
 PENALTY = 1.0
-STEPS = 6
+#: Steps at most, and how far from its largest value a log-likelihood may be.
+STEPS, TOLERANCE = 400, 0.01
 SMOOTHING = 0.1
 #: A word counts at most exp(-MOST_APART) for a language, compared with its likeliest one.
 MOST_APART = 40.0
@@ -96,18 +97,31 @@ def fit(docs: DataFrame, where: Column | None = None, text_col: str = "text", la
     return Model(languages, log_p.astype(np.float32))
 
 
-def _proportions(likelihood: np.ndarray, at: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM: language x document proportions, and each document's log-likelihood.
+def _proportions(likelihood: np.ndarray, at: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM: language x document proportions, each document's log-likelihood, and a bound that no proportions exceed.
 
-    likelihood: language x word; at: first word of each document; allowed: language x document."""
-    own = np.repeat(np.arange(len(at)), counts)
+    likelihood: language x word; at: first word of each document; allowed: language x document.  A step multiplies each proportion by the
+    mean over the words of likelihood over mixture; as the logarithm is concave, the largest of these factors bounds what is left to gain."""
     share = allowed / allowed.sum(axis=0)
-    for _ in range(STEPS):
-        joint = likelihood * share[:, own]
-        joint /= joint.sum(axis=0)
-        share = np.add.reduceat(joint, at, axis=1) / counts
-    total = (likelihood * share[:, own]).sum(axis=0)
-    return share, np.add.reduceat(np.log(total), at)
+    reached, bound = np.empty(len(at)), np.empty(len(at))
+    active, words, begin = np.arange(len(at)), likelihood, at
+    for step in range(STEPS):
+        n = counts[active]
+        own = np.repeat(np.arange(len(active)), n)
+        mixed = (words * share[:, active][:, own]).sum(axis=0)
+        factor = np.add.reduceat(words / mixed, begin, axis=1) / n
+        reached[active] = np.add.reduceat(np.log(mixed), begin)
+        left = n * np.log(np.maximum((factor * allowed[:, active]).max(axis=0), 1.0))
+        bound[active] = reached[active] + left
+        go = left > TOLERANCE
+        if step + 1 == STEPS or not go.any():
+            break
+        now = share[:, active] * factor
+        share[:, active[go]] = (now / now.sum(axis=0))[:, go]
+        if not go.all():
+            words, active = words[:, go[own]], active[go]
+            begin = np.cumsum(counts[active]) - counts[active]
+    return share, reached, bound
 
 
 def mixtures(model: Model, run: Run) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +140,7 @@ def mixtures(model: Model, run: Run) -> tuple[np.ndarray, np.ndarray]:
     counts = n_words[docs]
     at = np.cumsum(counts) - counts
     likelihood = np.exp(score)
-    share, full = _proportions(likelihood, at, counts, np.ones((k, len(docs))))
+    share, _, full = _proportions(likelihood, at, counts, np.ones((k, len(docs))))
     order = np.argsort(-share, axis=0, kind="stable")
     alone = np.add.reduceat(score, at, axis=1)
     price = PENALTY * np.log(counts + 1.0)
@@ -142,7 +156,7 @@ def mixtures(model: Model, run: Run) -> tuple[np.ndarray, np.ndarray]:
         allowed = np.zeros((k, len(doubtful)))
         np.put_along_axis(allowed, order[:size, doubtful], 1.0, axis=0)
         words = np.repeat(at[doubtful] - (np.cumsum(counts[doubtful]) - counts[doubtful]), counts[doubtful]) + np.arange(counts[doubtful].sum())
-        own, reached = _proportions(likelihood[:, words], np.cumsum(counts[doubtful]) - counts[doubtful], counts[doubtful], allowed)
+        own, reached, _ = _proportions(likelihood[:, words], np.cumsum(counts[doubtful]) - counts[doubtful], counts[doubtful], allowed)
         gain = reached - (size - 1) * price[doubtful]
         better = gain > best[doubtful]
         best[doubtful[better]] = gain[better]
