@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, over character and word inputs.
 
-Each word of a window is described by its own hash (word input) and by the hashes of its beginnings and its end (character
-inputs).  A hash stands for the log-odds of toxic against clean documents that it was met in, counted on the training sample; for training
-they are taken from the other half of the sample, so the network never sees what a document says about itself.  Two gated
+Word inputs: a word's own hash and the hashes of its beginnings and its end stand for the log-odds of toxic against clean documents that they were
+met in, counted on the training sample; for training they are taken from the other half of the sample, so the network never sees what a document
+says about itself.  Character inputs: the word's characters are read by a convolution over three neighbouring ones (borders included), whose
+filters are CHARS learned numbers for each hashed triple, averaged over the word; they are trained with the network.  Two gated
 recurrent layers read the window in either direction; attention over their states pools them into one logit.
 
 All windows of WINDOW words, one beginning every STRIDE words, are scored, so every word of a text is in two of them but at its ends.  The text's
@@ -35,7 +36,11 @@ SAMPLE = 3000
 HASH_BITS = 18
 #: Bytes of a word's beginnings and of its end that are inputs beside the whole word.
 HEADS, TAIL = (3, 4, 5, 6), 4
-INPUTS = 2 + len(HEADS) + 1
+#: Learned numbers for each triple of characters, and bits of a triple's hash.
+CHARS, TRIPLE_BITS = 4, 12
+#: Inputs that need no training, and all.
+FIXED = 2 + len(HEADS) + 1
+INPUTS = FIXED + CHARS
 HIDDEN = 8
 
 
@@ -43,7 +48,7 @@ def word_hashes(run: Run) -> tuple[np.ndarray, np.ndarray]:
     """input x word table places, and the row of each word."""
     begin, end, owner = borders(run, letters_and_digits())
     if not len(begin):
-        return np.empty((INPUTS - 1, 0), dtype=np.int64), owner
+        return np.empty((FIXED - 1, 0), dtype=np.int64), owner
     total = prefix_sums(run.data)
     found = [spans(run.data, begin, end, total)]
     found += [mix(spans(run.data, begin, np.minimum(begin + k, end), total) + np.uint64(k)) for k in HEADS]
@@ -51,6 +56,28 @@ def word_hashes(run: Run) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(found) >> np.uint64(64 - HASH_BITS)).astype(np.int64), owner
 
 
+def word_triples(run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed triple of characters (bytes) around each byte of each word, and where each word begins among them."""
+    begin, end, _ = borders(run, letters_and_digits())
+    data = run.data
+    inside = letters_and_digits()[data]
+    before, after = np.zeros(len(data), dtype=np.uint32), np.zeros(len(data), dtype=np.uint32)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    before[begin] = 0
+    after[end - 1] = 0
+    code = ((before << np.uint32(16)) | (data.astype(np.uint32) << np.uint32(8)) | after)[inside]
+    code = (code * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TRIPLE_BITS)
+    return code.astype(np.uint16), np.cumsum(end - begin) - (end - begin)
+
+
+def read_characters(filters: np.ndarray, triples: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """word x CHARS: the mean of the filters at a word's triples."""
+    if not len(begin):
+        return np.empty((0, filters.shape[1]), dtype=np.float32)
+    sizes = np.diff(np.append(begin, len(triples)))[:, None]
+    return np.add.reduceat(filters[triples], begin, axis=0) / sizes.astype(np.float32)
+
+
 def log_odds(places: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Log-odds of each table place, by the documents it was met in.  places: per document."""
     met = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
@@ -62,9 +89,9 @@ def log_odds(places: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (np.log((met[1] + prior[1]) / prior[1] / (n[1] + 2) * n[1]) - np.log((met[0] + prior[0]) / prior[0] / (n[0] + 2) * n[0])).astype(np.float32)
 
 
-def inputs(table: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """word x input; the last input is 1 for each word, 0 for padding."""
-    x = np.empty((places.shape[1], INPUTS), dtype=np.float32)
+def fixed_inputs(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """word x input; the last of these is 1 for each word, 0 for padding."""
+    x = np.empty((places.shape[1], FIXED), dtype=np.float32)
     x[:, :-1] = table[places].T
     x[:, -1] = 1
     return x
@@ -95,6 +122,8 @@ class Network:
     """Weights of both directions: input to the three gates, state to them, attention and the output."""
 
     weights: dict[str, np.ndarray] = field(default_factory=dict)
+    #: triple x CHARS, the filters of the characters
+    filters: np.ndarray = field(default_factory=lambda: np.zeros((1 << TRIPLE_BITS, CHARS), dtype=np.float32))
 
     @classmethod
     def new(cls, seed: int) -> Network:
@@ -107,7 +136,7 @@ class Network:
             w["o" + d] = r.normal(0, 0.3, HIDDEN)
         w["wa"], w["wo"] = r.normal(0, 0.3, INPUTS), r.normal(0, 0.3, INPUTS)
         w["bias"] = np.zeros(1)
-        return cls({k: v.astype(np.float32) for k, v in w.items()})
+        return cls({k: v.astype(np.float32) for k, v in w.items()}, r.normal(0, 0.05, (1 << TRIPLE_BITS, CHARS)).astype(np.float32))
 
     def _read(self, x: np.ndarray, words: np.ndarray, d: str, keep: bool) -> tuple[list[np.ndarray], list[tuple]]:
         """States of one direction at each place of the windows; keep: what the way back needs."""
@@ -144,6 +173,7 @@ class Network:
         return (logit, alpha, value, forth, back, kept_f, kept_b) if keep else logit
 
     def gradients(self, x: np.ndarray, words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of all weights, and under "x" (window x place x input) of the inputs."""
         w, h = self.weights, HIDDEN
         logit, alpha, value, forth, back, kept_f, kept_b = self.forward(x, words, keep=True)
         d_logit = ((_sigmoid(logit) - y) * weight).astype(np.float32)
@@ -154,6 +184,7 @@ class Network:
         inside = x[words]
         g["wa"] = np.einsum("bt,bti->i", d_e, inside)
         g["wo"] = np.einsum("bt,bti->i", d_value, inside)
+        d_x = d_e[:, :, None] * w["wa"] + d_value[:, :, None] * w["wo"]
         for d, states, kept in (("f", forth, kept_f), ("b", back, kept_b)):
             u = w["U" + d]
             d_state = np.zeros((len(words), h), dtype=np.float32)
@@ -167,17 +198,51 @@ class Network:
                 d_r = d_c * s * r * (1 - r)
                 d_gates = np.concatenate((d_z, d_r, d_c), axis=1)
                 g["W" + d] += inside[:, t].T @ d_gates
+                d_x[:, t] += d_gates @ w["W" + d].T
                 d_s = np.concatenate((d_z, d_r, d_c * r), axis=1)
                 g["U" + d] += state.T @ d_s
                 d_state = d_new * z + d_s @ u.T
+        g["x"] = d_x
         return g
 
 
-def train(x: np.ndarray, words: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
+@dataclass
+class Sample:
+    """Words of the training documents: their fixed inputs, and which kind of word each is; triples and begin: of the kinds of words."""
+
+    x: np.ndarray
+    kind: np.ndarray
+    triples: np.ndarray
+    begin: np.ndarray
+
+    def batch(self, filters: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the words of some windows (with padding at the end), and the windows over them."""
+        there = words < len(self.x)
+        flat = words[there]
+        x = np.zeros((len(flat) + 1, INPUTS), dtype=np.float32)
+        x[:-1, :FIXED] = self.x[flat]
+        x[:-1, FIXED:] = read_characters(filters, self.triples, self.begin)[self.kind[flat]]
+        local = np.full(words.shape, len(flat))
+        local[there] = np.arange(len(flat))
+        return x, local
+
+    def filter_gradients(self, d_x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """triple x CHARS, from the gradients of the inputs of those windows."""
+        there = words < len(self.x)
+        by_kind = np.zeros((len(self.begin), CHARS), dtype=np.float32)
+        np.add.at(by_kind, self.kind[words[there]], d_x[there][:, FIXED:])
+        sizes = np.diff(np.append(self.begin, len(self.triples)))
+        by_kind /= sizes[:, None]
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        return np.stack([np.bincount(self.triples, weights=by_kind[of, c], minlength=1 << TRIPLE_BITS) for c in range(CHARS)], axis=1).astype(np.float32)
+
+
+def train(sample: Sample, words: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam on windows with labels y."""
     net, r = Network.new(seed), np.random.default_rng(seed)
-    m = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    v = {k: np.zeros_like(x) for k, x in net.weights.items()}
+    known = net.weights | {"filters": net.filters}
+    m = {k: np.zeros_like(v) for k, v in known.items()}
+    v = {k: np.zeros_like(x) for k, x in known.items()}
     steps = max(1, -(-len(words) // batch))
     epochs = max(epochs, min(60, 150 // steps))
     t = 0
@@ -188,14 +253,27 @@ def train(x: np.ndarray, words: np.ndarray, y: np.ndarray, weight: np.ndarray, e
             t += 1
             now = rate * (1 - epoch / epochs)
             scale = weight[part] / weight[part].sum()
-            for key, g in net.gradients(x, words[part], y[part], scale).items():
+            x, local = sample.batch(net.filters, words[part])
+            found = net.gradients(x, local, y[part], scale)
+            found["filters"] = sample.filter_gradients(found.pop("x"), words[part])
+            for key, g in found.items():
                 g = np.clip(g, -1, 1)
                 m[key] = 0.9 * m[key] + 0.1 * g
                 v[key] = 0.99 * v[key] + 0.01 * g * g
-                net.weights[key] = (net.weights[key] - now * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                step = now * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.99**t)) + 1e-6)
+                if key == "filters":
+                    # decayed: triples that few words have stay near nothing
+                    net.filters = (net.filters * (1 - FILTER_DECAY * now) - FILTER_RATE * step).astype(np.float32)
+                else:
+                    net.weights[key] = (net.weights[key] - step).astype(np.float32)
     return net
 
 
+#: Share of a filter that each step takes back, times the learning rate, and the share of that rate by which filters learn.  Faster ones learn the
+#: sample by heart.
+FILTER_DECAY, FILTER_RATE = 2.0, 0.1
+
+
 @dataclass
 class Model:
     table: np.ndarray | None
@@ -209,23 +287,28 @@ class Model:
         if self.network is not None:
             places, owner = word_hashes(run)
             if len(owner):
-                worst = document_logits(self.network, inputs(self.table, places), np.bincount(owner, minlength=run.rows))
+                x = np.concatenate((fixed_inputs(self.table, places), read_characters(self.network.filters, *word_triples(run))), axis=1)
+                worst = document_logits(self.network, x, np.bincount(owner, minlength=run.rows))
                 logit = worst
         z = np.clip(np.where(np.isfinite(logit), self.slope * np.clip(logit, -1e6, 1e6) + self.offset, -4.6 if self.network is not None else self.offset), -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
 #: Windows that are read side by side.
-STEP = 4096
+STEP = 2048
 
 
 def document_logits(net: Network, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The largest logit among each document's windows; -inf without words."""
     words, owner = window_words(counts)
-    x = np.concatenate((x, np.zeros((1, x.shape[1]), dtype=np.float32)))
     out = np.full(len(counts), -np.inf)
     for at in range(0, len(words), STEP):
-        np.maximum.at(out, owner[at : at + STEP], net.forward(x, words[at : at + STEP]))
+        part = words[at : at + STEP]
+        there = part < len(x)
+        low, high = int(part[0, 0]), int(part[there].max()) + 1  # windows are in the order of the words
+        own = np.zeros((high - low + 1, x.shape[1]), dtype=np.float32)
+        own[:-1] = x[low:high]
+        np.maximum.at(out, owner[at : at + STEP], net.forward(own, np.where(there, part - low, high - low)))
     return out
 
 
@@ -238,13 +321,27 @@ def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         return Model(None, None, 1.0, float(np.log(share / (1 - share))))
     r = np.random.default_rng(seed)
     places: list[np.ndarray] = []
+    triples, begins, values = [], [], []
+    before = 0
     for run in runs(pa.array(texts, pa.large_string()), lower=True):
         found, owner = word_hashes(run)
+        some, begin = word_triples(run)
+        triples.append(some)
+        begins.append(begin + before)
+        before += len(some)
+        first, last, _ = borders(run, letters_and_digits())
+        values.append(spans(run.data, first, last) if len(first) else np.empty(0, dtype=np.uint64))
         cuts = np.cumsum(np.bincount(owner, minlength=run.rows))
         places += np.split(found.astype(np.int32), cuts[:-1], axis=1)
     half = r.permutation(len(texts)) % 2
     tables = [log_odds([p for p, h in zip(places, half, strict=True) if h != k], toxic[half != k]) for k in (0, 1)]
-    each = [inputs(tables[h], p) for p, h in zip(places, half.tolist(), strict=True)]
+    each = [fixed_inputs(tables[h], p) for p, h in zip(places, half.tolist(), strict=True)]
+    # the characters of each different word once
+    _, first, kind = np.unique(np.concatenate(values), return_index=True, return_inverse=True)
+    begin = np.concatenate(begins)
+    sizes = np.diff(np.append(begin, before))[first]
+    ends = np.cumsum(sizes)
+    letters = np.concatenate(triples)[np.arange(sizes.sum()) + np.repeat(begin[first] - (ends - sizes), sizes)]
     xs, words, y, weight = [], [], [], []
     at = 0
     for x, label in zip(each, toxic.tolist(), strict=True):
@@ -259,15 +356,16 @@ def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         y += [label] * len(some)
         weight += [1.0 / len(some)] * len(some)
         at += len(x)
-    x = np.concatenate([*xs, np.zeros((1, INPUTS), dtype=np.float32)])
+    sample = Sample(np.concatenate(xs), kind.astype(np.int32), letters, ends - sizes)
     index = np.concatenate(words)
-    index[index < 0] = len(x) - 1
+    index[index < 0] = len(sample.x)
     y, weight = np.array(y, dtype=np.float32), np.array(weight, dtype=np.float32)
     for label in (0, 1):
         weight[y == label] *= 0.5 / weight[y == label].sum()
-    net = train(x, index, y, weight / weight.mean(), seed=seed)
+    net = train(sample, index, y, weight / weight.mean(), seed=seed)
     counts = np.array([len(e) for e in each])
-    logit = np.clip(document_logits(net, np.concatenate(each), counts), -50, 50)
+    whole = np.concatenate((sample.x, read_characters(net.filters, sample.triples, sample.begin)[sample.kind]), axis=1)
+    logit = np.clip(document_logits(net, whole, counts), -50, 50)
     slope, offset = _scale(logit, toxic)
     return Model(log_odds(places, toxic), net, slope, offset)
 

@@ -342,6 +342,26 @@ def test_mixture():
     assert language_id.mixtures(model, run(" ".join(words["x"] * 10)))[0].tolist() == [[1.0, 0.0]]
 
 
+def test_mixture_likelihoods_against_plain_em():
+    """Proportions and their bound against many plain steps."""
+    r = np.random.default_rng(12)
+    counts = np.array([3, 40, 7, 120])
+    likelihood = np.exp(r.normal(size=(4, counts.sum())))
+    at = np.cumsum(counts) - counts
+    allowed = np.ones((4, 4))
+    allowed[2, 1] = 0
+    share, reached, bound = language_id._proportions(likelihood, at, counts, allowed)
+    for d in range(4):
+        own = likelihood[:, at[d] : at[d] + counts[d]]
+        p = allowed[:, d] / allowed[:, d].sum()
+        for _ in range(20_000):
+            joint = own * p[:, None]
+            p = (joint / joint.sum(axis=0)).mean(axis=1)
+        best = float(np.log((own * p[:, None]).sum(axis=0)).sum())
+        assert reached[d] <= best + 1e-9 <= bound[d] + 1e-6 and bound[d] - reached[d] <= language_id.TOLERANCE + 1e-9
+        assert np.log((own * share[:, d, None]).sum(axis=0)).sum() == pytest.approx(reached[d])
+
+
 def test_quality(spark, docs, empty):
     big = DATA.replace("sf0.001", "sf0.1")
     found = registry.op10_quality(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id")
@@ -418,6 +438,31 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit_texts([], np.array([]))).count() == 0
 
 
+def test_characters_are_read():
+    """The features of words against a loop over their characters, and the gradient of the filters against differences."""
+    from oxidara.llm.words import Run
+
+    data = np.frombuffer("bad badly  cab, x ".encode(), dtype=np.uint8)
+    triples, begin = toxicity.word_triples(Run(0, data, np.array([0, len(data)])))
+    r = np.random.default_rng(3)
+    filters = r.normal(size=(1 << toxicity.TRIPLE_BITS, toxicity.CHARS)).astype(np.float32)
+    got = toxicity.read_characters(filters, triples, begin)
+    for word, row in zip(("bad", "badly", "cab", "x"), got, strict=True):
+        padded = [0, *word.encode(), 0]
+        codes = [((((padded[i] << 16) | (padded[i + 1] << 8) | padded[i + 2]) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - toxicity.TRIPLE_BITS) for i in range(len(word))]
+        assert np.allclose(row, filters[codes].mean(axis=0), atol=1e-5)
+    sample = toxicity.Sample(np.zeros((4, toxicity.FIXED), dtype=np.float32), np.arange(4), triples, begin)
+    words = np.full((1, toxicity.WINDOW), 4)
+    words[0, :4] = [2, 0, 1, 3]
+    d_x = r.normal(size=(1, toxicity.WINDOW, toxicity.INPUTS))
+    g = sample.filter_gradients(d_x, words)
+    at = int(triples[0])
+    moved = filters.copy()
+    moved[at, 1] += 1
+    change = (sample.batch(moved, words)[0] - sample.batch(filters, words)[0])[:4, toxicity.FIXED + 1]
+    assert abs(g[at, 1] - (change * d_x[0, :4, toxicity.FIXED + 1]).sum()) < 1e-4
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_gradients(seed):
     """Back-propagation against differences."""
@@ -442,6 +487,20 @@ def test_gradients(seed):
         down = loss()
         value[at] = old
         assert abs((up - down) / (2 * step) - got[key][at]) < 2e-2 * max(1, abs(got[key][at]))
+    for _ in range(5):
+        b, t, i = int(r.integers(0, 4)), int(r.integers(0, toxicity.WINDOW)), int(r.integers(0, toxicity.INPUTS))
+        at = words[b, t], i
+        same = words == words[b, t]
+        if at[0] == 50:
+            continue
+        old, step = x[at], 1e-2
+        x[at] = old + step
+        up = loss()
+        x[at] = old - step
+        down = loss()
+        x[at] = old
+        wanted = got["x"][same][:, i].sum()
+        assert abs((up - down) / (2 * step) - wanted) < 3e-2 * max(1, abs(wanted))
 
 
 @pytest.mark.parametrize(
