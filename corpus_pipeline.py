@@ -5,7 +5,16 @@ return the columns of documents.  ``run`` writes each stage's rows as Parquet in
 again, so a lost executor never makes a stage start over.
 
 Stages decide about rows, not ids: a row without an id is a document of its own, rows that repeat an id are judged each by
-its own text, and of rows that repeat id and text (or have copies) exactly one passes the exact and near stages.
+its own text, and of rows that repeat id and text (or have copies) exactly one passes the exact and near stages.  Other columns pass as they
+are; columns whose names operators use inside do not clash, as whole rows are handed on as one column.
+
+Results for unusual rows, by stage: language rejects null and empty texts and texts without a letter; so does quality with null and empty ones.
+Exact keeps one row of all texts without any character but white space, near keeps every row without words.  Packing gives a null text one piece.
+An empty table passes every stage as an empty table.  Of rows with equal preference (repeated ids, all ids null) the one whose columns have
+the smaller digest stays; very long texts are judged whole.
+
+What language rejects: undetermined texts, and mixtures in which no language has half of the words.  A share is relative to the languages that were
+learned, so a text in another language is taken for the nearest one and stays.
 """
 
 from __future__ import annotations
