@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.llm import ann, bpe, exact_dedup, html_text, language_id, ngram_join, packing, quality, token_counts, toxicity
-from oxidara.llm.rows import fold, table
+from oxidara.llm.rows import fold, limit_batches, table
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    def limited(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: query(limit_batches(spark), sf_dir)
+
+    return {name: limited(f) for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

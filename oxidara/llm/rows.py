@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
+def limit_batches(spark: SparkSession) -> SparkSession:
+    """Limit the session's Arrow batches to BATCH_LIMITS where they may be larger.  Queries and pipeline stages do this; the operators leave a session as it is."""
+    for key, most in BATCH_LIMITS.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def own_columns(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     """Only the columns that an operator works on, under the operator's own names.
 
-    names: own name -> column of the frame.  Other columns, whatever their names, are left out, so
-    they cannot clash.  The session's Arrow batches are limited to BATCH_LIMITS where they may be larger."""
-    conf = frame.sparkSession.conf
-    for key, most in BATCH_LIMITS.items():
-        now = conf.get(key, None)
-        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
+    names: own name -> column of the frame.  Other columns, whatever their names, are left out, so they cannot clash."""
     return frame.select(*[F.col(f"`{column}`").alias(own) for own, column in names.items()])
 
 
