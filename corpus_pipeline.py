@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.llm import exact_dedup, language_id, ngram_join, packing, quality
-from oxidara.llm.rows import shared_folder
+from oxidara.llm.rows import limit_batches, shared_folder
 
 #: A document stays if its language is known and makes up at least this share of it.
 LEAST_SHARE = 0.5
@@ -89,12 +89,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("quality", classify),
-    ("exact_dedup", exact),
-    ("ngram_join", near),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _limited(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(limit_batches(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", _limited(language)),
+    ("quality", _limited(classify)),
+    ("exact_dedup", _limited(exact)),
+    ("ngram_join", _limited(near)),
+    ("packing", _limited(pack)),
 ]
 
 #: Language, quality and token ids are beyond SQL; tests hold each stage against a plain version.

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oxidara.operators.ranks import interpolated
 from oxidara.sources.store import settle
 
 
@@ -71,7 +72,7 @@ def moment_regression(units: DataFrame) -> DataFrame:
         solved = used.select("comp", F.try_divide(F.col("a2a2") * F.col("a1y") - F.col("a1a2") * F.col("a2y"), det).alias("c1"), F.try_divide(F.col("a1a1") * F.col("a2y") - F.col("a1a2") * F.col("a1y"), det).alias("c2"))
         fit = F.col("a1") * F.col("c1") + F.col("a2") * F.col("c2")
         res = rows.join(F.broadcast(solved), "comp").withColumn("res", (F.col("y") - fit) / F.greatest(F.sqrt(F.greatest(fit, F.lit(2.220446049250313e-16))), F.lit(2.220446049250313e-16)))
-        scale = res.where("use").groupBy("comp").agg((1.4826 * F.percentile(F.abs("res"), 0.5)).alias("scale"))
+        scale = interpolated(res.where("use").select("comp", F.abs("res").alias("size")), ["comp"], "size", 0.5).select("comp", (1.4826 * F.col("size")).alias("scale"))
         rows = settle(res.join(F.broadcast(scale), "comp").withColumn("use", F.coalesce(F.abs(F.try_divide(F.col("res"), F.col("scale"))) < 4, F.lit(False))).select("chan", "comp", "a1", "a2", "y", "use", "c1", "c2"))
         last = rows
         rows = rows.drop("c1", "c2")
