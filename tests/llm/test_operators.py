@@ -179,6 +179,29 @@ def test_near_group(spark, monkeypatch, blocks):
     assert sorted((x["doc_id"], x["component_id"], x["n_links"]) for x in found.collect()) == [(i, int(low[i]), int(link[i].sum())) for i in range(len(rows))]
 
 
+def test_ngram_join_of_all_sizes(spark):
+    """Families of texts of 6 to 3000 words with edits around the threshold, so that signatures of different widths meet: links and components as by all pairs."""
+    r = np.random.default_rng(21)
+    texts = []
+    for size in (6, 12, 40, 90, 260, 300, 520, 1030, 3000):
+        base = [f"w{x}" for x in r.integers(0, 40 * size, size)]
+        for _ in range(14):
+            words = base[: size - int(r.integers(0, max(2, size // 5)))]
+            for at in r.integers(0, len(words), int(r.integers(0, max(2, size // 28)))):
+                words[at] = f"x{int(r.integers(0, 1 << 40))}"
+            texts.append(" ".join(words))
+    texts += [" ".join(t.split()[: len(t.split()) * 4 // 5]) for t in texts[::9]]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) if len(t.split()) >= 5 else frozenset([tuple(t.split())]) for t in texts]
+    link = np.array([[a != b and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
+    low = np.arange(len(texts))
+    for _ in texts:
+        low = np.minimum(low, np.where(link, low[None, :], len(texts)).min(axis=1))
+    share = link.sum() / (len(texts) * 13)
+    assert 0.2 < share < 0.9 and len(set(low.tolist())) > 9
+    found = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6), count_links=True)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in found.collect()) == [(i, len(sets[i]), int(low[i]), int(link[i].sum())) for i in range(len(texts))]
+
+
 def test_blocks_of_an_ngram(spark, monkeypatch):
     """Members of different clusters at one n-gram are compared in blocks of any size; of many close ones a forest is given, not the pairs."""
     r = np.random.default_rng(6)
