@@ -1,4 +1,6 @@
-"""python -m oxidara FOLDER OUT --components A,B,...: the whole chain over a folder of inspections, roster and events, as Parquet or CSV.
+"""python -m oxidara FOLDER OUT: the whole chain over a folder of inspections, roster and events, as Parquet or CSV.
+
+Components (in catalogue order), months and horizon come from the options, else from FOLDER/meta.json.
 
 Exit codes: 0, or 2 if a source is refused or a gate stops the run."""
 
@@ -12,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from oxidara.operators.ingest import Refused
 from oxidara.plans import run
 from oxidara.plans.gates import Stopped
-from oxidara.sources.store import examples, read_inspections, write_csv
+from oxidara.sources.store import examples, read_inspections, read_meta, write_csv
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="oxidara")
     parser.add_argument("folder")
     parser.add_argument("out", help="folder that all executors share")
-    parser.add_argument("--components", required=True, help="codes in catalogue order, with commas between them")
-    parser.add_argument("--months", type=int, default=60)
-    parser.add_argument("--horizon", type=int, default=18)
+    parser.add_argument("--components", help="codes in catalogue order, with commas between them")
+    parser.add_argument("--months", type=int)
+    parser.add_argument("--horizon", type=int)
     parser.add_argument("--format", choices=("parquet", "csv"), default="parquet")
     return parser
 
@@ -35,7 +37,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return spark.read.parquet(at) if args.format == "parquet" else spark.read.option("header", True).csv(at)
 
     inspections = read_inspections(spark, f"{args.folder}/inspections.{args.format}")
-    config = run.Config(tuple(args.components.split(",")), args.months, args.horizon)
+    given = (args.components, args.months, args.horizon)
+    meta = {} if all(given) else read_meta(spark, f"{args.folder}/meta.json")
+    components = args.components.split(",") if args.components else meta["components"]
+    config = run.Config(tuple(components), args.months or meta["n_months"], args.horizon or meta["forecast_months"])
     try:
         result = run.run(spark, f"{args.out}/steps", inspections, read("roster"), read("events").selectExpr("CAST(serial AS BIGINT) AS serial"), config)
     except (Refused, Stopped) as stop:

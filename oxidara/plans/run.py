@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oxidara.operators import faults, forecast, ingest, report, wear
 from oxidara.plans import gates
-from oxidara.plans.stages import Store
+from oxidara.plans.stages import Store, code_digest
 from oxidara.sources.store import write_ledger
 
 
@@ -113,6 +113,7 @@ def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFr
     ledger = report.ledger(forecasts, flags, codes, config.horizon)
     report.complete(ledger, made["state"])
     head = report.header(ledger, flags, counts, months, failures, made["thresholds"], second["comps"], codes, config.horizon, config.high_risk, degradations)
+    head["identity"] = {"spark": spark.version, "code": code_digest()[:12], "seed": config.seed, "inspections": store.read["screen.inspections"][:12], "roster": store.read["screen.roster"][:12]}
     text, facts = report.summary(head)
     gates.audit(text, facts | {f"code_{c}": c for c in codes}, degradations, "|".join([r"T\d{4,}", *codes]))
     tables = {"screened": screened, "flags": flags, "comps": second["comps"], "units": second["units"], "state": made["state"], "thresholds": made["thresholds"], "forecasts": forecasts, "availability": months, "failures": failures, "ledger": ledger}

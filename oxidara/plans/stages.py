@@ -54,6 +54,8 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
         #: Tables that this store gave, with their fingerprints: they need not be read again to know what they are.
         self.known: list[tuple[DataFrame, str]] = []
+        #: Digests of what the steps read, by step and name: they tell one run from another.
+        self.read: dict[str, str] = {}
 
     def _fingerprint(self, frame: DataFrame) -> str:
         return next((digest for kept, digest in self.known if kept is frame), None) or fingerprint(frame)
@@ -70,7 +72,9 @@ class Store:
     def run(self, name: str, step: Callable[..., dict[str, DataFrame]], inputs: dict[str, DataFrame], outputs: list[str], params: dict | None = None) -> dict[str, DataFrame]:
         """The outputs of step(**inputs, **params), computed only if they are not there yet or were changed since."""
         params = params or {}
-        parts = [name, code_digest(), inspect.getsource(step), json.dumps(params, sort_keys=True), *(f"{k}:{self._fingerprint(v)}" for k, v in sorted(inputs.items()))]
+        digests = {k: self._fingerprint(v) for k, v in sorted(inputs.items())}
+        self.read |= {f"{name}.{k}": digest for k, digest in digests.items()}
+        parts = [name, code_digest(), inspect.getsource(step), json.dumps(params, sort_keys=True), *(f"{k}:{digest}" for k, digest in digests.items())]
         at = f"{self.folder}/{name}-{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:16]}"
         manifest = self._manifest(at)
         if manifest is not None:

@@ -45,6 +45,12 @@ def read_inspections(spark: SparkSession, path: str, file_order: str = "_row") -
     return frame.withColumn(file_order, F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
 
 
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """What a JSON document (one object) says of a source: n_months, forecast_months, components."""
+    row = spark.read.option("multiLine", True).json(path).first()
+    return row.asDict(recursive=True)
+
+
 def read_matrix(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A numeric CSV file without a header, its columns named in order."""
     return spark.read.schema(", ".join(f"`{c}` double" for c in columns)).csv(path)

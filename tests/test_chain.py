@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -52,6 +53,7 @@ def test_chain(spark, fleet, result, tmp_path):
     assert result.header["ingest"]["rows_in"] == fleet["inspections"].count()
     assert ledger.where("explanation IS NULL OR size(failure_cdf_by_month) <> 18").isEmpty()
     assert sum(result.header["detect"]["by_class"].values()) == n
+    assert len(result.header["identity"]["inspections"]) == len(result.header["identity"]["code"]) == 12
     assert set(result.header["failures_by_component"]) == set(result.header["fit"]) == set(PARTS)
     run.publish(result, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "ledger")).count() == n
@@ -90,7 +92,9 @@ def test_command_line_on_csv(spark, fleet, tmp_path):
     for name in ("roster", "events"):
         fleet[name].write.parquet(f"{bad}/{name}.parquet")
     fleet["inspections"].withColumn("reading", F.lit("n/a")).drop("_row").write.parquet(f"{bad}/inspections.parquet")
-    assert main([bad, str(tmp_path / "out"), "--components", ",".join(PARTS)], spark) == 2
+    (tmp_path / "bad" / "meta.json").write_text(json.dumps({"n_months": 60, "forecast_months": HORIZON, "components": list(PARTS)}, indent=1))
+    assert main([bad, str(tmp_path / "out")], spark) == 2
+    assert store.read_meta(spark, f"{bad}/meta.json") == {"n_months": 60, "forecast_months": HORIZON, "components": list(PARTS)}
     rows = store.read_inspections(spark, f"{at}/inspections.csv")
     assert rows.count() == fleet["inspections"].count() and rows.select("_row").distinct().count() == rows.count()
 
