@@ -63,8 +63,9 @@ def damage_state(rows: DataFrame, posterior: DataFrame, flags: DataFrame, params
 def forecast(state: DataFrame, horizon: int) -> DataFrame:
     """state with p05, p50, p95 (infinite beyond four horizons), pfail and the monthly cdf.
 
-    The special functions cost far more than a shuffle of a row per channel: channels are dealt evenly over all cores."""
-    dealt = state.repartition(state.sparkSession.sparkContext.defaultParallelism, "chan")
+    The special functions cost far more than a shuffle of a row per channel: channels are dealt evenly over all cores.  The hash keeps the shuffle:
+    one by chan itself would be left out where rows lie by chan already, if only in the few partitions that their bytes are worth."""
+    dealt = state.repartition(state.sparkSession.sparkContext.defaultParallelism, F.xxhash64("chan"))
     return dealt.withColumn("f", forecast_udf(horizon)(*FORECAST_INPUTS)).select(*state.columns, "f.*")
 
 
@@ -146,7 +147,7 @@ def lives(units: DataFrame, horizon: int, replicates: int, seed: int, repair: tu
             yield pd.DataFrame({"rep": rep.astype(np.int32), "month": (month + 1).astype(np.int32), "comp": np.int32(comp), "n": n.ravel()})
 
     columns = units.select("chan", "tail", "comp", "x0", "la_mu", "la_var", "beta", "threshold", "usage", "log_sd")
-    dealt = columns.repartition(units.sparkSession.sparkContext.defaultParallelism, "tail").sortWithinPartitions("tail", "chan")
+    dealt = columns.repartition(units.sparkSession.sparkContext.defaultParallelism, F.xxhash64("tail")).sortWithinPartitions("tail", "chan")
     return dealt.mapInPandas(simulate, "rep int, month int, comp int, n bigint").groupBy("rep", "month", "comp").agg(F.sum("n").alias("n"))
 
 
