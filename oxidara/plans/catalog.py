@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from oxidara.functions.special import hermite
 from oxidara.operators import faults, forecast, ingest, ranks, report, scoring, wear
 from oxidara.plans import scorecard
-from oxidara.sources.store import examples
+from oxidara.sources.store import examples, settle
 
 K, N_MONTHS, HORIZON, REPLICATES = 3, 83, 18, 200
 BETA, SIGMA, MU, TAU, LIMIT = 0.05, 0.2, -0.7985076962177716, 0.2, 7.9
@@ -145,8 +145,8 @@ def q_changepoint_scan(spark, d):
     return found.select("chan", F.round("p_min", 6).alias("p_min"), "onset", F.round("p_corrected", 6).alias("p_corrected"), "persistent", "watch")
 
 
-def _flags(spark, d) -> DataFrame:
-    rows = _with_params(sequenced(spark, d))
+def _flags(spark, d, kept: DataFrame | None = None) -> DataFrame:
+    rows = _with_params(sequenced(spark, d) if kept is None else kept)
     return faults.isolate(rows, rows.select("chan"), N_MONTHS)
 
 
@@ -167,20 +167,22 @@ def _state(spark, d) -> DataFrame:
     return forecast.damage_state(rows, posterior, none.select("chan", F.lit(0).alias("class")), params, usage, N_MONTHS)
 
 
-def _posterior(spark, d) -> DataFrame:
+def _posterior(spark, d, kept: DataFrame | None = None) -> DataFrame:
     """Each channel's posterior of its log-rate under the fixed parameters."""
-    rates = wear.log_rates(_with_params(wear.unit_stats(wear.increments(sequenced(spark, d))))).withColumn("tau2", F.lit(TAU * TAU))
+    kept = sequenced(spark, d) if kept is None else kept
+    rates = wear.log_rates(_with_params(wear.unit_stats(wear.increments(kept)))).withColumn("tau2", F.lit(TAU * TAU))
     return wear.posterior(rates.drop("alpha"))
 
 
 def _whole_state(spark, d, flags: DataFrame | None = None) -> DataFrame:
     """_state with the channels' own posteriors and fault classes; channels with false readings keep the prior, as in the chain."""
-    rows = fleet(spark, d)
-    flags = _flags(spark, d) if flags is None else flags
+    kept = settle(sequenced(spark, d))
+    rows = kept.select(*fleet(spark, d).columns)
+    flags = settle(_flags(spark, d, kept)) if flags is None else flags
     false = flags.where(F.col("class").isin(*faults.EXCLUDED)).select("chan")
     params = _comps(spark).select("comp", F.lit(BETA).alias("beta"), F.lit(MU).alias("mu"), F.lit(TAU).alias("tau"), F.lit(LIMIT).alias("threshold"))
     usage = forecast.usage_by_tail(rows).select("tail", "usage")
-    return forecast.damage_state(rows, _posterior(spark, d).join(false, "chan", "left_anti"), flags, params, usage, N_MONTHS)
+    return forecast.damage_state(rows, _posterior(spark, d, kept).join(false, "chan", "left_anti"), flags, params, usage, N_MONTHS)
 
 
 def q_posterior(spark, d):
