@@ -5,11 +5,12 @@ A document's set holds its distinct word n-grams; two documents link when
 
 1. One pass makes each document's set, its size, its signature and the key of its class: documents with equal sets are one class,
    so copies are told apart from nothing and never expanded into pairs.  The same pass counts
-   n-grams into a table of fixed size (``sketch_bits``); any function of an n-gram gives a valid
+   n-grams into a table of fixed size (``sketch_bits``), those of a class once for each task; any function of an n-gram gives a valid
    order, and by this one rare n-grams come first.
 2. A second pass sends the prefix of each set in that order, ``|x| - ceil(t |x|) + 1`` n-grams with size and place, once for each
    class and task: one shuffle by n-gram.  Two linked sets share an n-gram of their prefixes, so those that only one class has end here.
-   N-grams whose place in the table stands out are dealt over salts and all stay.
+   N-grams whose place in the table stands out are dealt over salts; all their classes stay until the salts are merged, and an n-gram
+   that only one class has ends there.
 3. Candidates pass the length filter and the positional filter where they meet; at n-grams of at most SMALL classes that is at once.
    Each pair is then distinct, and passes the suffix filter: the n-grams are parted by
    fixed pivots of the hash order, and the parities of the parts bound from below in how many n-grams two sets differ.
@@ -135,15 +136,17 @@ def _sets(rows: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
             id_type = batch.schema.field("doc_id").type
             n, key, second, signature = [], [], [], []
             for piece in runs(batch.column("text")):
-                seen = []
+                seen = [np.empty(0, dtype=np.int64)]
                 for grams in gram_sets(piece, words):
                     a, b = _class_key(grams, seed) if len(grams) else (None, None)
                     n.append(len(grams))
                     key.append(a)
                     second.append(b)
-                    signature.append(None if a is None or a in known else _signature(grams))
-                    known.add(a)
-                    seen.append(_places(grams, bits))
+                    new = a is not None and a not in known
+                    signature.append(_signature(grams) if new else None)
+                    if new:
+                        known.add(a)
+                        seen.append(_places(grams, bits))
                 np.add.at(total, np.concatenate(seen), np.uint32(1))
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, key, second)), pa.array(signature, pa.binary()), *none], names=names)
@@ -556,7 +559,7 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, percent: int, see
 def _met(key: np.ndarray, klass: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> pa.RecordBatch:
     """What the classes of whole keys (sorted by key) have to do with each other: pairs that pass the length and positional filter where at
     most SMALL classes meet, else the members themselves.  Columns: a, b (a pair), or gram, a, n, place (a member)."""
-    alone = np.ones(len(key), dtype=bool)
+    alone = key < 1 << GRAM_BITS  # who is alone in a salt may meet others in another one
     alone[1:] &= key[1:] != key[:-1]
     alone[:-1] &= key[1:] != key[:-1]
     some = ~alone
@@ -687,3 +690,23 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     found = found.withColumns({"class_id": F.coalesce("rep", "doc_id"), "component_id": F.coalesce("component_id", "doc_id")})
     more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if count_links else []
     return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", *more)
+
+
+#: The same in DuckDB SQL: every pair of sets that share an n-gram, and the links' components by a recursive query.
+ORACLE = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {WORDS} THEN [array_to_string(w[i : i + {WORDS - 1}], ' ') FOR i IN range(1, len(w) - {WORDS - 2})] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS grams FROM words
+), keyed AS (SELECT doc_id, len(grams) AS n, sha256(array_to_string(grams, chr(10))) AS k, grams FROM sets
+), classes AS (SELECT k, min(doc_id) AS rep, count(*) AS size, any_value(n) AS n, any_value(grams) AS grams FROM keyed WHERE n > 0 GROUP BY k
+), each AS (SELECT rep, n, unnest(grams) AS gram FROM classes
+), common AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) + any_value(y.n) AS total, count(*) AS met FROM each x JOIN each y ON x.gram = y.gram AND x.rep <> y.rep GROUP BY 1, 2
+), links AS (SELECT a, b FROM common WHERE 100 * met >= {PERCENT} * (total - met)
+), reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a
+), counted AS (SELECT l.a, sum(c.size) AS others FROM links l JOIN classes c ON c.rep = l.b GROUP BY l.a)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(c.rep, d.doc_id) AS class_id, coalesce(r.root, d.doc_id) AS component_id,
+       CAST(coalesce(c.size - 1 + coalesce(o.others, 0), 0) AS BIGINT) AS n_links
+FROM keyed d LEFT JOIN classes c ON d.n > 0 AND c.k = d.k LEFT JOIN roots r ON r.a = c.rep LEFT JOIN counted o ON o.a = c.rep
+"""

@@ -269,6 +269,47 @@ def test_link_counts(spark, monkeypatch, blocks):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in found.collect()) == collections.Counter((i, len(x), n) for (i, _), x, n in zip(rows, sets, n_links, strict=True))
 
 
+@pytest.mark.parametrize("hot", [1, 2, 8, 0x8000])
+def test_salted_ngrams(spark, monkeypatch, hot):
+    """Copies and variants of texts whose n-grams are dealt over salts, so that classes are alone in theirs: links and components as by all pairs."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base[: 30 + i], f"x{i}", *base[31 + i :]]) for i in range(6)]
+    texts += [" ".join([*base[:50], *[f"z{i}-{k}" for k in range(10)]]) for i in range(9)]  # share many n-grams and do not link
+    r = np.random.default_rng(41)
+    for f in range(6):
+        own = [f"f{f}-{x}" for x in r.integers(0, 400, 80)]
+        for _ in range(7):
+            words = list(own)
+            for at in r.integers(0, 80, int(r.integers(0, 4))):
+                words[at] = f"x{int(r.integers(0, 1 << 40))}"
+            texts.append(" ".join(words))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    link = np.array([[a != b and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
+    low = np.arange(len(texts))
+    for _ in texts:
+        low = np.minimum(low, np.where(link, low[None, :], len(texts)).min(axis=1))
+    assert (low[:46] == 0).all() and len(set(low.tolist())) > 10
+    found = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7), count_links=True)
+    assert sorted((x["doc_id"], x["component_id"], x["n_links"]) for x in found.collect()) == [(i, int(low[i]), int(link[i].sum())) for i in range(len(texts))]
+
+
+def test_classes_alone_in_their_salts():
+    """Two classes of one frequent n-gram in two salts are both handed on; of an n-gram that is not salted, a class alone is not."""
+    key = np.array([5, 9, 9, (1 << ngram_join.GRAM_BITS) + 7, (2 << ngram_join.GRAM_BITS) + 7])
+    met = ngram_join._met(key, np.array([1, 2, 3, 4, 5]), np.full(5, 30), np.zeros(5, dtype=np.int64), 75).to_pylist()
+    assert [(r["a"], r["b"], r["gram"]) for r in met] == [(2, 3, None), (4, None, 7), (5, None, 7)]
+
+
+def test_ngram_join_sql(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{folder}/documents.parquet'")
+    expected = duckdb.sql(ngram_join.ORACLE).fetchdf().sort_values("doc_id")
+    got = registry.op8_ngram_join(spark, folder).toPandas().sort_values("doc_id")
+    for c in ("doc_id", "n_shingles", "class_id", "component_id", "n_links"):
+        assert got[c].tolist() == expected[c].tolist()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (22, 20), (30, 30)], "a bigint, b bigint")
     assert {r["node"]: r["root"] for r in ngram_join.components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20}
