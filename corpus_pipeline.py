@@ -6,7 +6,7 @@ again, so a lost executor never makes a stage start over.
 
 Stages decide about rows, not ids: a row without an id is a document of its own, rows that repeat an id are judged each by
 its own text, and of rows that repeat id and text (or have copies) exactly one passes the exact and near stages.  Other columns pass as they
-are; columns whose names operators use inside do not clash, as whole rows are handed on as one column.
+are, with any names: whole rows are handed on as one column, so names that operators use inside do not clash.
 
 Results for unusual rows, by stage: language rejects null and empty texts and texts without a letter; so does quality with null and empty ones.
 Exact keeps one row of all texts without any character but white space, near keeps every row without words.  Packing gives a null text one piece.
@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.llm import exact_dedup, language_id, ngram_join, packing, quality
@@ -33,32 +33,37 @@ from oxidara.llm.rows import limit_batches, shared_folder
 LEAST_SHARE = 0.5
 
 
-#: Names that the stages add to the columns of documents while they work.
+#: Names of the columns that the stages work on.  The columns of documents, whatever their names, are fields of ROW meanwhile.
 KEY, ROW, TEXT = "_key", "_row", "_text"
 
 
+def _named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """Whole rows as one column, which operators hand on as if it were the id, and the text."""
-    return docs.select(F.struct(*docs.columns).alias(ROW), F.col("text").alias(TEXT))
+    return docs.select(F.struct(*map(_named, docs.columns)).alias(ROW), F.col("text").alias(TEXT))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the KEY of each row: made of its content alone, so rows have one key only if all their columns are equal.
+    """Whole rows with their text and the KEY of each: made of its content alone, so rows have one key only if all their columns are equal.
 
     The first bytes order rows by id, those without one last; then come 128 bits of SHA-256 over all columns."""
     number = F.col("doc_id").cast("bigint")
     by_id = F.concat(F.when(number.isNull(), "01").otherwise("00"), F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (F.col(c).cast("string") for c in docs.columns)]
-    return docs.withColumn(KEY, F.unhex(F.concat(by_id, F.substring(F.sha2(F.concat(*cells), 256), 1, 32))))
+    cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (_named(c).cast("string") for c in docs.columns)]
+    key = F.unhex(F.concat(by_id, F.substring(F.sha2(F.concat(*cells), 256), 1, 32)))
+    return docs.select(key.alias(KEY), F.struct(*map(_named, docs.columns)).alias(ROW), F.col("text").alias(TEXT))
 
 
 def _take(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     """One row of each key in keys, with the columns of documents.
 
     Equal rows are combined in each task before they are shuffled; the join then has them where they are."""
-    columns = [c for c in keyed.columns if c != KEY]
-    once = keyed.groupBy(KEY).agg(*[F.first(c).alias(c) for c in columns])
-    return once.join(keys.select(KEY), KEY, "left_semi").select(*columns)
+    once = keyed.groupBy(KEY).agg(F.first(ROW).alias(ROW))
+    return once.join(keys.select(KEY), KEY, "left_semi").select(f"{ROW}.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,13 +80,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts, also if rows repeat an id or have none."""
     keyed = _keyed(docs)
-    return _take(keyed, exact_dedup.survivors(keyed, KEY))
+    return _take(keyed, exact_dedup.survivors(keyed, KEY, TEXT))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each group of near copies; one row, also if rows repeat an id or have none."""
     keyed = _keyed(docs)
-    return _take(keyed, ngram_join.ngram_join(keyed, id_col=KEY).where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct())
+    return _take(keyed, ngram_join.ngram_join(keyed, id_col=KEY, text_col=TEXT).where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
