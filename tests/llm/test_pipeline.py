@@ -63,3 +63,20 @@ def test_empty_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0, name
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the stages' own ones, or with dots and backticks, pass all stages with their values; a very long text is one row among others."""
+    names = ["_key", "_row", "_text", "a.b", "c`d", "doc_id_2", "key", "component_id"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(odd(spark, [(-1, " ".join(WORDS * 4000))]))
+    wide = docs.select("*", *[F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, wide, DATA)
+        if name == "packing":
+            assert after.select("doc_id").distinct().count() == wide.count()
+            break
+        assert after.columns == wide.columns, name
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+        assert len(rows) == stage(spark, docs, DATA).count(), name
