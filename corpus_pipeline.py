@@ -34,7 +34,7 @@ LEAST_SHARE = 0.5
 
 
 #: Names of the columns that the stages work on.  The columns of documents, whatever their names, are fields of ROW meanwhile.
-KEY, ROW, TEXT = "_key", "_row", "_text"
+KEY, ROW, ID, TEXT = "_key", "_row", "_id", "_text"
 
 
 def _named(column: str) -> Column:
@@ -55,7 +55,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     by_id = F.concat(F.when(number.isNull(), "01").otherwise("00"), F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (_named(c).cast("string") for c in docs.columns)]
     key = F.unhex(F.concat(by_id, F.substring(F.sha2(F.concat(*cells), 256), 1, 32)))
-    return docs.select(key.alias(KEY), F.struct(*map(_named, docs.columns)).alias(ROW), F.col("text").alias(TEXT))
+    return docs.select(key.alias(KEY), F.struct(*map(_named, docs.columns)).alias(ROW), F.col("doc_id").alias(ID), F.col("text").alias(TEXT))
 
 
 def _take(keyed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts, also if rows repeat an id or have none."""
     keyed = _keyed(docs)
-    return _take(keyed, exact_dedup.survivors(keyed, KEY, TEXT))
+    return _take(keyed, exact_dedup.survivors(keyed, KEY, ID, TEXT))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
