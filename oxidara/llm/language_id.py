@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oxidara.llm.rows import own_columns
+from oxidara.llm.rows import and_fields, own_columns
 from oxidara.llm.words import Run, borders, runs
 
 UNDETERMINED = "und"
@@ -168,7 +168,6 @@ def mixtures(model: Model, run: Run) -> tuple[np.ndarray, np.ndarray]:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (its proportion), languages and shares of the selected set."""
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes x 2**GRAM_BITS for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,4 +190,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             arrays = [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), languages, shares]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "languages", "shares"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInArrow(run, and_fields(rows.schema["doc_id"], "lang_pred string, score double, languages array<string>, shares array<double>"))

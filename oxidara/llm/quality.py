@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxidara.llm.rows import own_columns
+from oxidara.llm.rows import and_fields, own_columns
 from oxidara.llm.words import Run, Words, not_blank, runs, words
 
 LABELLERS = ("symbols", "signed_words", "capitals", "exclamations", "repeated_words", "longest_run", "repeated_lines", "bars", "bare_signs", "sentences", "word_length", "size")
@@ -323,7 +323,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, weak_label (probability of good by the votes), score, predicted (1: good)."""
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,4 +337,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             arrays = [batch.column("doc_id"), pa.array(np.concatenate(weak)), pa.array(y), pa.array((y >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "weak_label", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, weak_label double, score double, predicted int")
+    return rows.mapInArrow(run, and_fields(rows.schema["doc_id"], "weak_label double, score double, predicted int"))

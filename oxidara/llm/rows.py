@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory is bounded by few texts.
@@ -30,6 +31,11 @@ def own_columns(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     return frame.select(*[F.col(f"`{column}`").alias(own) for own, column in names.items()])
 
 
+def and_fields(field: StructField, ddl: str) -> StructType:
+    """A schema of a carried field, whatever the names inside it, and the fields of ddl."""
+    return StructType([field, *StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
