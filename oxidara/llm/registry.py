@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oxidara.llm import ann, bpe, exact_dedup, html_text, language_id, ngram_join, packing, quality, token_counts, toxicity
+from oxidara.llm import ann, bpe, clustering, decontamination, exact_dedup, html_text, language_id, ngram_join, packing, quality, token_counts, toxicity, whitening
 from oxidara.llm.rows import fold, limit_batches, table
 
 
@@ -58,6 +58,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a 64-bit number: beyond that (about 10**9 rows) the cast is an error, and the operator's own decimal is to be used."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def limited(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(limit_batches(spark), sf_dir)
@@ -66,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op12_clustering": clustering.ORACLE, "op13_decontamination": decontamination.ORACLE}
