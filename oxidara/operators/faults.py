@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oxidara.functions.special import gammainc
+from oxidara.functions.special import gammaincc
 
 NONE, BIAS, SCALE, STUCK, DROPOUT, ACCELERATED = range(6)
 EXCLUDED = (BIAS, SCALE, STUCK)
@@ -16,7 +16,7 @@ def spikes(rows: DataFrame) -> DataFrame:
     """p of each increment (gamma matched by mean and variance) and spike.  rows: d, du, alpha, beta, sigma."""
     mean = F.col("alpha") * F.col("beta") * F.col("du")
     var = F.col("alpha") * F.col("beta") * F.col("beta") * F.col("du") + 2 * F.col("sigma") * F.col("sigma")
-    p = 1 - gammainc(mean * mean / var, F.greatest(F.col("d"), F.lit(0.0)) * mean / var)
+    p = gammaincc(mean * mean / var, F.greatest(F.col("d"), F.lit(0.0)) * mean / var)
     return rows.withColumn("p_spike", p).withColumn("spike", (F.col("p_spike") < SPIKE_P) & (F.col("d") > 4 * F.col("sigma")))
 
 
@@ -58,7 +58,7 @@ def change_points(sequenced: DataFrame) -> DataFrame:
     """Per candidate row: p that what follows is no faster than what came before predicts.
 
     sequenced: with beta, sigma, mu, tau.  Candidates are every third row from the first one, which has nothing before it and is held against the
-    prior alone.  Prefix sums make every candidate O(1); the special function sees candidates only."""
+    prior alone.  Prefix sums make every candidate O(1); the special function sees candidates only, and no row leaves the JVM."""
     rows = prefix_sums(sequenced).where("n_rows >= 13 AND (rn - 1) % 3 = 0 AND rn <= n_rows - 6")
     eps, beta, s2 = F.lit(2.220446049250313e-16), F.col("beta"), F.col("sigma") * F.col("sigma")
     u = F.greatest(F.col("pre_u").cast("double"), eps)
@@ -74,14 +74,14 @@ def change_points(sequenced: DataFrame) -> DataFrame:
     m = a * beta * F.col("u_post")
     rows = rows.withColumn("m", m).withColumn("var", a * beta * beta * F.col("u_post") + m * m * (F.exp("pv") - 1) + 2 * s2 * (F.col("seg_last") - F.col("seg") + 1))
     rows = rows.where("m > 0 AND var > 0 AND u_post > 0")
-    p = 1 - gammainc(F.col("m") * F.col("m") / F.col("var"), F.greatest(F.col("s_post"), F.lit(0.0)) * F.col("m") / F.col("var"))
+    p = gammaincc(F.col("m") * F.col("m") / F.col("var"), F.greatest(F.col("s_post"), F.lit(0.0)) * F.col("m") / F.col("var"))
     return rows.withColumn("p", p)
 
 
 def persistence(candidates: DataFrame) -> DataFrame:
     """Per channel: p_min, its month (the first of equal ones), corrected p, persistent, watch.
 
-    p is one less a probability, so what it has below 1e-12 is rounding: such values are equal."""
+    Values that differ below 1e-12 are equal: so small a difference is rounding, whichever way the probability is computed."""
     settled = candidates.withColumn("p", F.round(F.greatest("p", F.lit(0.0)), 12))
     best = settled.groupBy("chan").agg(F.min(F.struct("p", "rn", "month")).alias("best"), F.count(F.lit(1)).alias("n_valid"))
     rows = best.select("chan", F.col("best.p").alias("p_min"), F.col("best.month").alias("onset"), F.least(F.lit(1.0), F.col("best.p") * F.col("n_valid")).alias("p_corrected"))
