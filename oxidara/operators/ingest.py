@@ -28,11 +28,27 @@ def _when(condition: Column, code: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.lit(code))
 
 
+#: A key is frequent if it is one of the MOST_FREQUENT commonest keys and has at least LEAST_FREQUENT rows: any other key has fewer than a MOST_FREQUENT-th of all rows.
+LEAST_FREQUENT, MOST_FREQUENT = 1000, 50_000
+KEYS = ("tail", "component", "serial", "month")
+
+
+def frequent_keys(rows: DataFrame, order: Column) -> DataFrame:
+    """The frequent keys, at most MOST_FREQUENT of them, each with the smallest order of its rows (_first).
+
+    Tasks combine their rows of a key before anything is shuffled, so a key that half of all rows have is a row for each task."""
+    found = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_times"), F.min(order).alias("_first"))
+    return found.where(F.col("_times") >= LEAST_FREQUENT).orderBy(F.desc("_times")).limit(MOST_FREQUENT).drop("_times")
+
+
 def screen(rows: DataFrame, roster: DataFrame, components: list[str], n_months: int, order: list[str], neg_fence: float = 1.0, upper_fence: float = 30.0, jump: float = 5.0) -> DataFrame:
     """The rows with numeric columns coerced and an array column ``reasons``; clean rows have none.
 
-    order: columns that give the file's order, by which the first of duplicates is kept.  One shuffle by
-    (tail, component, serial) serves both windows; the roster, one row for each aircraft, is joined by tail."""
+    order: columns that give the file's order and tell rows apart, by which the first of duplicates is kept; missing keys are equal keys.
+
+    One shuffle by (tail, component, serial) serves both windows.  Dirty feeds put many rows on one key, so two kinds of rows are dealt over all tasks instead.  Rows whose key
+    alone condemns them (unknown or missing parts of it) go by their whole key, as they meet no neighbours.  Of the frequent keys, the first row is known from an
+    aggregation and stays with its neighbours; the others are duplicates wherever they are, and go by their order.  The table of frequent keys is broadcast: MOST_FREQUENT rows at most."""
     missing = [c for c in REQUIRED if c not in rows.columns]
     if missing:
         raise Refused(f"SCHEMA_COLUMNS: the source lacks {', '.join(missing)}")
@@ -40,30 +56,39 @@ def screen(rows: DataFrame, roster: DataFrame, components: list[str], n_months:
         rows = rows.withColumn(c, number(c))
     for c in WHOLE:
         rows = rows.withColumn(c, F.when((F.col(c) == F.floor(c)) & (F.abs(c) < 2.0**53), F.col(c)))
+    place = F.struct(*order)
+    hot = frequent_keys(rows, place).select(*[F.col(c).alias(f"_{c}_2") for c in KEYS], "_first", F.lit(True).alias("_hot"))
+    same = [rows[c].eqNullSafe(hot[f"_{c}_2"]) for c in KEYS]
+    rows = rows.join(F.broadcast(hot), same[0] & same[1] & same[2] & same[3], "left").drop(*[f"_{c}_2" for c in KEYS])
     known = roster.select(F.col("tail").alias("_tail")).distinct()
-    rows = rows.join(known, rows["tail"] == known["_tail"], "left").repartition("tail", "component", "serial")
-    keys = ["tail", "component", "serial", "month"]
-    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = rows.join(known, rows["tail"] == known["_tail"], "left")
     usage, month, reading = F.col("usage_hours"), F.col("month"), F.col("reading")
+    foreign, unknown = F.col("_tail").isNull(), ~F.coalesce(F.col("component").isin(components), F.lit(False))
+    beyond = F.coalesce((month < 0) | (month >= n_months), F.lit(False))
+    condemned = foreign | unknown | F.col("serial").isNull() | month.isNull() | beyond
+    later = F.coalesce(F.col("_hot") & (place > F.col("_first")), F.lit(False))
+    rows = rows.withColumn("_later", later).withColumn("_spread", F.when(F.col("_later"), F.xxhash64(*order)).when(condemned, F.xxhash64(*KEYS)))
+    rows = rows.repartition("tail", "component", "serial", "_spread")
+    copy = F.row_number().over(Window.partitionBy("tail", "component", "serial", "_spread", "month").orderBy(*order))
     reasons = [
         *[_when(F.col(c).isNull(), "TYPE") for c in NUMERIC],
-        _when(F.col("_tail").isNull(), "UNKNOWN_TAIL"),
-        _when(~F.coalesce(F.col("component").isin(components), F.lit(False)), "UNKNOWN_COMP"),
-        _when((month < 0) | (month >= n_months), "MONTH_RANGE"),
+        _when(foreign, "UNKNOWN_TAIL"),
+        _when(unknown, "UNKNOWN_COMP"),
+        _when(beyond, "MONTH_RANGE"),
         _when(usage < 0, "USAGE_NEGATIVE"),
         _when(usage.isNull() | (F.abs(usage) == float("inf")), "USAGE_NONFINITE"),
         _when(usage > MOST_HOURS, "USAGE_FENCE"),
-        _when(F.col("_copy") > 1, "DUPLICATE"),
+        _when(F.col("_later") | (F.col("_copy") > 1), "DUPLICATE"),
         _when(reading < -neg_fence, "READING_NEGATIVE"),
         _when(reading > upper_fence, "READING_FENCE"),
     ]
-    rows = rows.withColumn("_copy", copy).withColumn("reasons", F.array_compact(F.array(*reasons))).drop("_copy", "_tail")
-    rows = rows.withColumn("_fine", F.size("reasons") == 0)
-    beside = Window.partitionBy("tail", "component", "serial", "_fine").orderBy("month")
+    rows = rows.withColumn("_copy", copy).withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("_fine", F.size("reasons") == 0)
+    beside = Window.partitionBy("tail", "component", "serial", "_spread", "_fine").orderBy("month")
     before, after = F.lag("reading").over(beside), F.lead("reading").over(beside)
     point = (F.abs(reading - before) > jump) & (F.abs(reading - after) > jump) & (F.abs(after - before) < jump / 2)
     rows = rows.withColumn("_point", F.col("_fine") & F.coalesce(point, F.lit(False)))
-    return rows.withColumn("reasons", F.when(F.col("_point"), F.array(F.lit("POINT_OUTLIER"))).otherwise(F.col("reasons"))).drop("_fine", "_point")
+    rows = rows.withColumn("reasons", F.when(F.col("_point"), F.array(F.lit("POINT_OUTLIER"))).otherwise(F.col("reasons")))
+    return rows.drop("_fine", "_point", "_copy", "_tail", "_first", "_hot", "_later", "_spread")
 
 
 def clean(screened: DataFrame) -> DataFrame:
