@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     components = args.components.split(",") if args.components else meta["components"]
     config = run.Config(tuple(components), args.months or meta["n_months"], args.horizon or meta["forecast_months"])
     try:
-        result = run.run(spark, f"{args.out}/steps", inspections, read("roster"), read("events").selectExpr("CAST(serial AS BIGINT) AS serial"), config)
+        result = run.run(spark, f"{args.out}/steps", inspections, read("roster"), read("events").selectExpr("CAST(serial AS BIGINT) AS serial"), config, sources={name: f"{args.folder}/{name}.{args.format}" for name in ("inspections", "roster", "events")})
     except (Refused, Stopped) as stop:
         print(f"stopped: {stop}", file=sys.stderr)
         return 2

@@ -11,6 +11,7 @@ NUMERIC = ("serial", "month", "usage_hours", "reading")
 #: A fraction in these is no number of a part or of a month: TYPE, never cut off.
 WHOLE = ("serial", "month")
 MOST_HOURS = 24 * 31
+REASONS = ("TYPE", "UNKNOWN_TAIL", "UNKNOWN_COMP", "MONTH_RANGE", "USAGE_NEGATIVE", "USAGE_NONFINITE", "USAGE_FENCE", "DUPLICATE", "READING_NEGATIVE", "READING_FENCE", "POINT_OUTLIER")
 _NUMBER = r"^[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf|infinity)$"
 
 
@@ -104,15 +105,29 @@ def reason_counts(screened: DataFrame) -> DataFrame:
     return screened.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def screen_metrics() -> list[Column]:
+    """Aggregates of a screened table: rows in, clean, quarantined, and how often each reason was given."""
+    n = F.size("reasons")
+    counts = [F.count(F.lit(1)).alias("rows_in"), F.count_if(n == 0).alias("rows_clean"), F.count_if(n > 0).alias("rows_quarantined")]
+    return counts + [F.expr(f"coalesce(sum(size(filter(reasons, x -> x = '{code}'))), 0)").alias(code) for code in REASONS]
+
+
+def summary(seen: dict) -> dict:
+    """The counts of ``screen_metrics`` with the share set aside; reasons that were given, by code."""
+    rows = {k: seen[k] for k in ("rows_in", "rows_clean", "rows_quarantined")}
+    return rows | {"quarantine_frac": round(rows["rows_quarantined"] / max(rows["rows_in"], 1), 5), "reason_counts": {code: seen[code] for code in REASONS if seen[code]}}
+
+
 def reconcile(screened: DataFrame) -> DataFrame:
     """One row: rows_in, rows_clean, rows_quarantined, quarantine_frac."""
-    return screened.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(F.size("reasons") == 0).alias("rows_clean"), F.count_if(F.size("reasons") > 0).alias("rows_quarantined")).withColumn(
-        "quarantine_frac", F.round(F.col("rows_quarantined") / F.greatest(F.col("rows_in"), F.lit(1)), 5)
-    )
+    return screened.agg(*screen_metrics()[:3]).withColumn("quarantine_frac", F.round(F.col("rows_quarantined") / F.greatest(F.col("rows_in"), F.lit(1)), 5))
 
 
-def refuse(summary: DataFrame, most: float = 0.05) -> None:
+def stop_quarantined(row: dict, most: float = 0.05) -> None:
     """Stop if too large a share is quarantined."""
-    row = summary.first()
     if row["rows_quarantined"] > most * max(row["rows_in"], 1):
         raise Refused(f"{row['rows_quarantined']} of {row['rows_in']} records were set aside; at most a share of {most} may be")
+
+
+def refuse(summary: DataFrame, most: float = 0.05) -> None:
+    stop_quarantined(summary.first().asDict(), most)

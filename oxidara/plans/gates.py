@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,32 +27,59 @@ def fit_degradations(components: DataFrame, which: str = "fit") -> list[str]:
     return out
 
 
-def flagged_share(flags: DataFrame, most: float = 0.10) -> float:
-    """Stop if more than ``most`` of the channels are flagged."""
-    share = flags.agg(F.avg((F.col("class") > 0).cast("int"))).first()[0] or 0.0
+# What the gates ask of a table is a list of aggregates, so that the pass that writes the table can observe them; ``stop_*`` decides by the numbers.
+
+
+def flag_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("channels"), F.count_if(F.col("class") > 0).alias("flagged")]
+
+
+def stop_flagged(seen: dict, most: float = 0.10) -> float:
+    """Stop if more than ``most`` of the channels are flagged.  seen: flag_metrics."""
+    share = seen["flagged"] / max(seen["channels"], 1)
     if share > most:
         raise Stopped(f"{share:.1%} of the channels are flagged")
     return share
 
 
-def forecasts(rows: DataFrame) -> None:
-    """Stop if quantiles are NaN or out of order, or a probability is not one."""
+def flagged_share(flags: DataFrame, most: float = 0.10) -> float:
+    return stop_flagged(flags.agg(*flag_metrics()).first().asDict(), most)
+
+
+def forecast_metrics() -> list[Column]:
+    """Channels whose probability is none, that have a NaN, whose quantiles are out of order."""
     bad_p = F.col("pfail").isNull() | F.isnan("pfail") | (F.col("pfail") < 0) | (F.col("pfail") > 1)
     nan = F.lit(False)
     for c in ("p05", "p50", "p95"):
         nan = nan | F.col(c).isNull() | F.isnan(c)
     order = (F.col("p05") > F.col("p50")) | (F.col("p50") > F.col("p95"))
-    row = rows.agg(F.count_if(bad_p).alias("p"), F.count_if(nan).alias("nan"), F.count_if(order).alias("order")).first()
-    for name, n in row.asDict().items():
-        if n:
-            raise Stopped(f"forecast gate {name}: {n} channels")
+    return [F.count_if(bad_p).alias("p"), F.count_if(nan).alias("nan"), F.count_if(order).alias("order")]
+
+
+def stop_forecasts(seen: dict) -> None:
+    """Stop if quantiles are NaN or out of order, or a probability is not one.  seen: forecast_metrics."""
+    for name in ("p", "nan", "order"):
+        if seen[name]:
+            raise Stopped(f"forecast gate {name}: {seen[name]} channels")
+
+
+def forecasts(rows: DataFrame) -> None:
+    stop_forecasts(rows.agg(*forecast_metrics()).first().asDict())
+
+
+def availability_metrics() -> list[Column]:
+    """Availabilities that are none."""
+    return [F.count_if(F.col("available").isNull() | F.isnan("available") | (F.col("available") < 0) | (F.col("available") > 1)).alias("bad")]
+
+
+def stop_availability(seen: dict) -> None:
+    """Stop if an availability is not within 0 and 1.  seen: availability_metrics."""
+    if seen["bad"]:
+        raise Stopped(f"availability gate: {seen['bad']} values")
 
 
 def availability(rows: DataFrame) -> None:
-    """Stop if an availability is not within 0 and 1."""
-    n = rows.agg(F.count_if(F.col("available").isNull() | F.isnan("available") | (F.col("available") < 0) | (F.col("available") > 1))).first()[0]
-    if n:
-        raise Stopped(f"availability gate: {n} values")
+    stop_availability(rows.agg(*availability_metrics()).first().asDict())
 
 
 def audit(prose: str, facts: dict, degradations: list[str], ids: str = r"T\d{4}") -> None:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import platform
 from dataclasses import dataclass
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.operators import faults, forecast, ingest, report, wear
 from oxidara.plans import gates
-from oxidara.plans.stages import Store, code_digest
+from oxidara.plans.stages import Store, code_digest, files_digest
 from oxidara.sources.store import write_ledger
 
 
@@ -82,38 +84,48 @@ def lives_step(state: DataFrame, horizon: int, replicates: int, seed: int, repai
     return {"lived": forecast.lives(state, horizon, replicates, seed, tuple(repair))}
 
 
-def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFrame, events: DataFrame, config: Config, order: str = "_row") -> Result:
-    """All steps in a row.  folder: shared by all executors.  order: column that gives the file's order.
+def availability_step(lived: DataFrame, roster: DataFrame) -> dict[str, DataFrame]:
+    return {"runs": forecast.availability(lived, roster.distinct().count())}
+
+
+def versions(spark: SparkSession) -> dict[str, str]:
+    """What the numbers were made with."""
+    return {"python": platform.python_version(), "spark": spark.version} | {name: metadata.version(name) for name in ("pyspark", "numpy", "pandas", "pyarrow")}
+
+
+def run(spark: SparkSession, folder: str, inspections: DataFrame, roster: DataFrame, events: DataFrame, config: Config, order: str = "_row", sources: dict[str, str] | None = None) -> Result:
+    """All steps in a row.  folder: shared by all executors.  order: column that gives the file's order.  sources: paths of the files read, by name; their bytes are part of the run's identity.
 
     Raises Refused or Stopped where a gate is not passed; what is merely worse than it should be becomes a degradation."""
     store, codes = Store(spark, folder), list(config.components)
     roster, events = roster.select("tail"), events.select("serial")
-    screened = store.run("screen", screen_step, {"inspections": inspections, "roster": roster}, ["screened"], {"components": codes, "n_months": config.n_months, "order": order})["screened"]
-    counts = ingest.reconcile(screened)
-    ingest.refuse(counts, config.most_quarantined)
+    screened = store.run("screen", screen_step, {"inspections": inspections, "roster": roster}, ["screened"], {"components": codes, "n_months": config.n_months, "order": order}, {"screened": ingest.screen_metrics()})["screened"]
+    counts = ingest.summary(store.metrics["screen"]["screened"])
+    ingest.stop_quarantined(counts, config.most_quarantined)
     sequenced = store.run("encode", encode_step, {"screened": screened}, ["sequenced"], {"components": codes})["sequenced"]
     first = store.run("fit", fit_step, {"sequenced": sequenced}, ["comps", "units"])
     degradations = gates.fit_degradations(first["comps"], "first fit")
-    flags = store.run("detect", detect_step, {"sequenced": sequenced, "roster": roster, **first}, ["flags"], {"k": len(codes), "n_months": config.n_months})["flags"]
-    gates.flagged_share(flags, config.most_flagged)
+    flags = store.run("detect", detect_step, {"sequenced": sequenced, "roster": roster, **first}, ["flags"], {"k": len(codes), "n_months": config.n_months}, {"flags": gates.flag_metrics()})["flags"]
+    gates.stop_flagged(store.metrics["detect"]["flags"], config.most_flagged)
     second = store.run("refit", refit_step, {"sequenced": sequenced, "flags": flags}, ["comps", "units"])
     degradations += gates.fit_degradations(second["comps"], "refit")
     made = store.run("state", state_step, {"sequenced": sequenced, "flags": flags, "events": events, **second}, ["state", "thresholds"], {"n_months": config.n_months})
     for row in made["thresholds"].where("threshold IS NULL").orderBy("comp").collect():  # at most a row per component
         degradations.append(f"component {row['comp']} has too few failures for a threshold")
-    forecasts = store.run("forecast", forecast_step, {"state": made["state"]}, ["forecasts"], {"horizon": config.horizon})["forecasts"]
-    gates.forecasts(forecasts)
+    forecasts = store.run("forecast", forecast_step, {"state": made["state"]}, ["forecasts"], {"horizon": config.horizon}, {"forecasts": gates.forecast_metrics()})["forecasts"]
+    gates.stop_forecasts(store.metrics["forecast"]["forecasts"])
     params = {"horizon": config.horizon, "replicates": config.replicates, "seed": config.seed, "repair": list(config.repair)}
     lived = store.run("lives", lives_step, {"state": made["state"]}, ["lived"], params)["lived"]
-    runs = forecast.availability(lived, roster.distinct().count())
-    gates.availability(runs)
+    runs = store.run("availability", availability_step, {"lived": lived, "roster": roster}, ["runs"], observe={"runs": gates.availability_metrics()})["runs"]
+    gates.stop_availability(store.metrics["availability"]["runs"])
     band = {"p05": 0.05, "p95": 0.95}
     months = forecast.replicate_quantiles(runs, ["month"], "available", band)
     failures = forecast.replicate_quantiles(lived.where("comp > 0"), ["comp", "month"], "n", band)
     ledger = report.ledger(forecasts, flags, codes, config.horizon)
     report.complete(ledger, made["state"])
     head = report.header(ledger, flags, counts, months, failures, made["thresholds"], second["comps"], codes, config.horizon, config.high_risk, degradations)
-    head["identity"] = {"spark": spark.version, "code": code_digest()[:12], "seed": config.seed, "inspections": store.read["screen.inspections"][:12], "roster": store.read["screen.roster"][:12]}
+    files = {name: files_digest(spark, path)[:12] for name, path in sorted((sources or {}).items())}
+    head["identity"] = {"versions": versions(spark), "files": files, "code": code_digest()[:12], "seed": config.seed, "inspections": store.read["screen.inspections"][:12], "roster": store.read["screen.roster"][:12]}
     text, facts = report.summary(head)
     gates.audit(text, facts | {f"code_{c}": c for c in codes}, degradations, "|".join([r"T\d{4,}", *codes]))
     tables = {"screened": screened, "flags": flags, "comps": second["comps"], "units": second["units"], "state": made["state"], "thresholds": made["thresholds"], "forecasts": forecasts, "availability": months, "failures": failures, "ledger": ledger}
