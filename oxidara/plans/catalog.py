@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oxidara.functions.rounding import half_even, half_even_sql
 from oxidara.functions.special import hermite
 from oxidara.operators import faults, forecast, ingest, ranks, report, scoring, wear
 from oxidara.plans import scorecard
@@ -295,7 +296,7 @@ def q_coverage_by_class(spark, d):
 
 def q_fleet_totals(spark, d):
     """Expected failures and channels likelier than even to fail, of the ledger's rounded probabilities."""
-    p = F.round("pfail", 4)
+    p = half_even(F.col("pfail"), 4)
     return forecast.forecast(_whole_state(spark, d), HORIZON).agg(F.count(F.lit(1)).alias("n_channels"), F.round(F.sum(p), 1).alias("expected"), F.count_if(p > 0.5).alias("n_high_risk"))
 
 
@@ -429,22 +430,22 @@ def _ledger() -> str:
     """The ledger with its sentences."""
 
     def plain(value: str, digits: int) -> str:
-        return f"regexp_replace(CAST(CAST(round({value}, {digits}) AS DECIMAL(24,{digits})) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
+        return f"regexp_replace(CAST(CAST({half_even_sql(value, digits)} AS DECIMAL(24,{digits})) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
 
     basis = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.BASIS_TEXT.items())
     status = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(report.FAULT_NAMES))
-    q = {c: f"round(max(month) FILTER (prob = {p}), 2) AS {c}" for c, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}
+    q = {c: f"max(month) FILTER (prob = {p}) AS {c}" for c, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}
     far = "'past the search'"
     return (
         _quantiles()
-        + f""", r AS (SELECT chan, {", ".join(q.values())} FROM quantiles GROUP BY chan),
-l AS (SELECT s.chan, format('T{{:04d}}', s.tail - 1) AS tail, CASE s.comp WHEN 1 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END AS component, basis AS damage_basis, round(x0, 4) AS damage_est, CASE fault {status} END AS sensor_status, i.watch, round(c.p, 4) AS pf, p05, p50, p95, round(shrink, 3) AS shrinkage, s.n_incr
+        + f""", r0 AS (SELECT chan, {", ".join(q.values())} FROM quantiles GROUP BY chan), r AS (SELECT chan, {", ".join(f"{half_even_sql(c, 2)} AS {c}" for c in q)} FROM r0),
+l AS (SELECT s.chan, format('T{{:04d}}', s.tail - 1) AS tail, CASE s.comp WHEN 1 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END AS component, basis AS damage_basis, {half_even_sql('x0', 4)} AS damage_est, CASE fault {status} END AS sensor_status, i.watch, {half_even_sql('c.p', 4)} AS pf, p05, p50, p95, {half_even_sql('shrink', 3)} AS shrinkage, s.n_incr
     FROM state s JOIN isolated i USING (chan) JOIN r USING (chan) JOIN cdf c USING (chan) WHERE c.t = {HORIZON})
 SELECT chan, tail, component, damage_basis, damage_est, sensor_status, watch, pf AS p_fail_within_horizon,
     concat_ws(' ', concat('Part ', component, ' of ', tail, ' stands at ', {plain("damage_est", 4)}, ' out of ', {plain(f"CAST({LIMIT} AS DOUBLE)", 3)}, ', ', CASE damage_basis {basis} END, '.'),
     concat('It fails within {HORIZON} months with probability ', {plain("pf", 4)}, '; half of such parts last ', coalesce({plain("p50", 2)} || ' months', {far})),
     concat('(one in twenty ', coalesce({plain("p05", 2)} || ' or less', {far}), ', one in twenty ', coalesce({plain("p95", 2)} || ' or more', {far}), ').'),
-    concat('Its own record counts for ', CAST(100 - round(100 * shrinkage) AS INT), '% of the wear rate (', n_incr, ' increments), the fleet for the rest.'),
+    concat('Its own record counts for ', CAST(100 - {half_even_sql('(100 * shrinkage)', 0)} AS INT), '% of the wear rate (', n_incr, ' increments), the fleet for the rest.'),
     CASE WHEN sensor_status <> 'none' THEN concat('Sensor fault: ', sensor_status, '.') END, CASE WHEN watch THEN 'Watched: it may wear faster than before, which is not established.' END) AS explanation FROM l"""
     )
 
@@ -483,7 +484,7 @@ def oracle_sql() -> dict[str, str]:
         "channel_decode": _FLEET + f"SELECT DISTINCT chan, CAST(floor((chan - 1) / {K}) + 1 AS BIGINT) AS tail, CAST((chan - 1) % {K} + 1 AS INT) AS comp FROM fleet",
         "onset_error_describe": _FLEET + "SELECT comp AS fault, count(*) AS n, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(CAST(max(e) AS DOUBLE), 6) AS largest FROM (SELECT chan, comp, max(month) - chan % 7 - 40 AS e FROM fleet WHERE chan % 5 = 0 GROUP BY chan, comp) GROUP BY comp",
         "coverage_by_class": _FLEET + "SELECT serial % 4 AS predicted, count(*) AS n, round(avg(CASE WHEN reading / 8 <= month / 82 THEN 1 ELSE 0 END), 6) AS share FROM fleet GROUP BY 1",
-        "fleet_totals": _MONTHLY + f"SELECT count(*) AS n_channels, round(sum(round(p, 4)), 1) AS expected, count(*) FILTER (round(p, 4) > 0.5) AS n_high_risk FROM cdf WHERE t = {HORIZON}",
+        "fleet_totals": _MONTHLY + f"SELECT count(*) AS n_channels, round(sum({half_even_sql('p', 4)}), 1) AS expected, count(*) FILTER ({half_even_sql('p', 4)} > 0.5) AS n_high_risk FROM cdf WHERE t = {HORIZON}",
         "ledger": _ledger(),
         "fit_components": _fitted() + "SELECT comp, round(beta, 5) AS beta, round(sigma, 5) AS sigma, round(mu, 5) AS mu, round(tau, 5) AS tau, n_units, n_incr, rejected_units FROM comps",
         "changepoint_scan": _SCAN + "SELECT chan, round(p_min, 6) AS p_min, onset, round(p_corrected, 6) AS p_corrected, p_corrected < 1e-3 AS persistent, p_min < 1e-2 AS watch FROM scan",
