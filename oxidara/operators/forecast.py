@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oxidara.functions.special import FORECAST_INPUTS, forecast_udf
-from oxidara.operators.ranks import interpolated
+from oxidara.operators.ranks import interpolated, whole_median
+from oxidara.sources.store import settle
 
 STALE_MONTHS, LEAST_FAILURES = 3, 20
 
@@ -29,11 +30,12 @@ def usage_by_tail(rows: DataFrame) -> DataFrame:
 
 def dense_usage(rows: DataFrame) -> DataFrame:
     """usage_by_tail for every tail from 1 to the largest; gaps get the fleet's mean and median."""
-    own = usage_by_tail(rows)
-    fleet = own.agg(F.avg("usage").alias("mean_usage"), F.median("log_sd").alias("median_sd"))
-    top = rows.agg(F.max("tail")).first()[0] or 0
-    spine = rows.sparkSession.range(1, int(top) + 1).select(F.col("id").cast("int").alias("tail")).crossJoin(F.broadcast(fleet))  # one row
-    return spine.join(own, "tail", "left").select("tail", F.coalesce("usage", "mean_usage").alias("usage"), F.coalesce("log_sd", "median_sd", F.lit(0.0)).alias("log_sd"))
+    own = settle(usage_by_tail(rows))
+    fleet = own.agg(F.avg("usage").alias("usage"), F.max("tail").alias("top")).first()
+    median = whole_median(own, "log_sd") or 0.0
+    spine = rows.sparkSession.range(1, int(fleet["top"] or 0) + 1).select(F.col("id").cast("int").alias("tail"))
+    usage, log_sd = F.coalesce("usage", F.lit(fleet["usage"]).cast("double")), F.coalesce("log_sd", F.lit(median))
+    return spine.join(own, "tail", "left").select("tail", usage.alias("usage"), log_sd.alias("log_sd"))
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -111,13 +111,18 @@ def tau_grid() -> list[float]:
 def eb_prior(units: DataFrame) -> DataFrame:
     """Per component: mu, tau2 by the largest marginal likelihood on a grid; the first of equal ones.
 
-    units: comp, la, v.  Each unit meets the 120 points inside its own row; partial sums leave the task."""
-    rows = units.select("comp", "la", "v", F.explode(F.array(*[F.lit(t) for t in tau_grid()])).alias("tau2"))
+    units: comp, la, v.  Each unit meets the 120 points inside its own row; partial sums leave the task.  Sums are taken around each component's mean of la: then
+    the weighted sum of squares around the weighted mean is no difference of large numbers, wherever la lies and however many units there are."""
+    middle = units.groupBy("comp").agg(F.avg("la").alias("_middle"))  # a row per component
+    near = units.join(F.broadcast(middle), "comp").withColumn("_off", F.col("la") - F.col("_middle"))
+    rows = near.select("comp", "_middle", "_off", "v", F.explode(F.array(*[F.lit(t) for t in tau_grid()])).alias("tau2"))
     w = 1 / (F.col("tau2") + F.col("v"))
-    sums = rows.groupBy("comp", "tau2").agg(F.sum(w).alias("w"), F.sum(w * F.col("la")).alias("wl"), F.sum(w * F.col("la") * F.col("la")).alias("wll"), F.sum(F.log(F.col("tau2") + F.col("v"))).alias("logs"))
-    mu = F.col("wl") / F.col("w")
-    like = -0.5 * F.col("logs") - 0.5 * (F.col("wll") - 2 * mu * F.col("wl") + mu * mu * F.col("w"))
-    best = sums.select("comp", "tau2", mu.alias("mu"), like.alias("ll")).groupBy("comp").agg(F.max(F.struct("ll", (-F.col("tau2")).alias("less"), "mu", "tau2")).alias("best"))
+    sums = rows.groupBy("comp", "tau2").agg(
+        F.first("_middle").alias("middle"), F.sum(w).alias("w"), F.sum(w * F.col("_off")).alias("wl"), F.sum(w * F.col("_off") * F.col("_off")).alias("wll"), F.sum(F.log(F.col("tau2") + F.col("v"))).alias("logs")
+    )
+    off = F.col("wl") / F.col("w")
+    like = -0.5 * F.col("logs") - 0.5 * (F.col("wll") - off * F.col("wl"))
+    best = sums.select("comp", "tau2", (F.col("middle") + off).alias("mu"), like.alias("ll")).groupBy("comp").agg(F.max(F.struct("ll", (-F.col("tau2")).alias("less"), "mu", "tau2")).alias("best"))
     return best.select("comp", "best.mu", "best.tau2")
 
 
