@@ -82,9 +82,10 @@ def details(truth: DataFrame, result: Result, limits: DataFrame | None = None) -
 
 
 def drift(before: DataFrame, after: DataFrame, rtol: float = 1e-6) -> DataFrame:
-    """Rows of two scorecards (name, value) that do not agree: a name that only one has, or values further apart than rtol."""
+    """Rows of two scorecards (name, value) that do not agree: a name that only one has, whole numbers that differ, or other values further apart than rtol."""
     both = before.select("name", F.col("value").alias("before"), F.lit(True).alias("_b")).join(after.select("name", F.col("value").alias("after"), F.lit(True).alias("_a")), "name", "full")
-    same = F.col("before").eqNullSafe(F.col("after")) | (F.abs(F.col("before") - F.col("after")) <= 1e-9 + rtol * F.greatest(F.abs("before"), F.abs("after")))
+    whole = (F.col("before") == F.floor("before")) & (F.col("after") == F.floor("after"))
+    same = F.col("before").eqNullSafe(F.col("after")) | ~whole & (F.abs(F.col("before") - F.col("after")) <= 1e-9 + rtol * F.greatest(F.abs("before"), F.abs("after")))
     return both.where(F.col("_a").isNull() | F.col("_b").isNull() | ~F.coalesce(same, F.lit(False))).drop("_a", "_b")
 
 
@@ -132,3 +133,19 @@ def score(truth: DataFrame, corrupted: DataFrame, result: Result, betas: dict[st
         if row["planted"]:
             check(f"recall of {row['kind']}", row["found"] / row["planted"], RECALL_SCALED if row["kind"] == "units_x10" else RECALL)
     return spark.createDataFrame(found, "name string, value double, least double, most double, passed boolean")
+
+
+def text(card: DataFrame, tables: dict[str, DataFrame], head: dict) -> str:
+    """The scorecard as a report: run identity (section 0, which comparisons leave out), the checks, and the tables behind them; a few rows each."""
+    lines = ["== 0. Identity of the run ==", *[f"  {k}: {v}" for k, v in sorted(head.get("identity", {}).items())], "", "== 1. Checks =="]
+    rows = card.orderBy("name").collect()
+    lines += [f"  {'ok  ' if r['passed'] else 'FAIL'} {r['name']}: {_said(r['value'])} (from {_said(r['least'])} to {_said(r['most'])})" for r in rows]
+    for i, (name, frame) in enumerate(sorted(tables.items()), 2):
+        lines += ["", f"== {i}. {name.replace('_', ' ')} ==", "  " + " ".join(frame.columns)]
+        lines += ["  " + " ".join(_said(x) for x in r) for r in frame.orderBy(*frame.columns).collect()]
+    passed = sum(r["passed"] for r in rows)
+    return "\n".join([*lines, "", f"== {len(tables) + 2}. Result ==", f"  {passed} of {len(rows)} checks passed", ""])
+
+
+def _said(value) -> str:
+    return f"{value:.6f}" if isinstance(value, float) and math.isfinite(value) and value != int(value) else f"{int(value)}" if isinstance(value, float) and math.isfinite(value) else str(value)
