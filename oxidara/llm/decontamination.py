@@ -32,8 +32,8 @@ from oxidara.llm.rows import own_columns, stored
 from oxidara.llm.words import Run, ascii_lower, letters_and_digits, mix, runs, words
 
 WINDOW, SHINGLE = 10, 3
-#: Bits of the table of shingles: 16 for each shingle, in these bounds (32 MB at most).
-LEAST_BITS, MOST_BITS = 16, 28
+#: Bits of the table of shingles: so many for each shingle, as far as that is within these bounds (32 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 16, 28
 #: Places of a prefix shingle that go to one salt; shingles of one place of the table share its salts.
 HOT, SALT_BITS = 20_000, 16
 #: Rows of one Arrow batch of places.
@@ -97,7 +97,7 @@ class Known:
     def __init__(self, shingles: DataFrame):
         """shingles: distinct shingle and width."""
         n = shingles.count()
-        self.bits = min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
+        self.bits = min(max(LEAST_BITS, (BITS_EACH * n).bit_length()), MOST_BITS)
         self.table = _bits(shingles, self.bits)
         self.widths = sorted(row["width"] for row in shingles.select("width").distinct().collect())  # at most SHINGLE
 
