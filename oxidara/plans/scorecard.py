@@ -114,6 +114,10 @@ def score(truth: DataFrame, corrupted: DataFrame, result: Result, betas: dict[st
     covered = scoring.coverage(failed, "ttf", "p05", "p95", []).first()["share"]
     benchmark = scoring.conditional_coverage(failed, "pfail").first()["benchmark"]
     check("coverage of failures less its benchmark", (covered or 0) - (benchmark or 0), -COVERAGE_GAP)
+    # the truth counts whole months, and a quantile of the month that a moment lies in is the month of the moment's quantile
+    whole = failed.withColumns({c: F.when(F.col(c) < math.inf, F.ceil(c)).otherwise(F.lit(math.inf)) for c in ("p05", "p95")})
+    covered = scoring.coverage(whole, "ttf", "p05", "p95", []).first()["share"]
+    check("coverage of failures in whole months less its benchmark", (covered or 0) - (benchmark or 0), -COVERAGE_GAP)
     check("survivors whose p95 lies beyond", joined.where("ttf < 0").agg(F.avg((F.col("p95") > horizon).cast("int"))).first()[0], SURVIVORS)
     months = monthly(joined, horizon)
     row = months.agg(F.avg(F.col("inside").cast("int")).alias("inside"), (F.abs(F.sum("expected") - F.sum("actual")) / F.sqrt(F.sum("variance"))).alias("se")).first()

@@ -122,12 +122,11 @@ class Store:
         return next((digest for kept, digest in self.known if kept is frame), None) or fingerprint(frame)
 
     def _manifest(self, at: str) -> dict | None:
-        try:
-            rows = self.spark.read.text(f"{at}/manifest").collect()  # one line
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-                return None
-            raise
+        """The manifest of a step, if it is there: asked of the file system, as a failed read would be reported to every query listener."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/manifest")
+        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return None
+        rows = self.spark.read.text(f"{at}/manifest").collect()  # one line
         return json.loads(rows[0]["value"]) if rows else None
 
     def run(self, name: str, step: Callable[..., dict[str, DataFrame]], inputs: dict[str, DataFrame], outputs: list[str], params: dict | None = None, observe: dict[str, list[Column]] | None = None) -> dict[str, DataFrame]:

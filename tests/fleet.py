@@ -1,12 +1,12 @@
 """A small fleet with known truth for the tests of the whole chain.
 
-Wear of a channel is one gamma process over all months; every full threshold of it used up is a failed part, and the part in place has the rest."""
+Wear of a channel is a gamma process; a part that reaches its threshold fails in that month, and the one that takes its place begins at zero, as the model has it."""
 
 import numpy as np
 import pandas as pd
 
 #: code: (wear per hour, scale, threshold, sensor noise)
-PARTS = {"P1": (0.08, 0.05, 6.0, 0.10), "P2": (0.03, 0.12, 7.0, 0.12), "P3": (0.012, 0.35, 8.0, 0.15)}
+PARTS = {"P1": (0.04, 0.10, 6.0, 0.10), "P2": (0.012, 0.36, 7.5, 0.14), "P3": (0.005, 0.90, 8.5, 0.16)}
 MONTHS, HORIZON = 60, 18
 KINDS = ["dup", "neg_reading", "bad_tail", "units_x10", "usage_neg", "bad_component", "month_oob"]
 
@@ -18,9 +18,15 @@ def make(spark, tails=80, seed=3, dirty=0.01):
     nominal, scale, limit, noise = (np.tile(c, tails)[:, None] for c in zip(*PARTS.values(), strict=True))
     hours = np.repeat(r.lognormal(np.log(45), 0.3, (tails, 1)) * r.lognormal(0, 0.15, (tails, total)), k, axis=0)
     alpha = nominal * r.lognormal(0, 0.45, (tails * k, 1))
-    wear = r.uniform(0, 0.5, (tails * k, 1)) * limit + np.cumsum(scale * r.gamma(alpha * hours), axis=1)
-    part = np.floor(wear / limit).astype(np.int64)
-    damage, n = wear - part * limit, tails * k
+    n = tails * k
+    grown = scale * r.gamma(alpha * hours)
+    damage, part = np.empty((n, total)), np.zeros((n, total), dtype=np.int64)
+    now, worn = r.uniform(0, 0.5, n) * limit[:, 0], np.zeros(n, dtype=np.int64)
+    for m in range(total):
+        now = now + grown[:, m]
+        worn += now >= limit[:, 0]
+        now = np.where(now >= limit[:, 0], 0.0, now)
+        damage[:, m], part[:, m] = now, worn
     fault = np.where(r.random(n) < 0.06, r.integers(1, 5, n), 0)
     onset = r.integers(10, MONTHS - 12, n)
     seen = damage + noise * r.standard_normal(damage.shape)
