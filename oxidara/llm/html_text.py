@@ -3,10 +3,12 @@
 A page is read into a tree of elements; blocks (paragraphs, headings, list items and loose text) are its leaves.
 Every paragraph passes points for its length and its commas to its parent, half of them to the grandparent and a third to the one above,
 an element's points are discounted by the share of its text inside links, and the element with
-the most points is the main container.  Siblings of it with enough points of their own are kept as well, and so is what stands beside it as plain
-text, however short: loose text, headings and paragraphs with few links, and any element with few links between two kept ones.  Elements that never hold the article (menus, headers, footers, sidebars,
+the most points is the main container.  What stands beside it is kept if it has few links, however short or long it is.  While nothing but headings,
+paragraphs and loose text stands beside it, the same holds for the element around, and so on up to the body.  Elements that never hold the article (menus, headers, footers, sidebars,
 forms, scripts, styles, and those whose class or id says notice, advert or comment) are left out beforehand; a class never leaves out an
-element with an article or main element inside, nor one with the bulk of the page's text unless it says reader comments.
+element with an article or main element inside, nor one with the bulk of the page's text unless it says reader comments.  A form around the bulk of the text is
+no form of the page, if paragraphs make up most of it; a header with a heading inside a post, entry or story is part of that.  Inside a block, hidden elements and those whose class says
+advert or share are left out up to their end tags.
 
 Reading is forgiving: end tags that nothing opened are skipped, block tags end an open paragraph, character
 references are decoded, scripts and styles end only at their own end tag, and a page may stop anywhere.
@@ -29,7 +31,7 @@ from oxidara.llm.rows import own_columns
 # Elements of HTML by what they mean for the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
-NEVER = frozenset("nav footer aside form button select option head script style noscript iframe template svg math canvas object embed dialog menu textarea title".split())
+NEVER = frozenset("nav footer aside button select option head script style noscript iframe template svg math canvas object embed dialog menu textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Elements that an opening tag of the same group ends.
@@ -62,33 +64,57 @@ BULK = 0.5
 
 #: A paragraph of fewer characters gives no points.
 LEAST_POINTS_CHARS = 25
-#: Share of the best element's points that a sibling needs, and the share of links that plain text may have.
-SIBLING_SHARE, FEW_LINKS = 0.2, 0.25
+#: What has a smaller share of its text in links is kept beside the container.
+FEW_LINKS = 0.25
+#: Elements of text in a row; a form is around an article if they hold most of its text.
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where the main container ends at the latest.
+OUTERMOST = frozenset("article main body html #".split())
+#: Class words of elements inside a block that are no part of its text, and what may say so at all.
+UNWANTED_INLINE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|newsletter|popup|promo\w*|share|sharing|skip|social|sponsor\w*)(?:[\s_-]|$)", re.I)
+INLINE_HINT = re.compile(r"class|hidden|display", re.I)
+#: Around a header with a heading: the article that it belongs to.
+POST = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|text)(?:[\s_-]|$)", re.I)
 #: Elements that an end tag which is left out does not reach across.
 LISTS = ("ul", "ol", "dl", "table", "div", "article", "section")
 
 
 class Element:
-    __slots__ = ("by_class", "children", "link_chars", "name", "parent", "points", "skip", "text_chars", "weight")
+    __slots__ = ("by_class", "children", "link_chars", "name", "parent", "points", "post", "skip", "text_chars", "weight")
 
     def __init__(self, name: str, parent: Element | None, skip: bool, weight: float, by_class: str = ""):
-        #: skip: left out for good.  by_class: "comment" or "other" if its class says that it should be.
+        #: skip: left out for good.  by_class: "comment" or "other" if its class says that it should be, "form" and "header" of elements that mostly should.  post: inside a post by class.
         self.name, self.parent, self.skip, self.weight, self.by_class = name, parent, skip, weight, by_class
+        self.post = parent is not None and parent.post
         self.children: list[Element | tuple[str, int]] = []
         self.points = 0.0
         self.text_chars = self.link_chars = 0
 
 
-def _about(name: str, attributes: str) -> tuple[bool, float, str]:
-    """If an element is left out with all inside, its head start of points, and what its class says against it."""
-    weight, skip, by_class = 0.0, name in NEVER, ""
+def _hidden(key: str, value: str) -> bool:
+    return key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower())
+
+
+def _muted(attributes: str) -> bool:
+    """If an element inside a block is no part of its text."""
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if _hidden(key, value) or key == "class" and UNWANTED_INLINE.search(value):
+            return True
+    return False
+
+
+def _about(name: str, attributes: str) -> tuple[bool, float, str, bool]:
+    """If an element is left out with all inside, its head start of points, what its class says against it, and if it is a post."""
+    weight, skip, by_class, post = 0.0, name in NEVER, "form" if name == "form" else "", False
     if name == "article" or name == "main":
         weight = 25.0
     if attributes and not attributes.isspace():
         said = ""
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
+            if _hidden(key, value):
                 skip = True
             elif key in ("class", "id", "role"):
                 said += " " + value
@@ -101,7 +127,8 @@ def _about(name: str, attributes: str) -> tuple[bool, float, str]:
                 by_class = "other"
             elif WANTED.search(said):
                 weight += 15.0
-    return skip, weight, by_class
+                post = POST.search(said) is not None
+    return skip, weight, by_class, post
 
 
 def parse(page: str) -> Element:
@@ -113,6 +140,8 @@ def parse(page: str) -> Element:
     block: list[str] = []  # text since the last border of a block
     links = 0  # characters of it inside links
     depth = 0  # open links
+    muted = ""  # the inline element that is left out, if one is open
+    nested = muted_in = 0  # open elements of its name inside it, and open elements around it
     last_template = None  # where the last end tag of a template is
 
     def close() -> None:
@@ -126,10 +155,12 @@ def parse(page: str) -> Element:
 
     def leave(to: int) -> None:
         """End all open elements from place to of the path."""
-        nonlocal here
+        nonlocal here, muted
         while len(path) > to:
             places[path.pop().name].pop()
         here = path[-1]
+        if muted and len(path) < muted_in:
+            muted = ""
 
     def last(names: tuple[str, ...]) -> int:
         """Where in the path the innermost open element of these names is, or 0."""
@@ -137,7 +168,7 @@ def parse(page: str) -> Element:
 
     def add(raw: str) -> None:
         nonlocal links
-        if not here.skip:
+        if not here.skip and not muted:
             text = html.unescape(raw) if "&" in raw else raw
             block.append(text)
             if depth:
@@ -165,6 +196,15 @@ def parse(page: str) -> Element:
                 depth = max(0, depth + (-1 if m[1] else 1))
             elif name == "br":
                 add("\n")
+            if name in VOID:
+                continue
+            if not muted:
+                if not m[1] and m[3] and INLINE_HINT.search(m[3]) and not m[3].rstrip().endswith("/") and _muted(m[3]):
+                    muted, nested, muted_in = name, 0, len(path)
+            elif name == muted:
+                nested += -1 if m[1] else 1
+                if nested < 0:
+                    muted = ""
             continue
         close()
         if m[1]:  # an end tag: up to the element that it ends, if one is open
@@ -199,10 +239,13 @@ def parse(page: str) -> Element:
             leave(to)
         if name == "body" and here.name == "head":
             leave(len(path) - 1)
-        skip, weight, by_class = _about(name, attributes)
+        skip, weight, by_class, post = _about(name, attributes)
         if name == "header" and not last(("article", "main")):
-            skip = True
+            if not here.post or by_class:
+                skip = True
+            by_class = "header"
         child = Element(name, here, skip or here.skip, weight, by_class)
+        child.post = child.post or post
         here.children.append(child)
         places.setdefault(name, []).append(len(path))
         path.append(child)
@@ -229,10 +272,14 @@ def _leave_out(root: Element) -> None:
     for element in order:  # parents before children
         among[element] = element.by_class == "comment" or among.get(element.parent, False)
     plain: dict[Element, int] = {}
+    prose: dict[Element, int] = {}  # in elements of text in a row
+    heads: dict[Element, bool] = {}  # if it holds a heading with text
     inside: dict[Element, int] = {}  # articles
     for element in reversed(order):  # children before parents
         inner = [c for c in element.children if isinstance(c, Element) and c in plain]
         plain[element] = sum(len(c[0]) - c[1] for c in element.children if isinstance(c, tuple)) + sum(plain[c] for c in inner)
+        prose[element] = plain[element] if element.name in PROSE else sum(prose[c] for c in inner)
+        heads[element] = element.name in HEADINGS and plain[element] > 0 or any(heads[c] for c in inner)
         inside[element] = (element.name in ("article", "main") and not element.by_class) + sum(inside[c] for c in inner)
     found = [e for e in order if e.name in ("article", "main") and not e.by_class]
     chief = max([x for x in found if not among[x]] or found, key=plain.__getitem__, default=None)
@@ -248,12 +295,16 @@ def _leave_out(root: Element) -> None:
             element.skip = True
         elif element.by_class:
             bulk = plain[element] > BULK * plain[root]
+            if element.by_class == "form":
+                bulk = bulk and prose[element] > BULK * plain[element]
+            if element.by_class == "header":
+                bulk = heads[element]
             if element.by_class == "comment":  # in the one longer text that there is, comments may be named on what holds the article
                 bulk = bulk and inside[element] == 1 and within[element]
             element.skip = not (bulk or element in holds)
     if not any(isinstance(c, tuple) for element in order if not element.skip for c in element.children):
-        for element in order:  # better all than nothing
-            element.skip = False
+        for element in order:  # better all than nothing, but a form is no article
+            element.skip = element.by_class in ("form", "header") or element.parent is not None and element.parent.skip
 
 
 def _score(root: Element) -> Element:
@@ -315,32 +366,42 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     best = _score(root)
+    # for each element on the way up from the container: which children are kept
+    levels: list[tuple[Element, list[Element | tuple[str, int]]]] = []
+    here = best
+    while here.parent is not None and (here.name not in OUTERMOST or not levels and here.name in ("article", "main")):
+        around, kept, plain = here.parent, [], True
+        for child in around.children:
+            if child is here:
+                kept.append(child)
+            elif isinstance(child, tuple):
+                if child[1] < FEW_LINKS * len(child[0]):
+                    kept.append(child)
+            elif not child.skip and child.link_chars < FEW_LINKS * child.text_chars and (here.name not in OUTERMOST or child.name == here.name):
+                kept.append(child)
+                plain = plain and (child.name in PARAGRAPHS or child.name in ("header", "hgroup"))
+        if here.name in OUTERMOST:  # beside an article, only other ones
+            kept = [child for child in kept if isinstance(child, Element)]
+            plain = False
+        levels.append((here, kept))
+        here = around
+        if not plain:
+            break
+    before: list[list[str]] = []  # what is kept before and after the way up, from the inside out
+    after: list[list[str]] = []
+    for on_the_way, kept in levels:
+        place = next(i for i, child in enumerate(kept) if child is on_the_way)
+        for side, some in ((before, kept[:place]), (after, kept[place + 1 :])):
+            texts: list[str] = []
+            for child in some:
+                if isinstance(child, tuple):
+                    texts.append(child[0])
+                else:
+                    _blocks(child, texts)
+            side.append(texts)
     out: list[str] = []
-    around = best.parent
-    if around is None or best.name in ("article", "main", "body", "html"):
-        _blocks(best, out)
-        if best.name in ("article", "main") and around is not None:
-            out = []
-            for child in around.children:
-                if child is best or (isinstance(child, Element) and child.name == best.name and not child.skip and child.points >= SIBLING_SHARE * best.points):
-                    _blocks(child, out)
-        return "\n".join(out)
-    siblings: list[tuple[Element | tuple[str, int], bool, bool]] = []  # each with: it is kept, it may be kept between others
-    for child in around.children:
-        if isinstance(child, tuple):
-            few = child[1] < FEW_LINKS * len(child[0])
-            siblings.append((child, few, few))
-        elif not child.skip and child.text_chars:
-            few = child.link_chars < FEW_LINKS * child.text_chars
-            siblings.append((child, child is best or few and child.name in PARAGRAPHS or child.points >= SIBLING_SHARE * best.points > 0, few))
-    kept = [i for i, (_, keep, _) in enumerate(siblings) if keep]
-    for i, (child, keep, few) in enumerate(siblings):
-        if keep or few and kept[0] < i < kept[-1]:
-            if isinstance(child, tuple):
-                out.append(child[0])
-            else:
-                _blocks(child, out)
-    return "\n".join(out)
+    _blocks(best, out)
+    return "\n".join([*(t for texts in reversed(before) for t in texts), *out, *(t for texts in after for t in texts)])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

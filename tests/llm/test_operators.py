@@ -630,3 +630,67 @@ def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>Ünï</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(tuple(r) for r in html_text.extract_text(pages).collect()) == [(1, "u", "", 0), (1, "u", "Ünï", 3)]
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+LONG = "word, " * 40 + "end."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<section><p>L</section><section><p>Short last section.</section>", "L\nShort last section."),
+        ("<body><div>He left.</div><div><p>L<p>L</div><div>The end.</div>", "He left.\nL\nL\nThe end."),
+        ("<h1>Title</h1><div><div><p>L</div></div>", "Title\nL"),
+        ("<body><h1>Title</h1><p>By me.</p><div><div><h2>Part</h2><div><p>L</div></div></div>", "Title\nBy me.\nPart\nL"),
+        ("<body><div class=post><header><h1>Title</h1></header><p>L</div>", "Title\nL"),
+        ("<body><header><h1>Site</h1></header><div><p>L</div><footer>End</footer>", "L"),
+        ("<body><div class=post><header class=banner><h1>Buy</h1></header><p>L</div>", "L"),
+        ("<body><form><div><p>L</p><input><button>Go</button></div></form>", "L"),
+        ("<body><div><p>L</div><form><label>Name</label><p>x</p></form>", "L"),
+        ("<form><div><label>Name</label> <label>Mail</label></div></form>", ""),
+        ('<p>One <span class="ad">BUY <span>NOW</span> it</span>two <span hidden>x</span>three<i style="display: none">y</i>.</p>', "One two three."),
+        ("<div><span class=ad>x<div>y</div></div><div><p>L</div>", "L"),
+        ("<div><p>L <a class='share-link' href=x>Share</a></p><p>M <b class=big>N</b></p></div>", "L\nM N"),
+        ("<body><div><p>L</div><div><a href=1>One</a> <a href=2>Two</a></div>", "L"),
+    ],
+)
+def test_html_without_an_article(page, text):
+    assert html_text.main_text(page.replace("L", LONG)) == text.replace("L", LONG)
+
+
+def test_html_of_made_up_pages():
+    """Pages of nested elements around one container, with headings and paragraphs beside it on the way and boilerplate anywhere: the text that was put in."""
+    r = np.random.default_rng(31)
+    pick = lambda *x: str(r.choice(x))
+    sentence = lambda n: " ".join(f"w{int(k)}" + ("," if r.random() < 0.15 else "") for k in r.integers(0, 900, n)) + "."
+
+    def noise(inside=False):
+        found = some()
+        return "" if inside and found.startswith("<ul>") else found  # inside the container a list of links may be part of the text
+
+    def some():
+        return pick(
+            "<nav><a href=x>Home</a> <a href=y>About us</a></nav>", "<div class='sidebar'><p>" + sentence(30) + "</p></div>", "<ul><li><a href=1>One more story</a><li><a href=2>Another</a></ul>", "<aside>" + sentence(12) + "</aside>",
+            "<div id=comments><p>" + sentence(25) + "</p></div>", "<form><label>Your mail</label><input></form>", "<script>var a = '<p>no</p>';</script>", "<div class='ad-box'><div>" + sentence(9) + "</div></div>", "<!-- " + sentence(5) + " -->", "<div hidden><p>" + sentence(20) + "</p></div>", "",
+        )
+
+    for _ in range(150):
+        blocks, inner = [], []
+        for _ in range(int(r.integers(2, 9))):
+            text = sentence(int(r.integers(3, 90)))
+            blocks.append(text)
+            spot = text.find(" ")
+            mark = pick("", "", " <span class=advert>Buy now</span>", " <b hidden>not shown</b>")
+            inner.append(f"<p>{text[:spot]}{mark}{text[spot:]}</p>" if spot > 0 else f"<p>{text}</p>")
+            inner.append(noise(inside=True))
+        blocks.append(text := sentence(120))
+        inner.append(f"<p>{text}</p>")
+        page = f"<div>{''.join(inner)}</div>"
+        for _ in range(int(r.integers(0, 4))):  # wrappers, with short text before and after
+            head, tail = sentence(int(r.integers(1, 6))), sentence(int(r.integers(1, 6)))
+            kind = pick("h1", "h2", "p")
+            page = f"<{pick('div', 'section')}>{noise()}<{kind}>{head}</{kind}>{page}<p>{tail}</p>{noise()}</{pick('div', 'section')}>" if r.random() < 0.7 else f"<div>{noise()}{page}{noise()}</div>"
+            if "<" + kind + ">" + head in page and page.count(f"<p>{tail}</p>"):
+                blocks = [head, *blocks, tail]
+        page = f"<html><head><title>T</title></head><body><header><h1>Site</h1></header>{noise()}{page}{noise()}<footer>{sentence(8)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(blocks), page
