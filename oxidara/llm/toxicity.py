@@ -11,9 +11,10 @@ score is that of its worst window, put on the scale of probabilities by a logist
 Training is plain numpy: back-propagation through time with Adam, on windows chosen per document by multiple-instance rules (the
 most suspicious window of a toxic document; the most suspicious ones and random ones of a clean one).
 
-The sample is bounded: at most about ``sample`` labelled documents, half of them toxic where there are enough.
+The sample is bounded: at most about ``sample`` labelled documents, half of them toxic where there are enough, and ``most_bytes`` bytes of text.  Of an id
+that repeats, one text is in it.
 
-Results for unusual rows: texts without a word (null, empty) get the least score that the scale has; if the
+Results for unusual rows: texts without a word (null, empty) get the least score that there is, below 1e-12; if the
 labels hold one class only or nothing, every score is that class's smoothed share; rows that repeat an id stay rows of their own; an
 empty table gives no rows; other columns are ignored.
 """
@@ -25,14 +26,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oxidara.llm.rows import own_columns
 from oxidara.llm.words import Run, borders, letters_and_digits, mix, prefix_sums, runs, spans
 
 WINDOW, STRIDE = 32, 16
-SAMPLE = 3000
+SAMPLE, MOST_BYTES = 3000, 64 << 20
 HASH_BITS = 18
 #: Bytes of a word's beginnings and of its end that are inputs beside the whole word.
 HEADS, TAIL = (3, 4, 5, 6), 4
@@ -215,13 +216,21 @@ class Sample:
     triples: np.ndarray
     begin: np.ndarray
 
+    def _letters(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the distinct kinds each word is, and these kinds' triples and where each begins among them."""
+        used, which = np.unique(kinds, return_inverse=True)
+        sizes = np.diff(np.append(self.begin, len(self.triples)))[used]
+        begin = np.cumsum(sizes) - sizes
+        return which, self.triples[np.arange(sizes.sum()) + np.repeat(self.begin[used] - begin, sizes)], begin
+
     def batch(self, filters: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of the words of some windows (with padding at the end), and the windows over them."""
         there = words < len(self.x)
         flat = words[there]
         x = np.zeros((len(flat) + 1, INPUTS), dtype=np.float32)
         x[:-1, :FIXED] = self.x[flat]
-        x[:-1, FIXED:] = read_characters(filters, self.triples, self.begin)[self.kind[flat]]
+        which, triples, begin = self._letters(self.kind[flat])
+        x[:-1, FIXED:] = read_characters(filters, triples, begin)[which]
         local = np.full(words.shape, len(flat))
         local[there] = np.arange(len(flat))
         return x, local
@@ -229,12 +238,13 @@ class Sample:
     def filter_gradients(self, d_x: np.ndarray, words: np.ndarray) -> np.ndarray:
         """triple x CHARS, from the gradients of the inputs of those windows."""
         there = words < len(self.x)
-        by_kind = np.zeros((len(self.begin), CHARS), dtype=np.float32)
-        np.add.at(by_kind, self.kind[words[there]], d_x[there][:, FIXED:])
-        sizes = np.diff(np.append(self.begin, len(self.triples)))
+        which, triples, begin = self._letters(self.kind[words[there]])
+        by_kind = np.zeros((len(begin), CHARS), dtype=np.float32)
+        np.add.at(by_kind, which, d_x[there][:, FIXED:])
+        sizes = np.diff(np.append(begin, len(triples)))
         by_kind /= sizes[:, None]
         of = np.repeat(np.arange(len(sizes)), sizes)
-        return np.stack([np.bincount(self.triples, weights=by_kind[of, c], minlength=1 << TRIPLE_BITS) for c in range(CHARS)], axis=1).astype(np.float32)
+        return np.stack([np.bincount(triples, weights=by_kind[of, c], minlength=1 << TRIPLE_BITS) for c in range(CHARS)], axis=1).astype(np.float32)
 
 
 def train(sample: Sample, words: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
@@ -290,12 +300,14 @@ class Model:
                 x = np.concatenate((fixed_inputs(self.table, places), read_characters(self.network.filters, *word_triples(run))), axis=1)
                 worst = document_logits(self.network, x, np.bincount(owner, minlength=run.rows))
                 logit = worst
-        z = np.clip(np.where(np.isfinite(logit), self.slope * np.clip(logit, -1e6, 1e6) + self.offset, -4.6 if self.network is not None else self.offset), -30, 30)
+        z = np.clip(np.where(np.isfinite(logit), self.slope * np.clip(logit, -1e6, 1e6) + self.offset, -LARGEST if self.network is not None else self.offset), -LARGEST, LARGEST)
         return 1 / (1 + np.exp(-z))
 
 
 #: Windows that are read side by side.
 STEP = 2048
+#: Scores are within the logistic function of plus and minus this.
+LARGEST = 30
 
 
 def document_logits(net: Network, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -383,7 +395,7 @@ def _scale(logit: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, f
     return float(a / width), float(b - a * centre / width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a sample of the labelled documents.  where: a condition on the columns doc_id and label of the labels."""
     known = own_columns(labels, {"doc_id": id_col, "label": label_col}).where("doc_id IS NOT NULL AND label IN (0, 1)")
     if where is not None:
@@ -395,9 +407,12 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample:
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     least = [int((1 << 30) * min(1.0, wanted[y] / max(n.get(y, 0), 1))) for y in (0, 1)]
     chosen = known.where(spot < F.when(F.col("label") == 1, least[1]).otherwise(least[0])).groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = chosen.withColumn("spot", spot).orderBy("spot", "doc_id").limit(2 * sample)
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    # about ``sample`` labels, whatever the size of the input: bounded, so they may be broadcast
-    found = rows.join(F.broadcast(chosen.limit(2 * sample)), "doc_id").select("doc_id", "text", "label").collect()
+    # about ``sample`` labels, whatever the size of the input: bounded, so they may be broadcast.  One text for each id leaves a task
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "spot").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most 2 * sample rows
+    found = texts.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") <= most_bytes).select("doc_id", "text", "label").collect()
     found.sort(key=lambda row: (row["doc_id"], row["text"] or ""))  # training does not depend on Spark's order
     return fit_texts([row["text"] or "" for row in found], np.array([row["label"] for row in found]))
 

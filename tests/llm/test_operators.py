@@ -694,3 +694,60 @@ def test_html_of_made_up_pages():
                 blocks = [head, *blocks, tail]
         page = f"<html><head><title>T</title></head><body><header><h1>Site</h1></header>{noise()}{page}{noise()}<footer>{sentence(8)}</footer></body></html>"
         assert html_text.main_text(page) == "\n".join(blocks), page
+
+
+def test_windows_and_network_against_plain_steps():
+    """Every window of every text, and each gate of both directions, by loops in double precision."""
+    r = np.random.default_rng(14)
+    net = toxicity.Network.new(3)
+    counts = np.array([0, 1, 5, 31, 32, 33, 47, 48, 49, 0, 90, 131])
+    x = r.normal(size=(counts.sum(), toxicity.INPUTS)).astype(np.float32)
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+
+    def read(rows, d):
+        h, states = np.zeros(toxicity.HIDDEN), []
+        for row in rows if d == "f" else rows[::-1]:
+            gx, gh = row @ w["W" + d], h @ w["U" + d]
+            z, reset = sigma(gx[:8] + gh[:8]), sigma(gx[8:16] + gh[8:16])
+            c = np.tanh(gx[16:] + reset * gh[16:])
+            h = z * h + (1 - z) * c
+            states.append(h)
+        return states if d == "f" else states[::-1]
+
+    def logit(rows):
+        padded = np.concatenate((rows, np.zeros((toxicity.WINDOW - len(rows), toxicity.INPUTS))))  # padding is read, but not attended to
+        forth, back = read(padded, "f"), read(padded, "b")
+        e = np.array([f @ w["af"] + b @ w["ab"] + row @ w["wa"] for f, b, row in zip(forth, back, padded, strict=True)])[: len(rows)]
+        value = np.array([f @ w["of"] + b @ w["ob"] + row @ w["wo"] for f, b, row in zip(forth, back, padded, strict=True)])[: len(rows)]
+        alpha = np.exp(e - e.max())
+        return float((alpha / alpha.sum()) @ value + w["bias"][0])
+
+    at, wanted = 0, []
+    for n in counts.tolist():
+        own = x[at : at + n].astype(np.float64)
+        starts = [0] if 0 < n <= toxicity.WINDOW else list(range(0, n - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)) if n else []
+        assert {k for s in starts for k in range(s, min(s + toxicity.WINDOW, n))} == set(range(n))  # every word is in some window
+        wanted.append(max((logit(own[s : s + toxicity.WINDOW]) for s in starts), default=-np.inf))
+        at += n
+    assert np.allclose(toxicity.document_logits(net, x, counts), wanted, atol=1e-4)
+
+
+def test_sample_of_repeated_ids_and_bytes(spark, monkeypatch):
+    """An id that repeats gives one text to the sample, and the sample's bytes are bounded; texts without words have the least score."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda texts, toxic, seed=5: seen.append((texts, toxic.tolist())))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(20) for k in range(1 + 500 * (i == 3))] + [(5, None)], "doc_id bigint, text string").repartition(4)
+    toxicity.fit(docs, labels)
+    texts, toxic = seen.pop()
+    assert len(texts) == 20 and sorted(texts) == sorted(f"text {i} 0" for i in range(20)) and sum(toxic) == 10
+    toxicity.fit(docs, labels, most_bytes=90)
+    assert 5 <= len(seen.pop()[0]) <= 11
+
+
+def test_least_score_of_texts_without_words(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " .,; ")], "doc_id bigint, text string")), model).collect()}
+    assert scores[-1] == scores[-2] == scores[-3] <= min(scores.values()) and scores[-1] < 1e-12
