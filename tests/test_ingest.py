@@ -101,3 +101,31 @@ def test_no_task_gets_a_frequent_key(spark, kind):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_order_of_rows_over_several_files(spark, tmp_path):
+    """The order column of a folder of CSV files grows by file and, within a file, by row, over many splits; the first of duplicates is that of the first file."""
+    from oxidara.sources.store import read_inspections
+
+    header = "tail,component,serial,month,usage_hours,reading\n"
+    folder = tmp_path / "feed.csv"
+    folder.mkdir()
+    number = 0
+    for name in ("part-2.csv", "part-0.csv", "part-1.csv"):
+        rows = [f"T{i % 6},A1,{i // 30},{i % 30},40,{number + i}\n" for i in range(1500)]
+        (folder / name).write_text(header + "".join(rows))
+        number += 10_000
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_inspections(spark, str(folder), "place")
+        got = [float(r["reading"]) for r in rows.orderBy("place").collect()]
+        assert rows.rdd.getNumPartitions() > 6
+        assert got == [x + i for x in (10_000.0, 20_000.0, 0.0) for i in range(1500)]  # part-0, part-1, part-2
+        screened = ingest.screen(rows, spark.createDataFrame([(f"T{t}",) for t in range(6)], "tail string"), ["A1"], 30, ["place"], upper_fence=1e9, jump=1e9)
+        kept = sorted(r["reading"] for r in ingest.clean(screened).collect())
+        assert kept == [10_000.0 + i for i in range(1500)]  # the other two files repeat its keys
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
