@@ -7,10 +7,11 @@ numbers them; blocks of consecutive numbers are the windows.  A query looks at i
 curve, the blocks give their best candidates, and these are merged and reranked by the exact cosine.
 
 How far a query looks is measured, not guessed: for a bounded sample of queries, the exact neighbours are found by
-one pass over all vectors in blocks, and the half-width is what brings TARGET of them into some window.  Structured data thus get narrow
-windows.  Independent random vectors of many dimensions have no structure that a projection keeps: there the windows grow to most of the table,
-as they must for the recall that is asked for, and the search does the work of a brute-force one, spread over blocks.  ``nearest`` reports the
-half-width, the share of the table that a query reads and the sample's recall in ``report``.
+one pass over all vectors in blocks.  For each number of curves, the half-width that brings TARGET of them into some window is known then, and the number with the fewest
+candidates in all is taken.  Structured data get narrow windows on several curves.  Independent random vectors of many dimensions have no structure that a projection
+keeps: there windows must grow to most of the table for the recall that is asked for, and one curve with such windows is read rather than four, the
+work of a brute-force search, spread over blocks.  ``nearest`` reports the curves, the half-width, the share of the table that a query reads and the sample's recall in
+``report``; ``exact`` is the way without windows.
 
 A group of the comparison holds one block of candidates and at most about MOST_QUERIES queries; where more are within reach, they are dealt over
 several groups.
@@ -19,7 +20,7 @@ Of identical vectors only the k + 1 smallest ids are candidates: no other one ca
 
 Results for unusual rows: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do vectors of a
 length that is not the commonest, nor rows with a null id; ties go to the smaller id; queries with fewer candidates than k
-get all of those found; an empty table gives no rows; other columns are ignored.
+get all of those found; a row is its own if it has its id, so of rows that repeat an id none is a candidate of another; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query.  queries: a condition on vec_id.
 
-    report gets half_width, share (of the candidates that a query reads at most on one curve) and recall (of the sample, by the windows alone)."""
+    report gets curves, half_width, share (of the candidates that a query reads at most, over all curves) and recall (of the sample, by the windows alone)."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -204,14 +205,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     starts = numbered.groupBy("curve", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     placed = numbered.join(F.broadcast(starts), ["curve", "part"]).withColumn("place", F.col("place") + F.col("start")).drop("part", "start")
 
-    width, recall = _half_width(everything, placed, some(False, SAMPLE_QUERIES), k)
+    total = max(sum(count.values()), 1)
+    used, width, recall = _half_width(everything, placed, some(False, SAMPLE_QUERIES), k, total)
     block = int(np.clip(width // 4, LEAST_BLOCK, MOST_BLOCK))
     reach = -(-width // block)
-    span, total = (2 * reach + 1) * block, max(sum(count.values()), 1)
+    span = (2 * reach + 1) * block
     chunks = max(1, -(-min(span, total) * count.get(False, 0) // (total * MOST_QUERIES)))
     if report is not None:
-        report |= {"half_width": width, "share": min(1.0, span / total), "recall": recall}
-    blocked = placed.withColumn("block", F.expr(f"CAST(place DIV {block} AS INT)")).drop("place")
+        report |= {"curves": used, "half_width": width, "share": used * min(1.0, span / total), "recall": recall}
+    blocked = placed.where(F.col("curve") < used).withColumn("block", F.expr(f"CAST(place DIV {block} AS INT)")).drop("place")
     members = blocked.where("candidate").select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v").toDF("of_curve", "of_block", "of_chunk", "member", "vector")
     probes = blocked.where("NOT candidate").select("curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "v")
 
@@ -244,22 +246,27 @@ def exact(vectors: DataFrame, asked: list, k: int = 5) -> DataFrame:
     return _rank(vectors.select("vec_id", "v").mapInArrow(scan, "query_id bigint, vec_id bigint, score double"), k)
 
 
-def _half_width(everything: DataFrame, placed: DataFrame, sample: DataFrame, k: int) -> tuple[int, float]:
-    """How far from a query on the nearest of the curves TARGET of the sample's true neighbours lie, and the share that is within."""
+def _half_width(everything: DataFrame, placed: DataFrame, sample: DataFrame, k: int, total: int) -> tuple[int, int, float]:
+    """How many curves to read, how far from a query on the nearest of them TARGET of the sample's true neighbours lie, and the share that is within: for the fewest candidates."""
     asked = sample.select("vec_id", "v").collect()  # at most 2 * SAMPLE_QUERIES
     if not asked:
-        return LEAST_BLOCK, 1.0
+        return CURVES, LEAST_BLOCK, 1.0
     true = exact(everything.where("candidate"), asked, k)
     pairs = [(row["query_id"], row["vec_id"]) for row in true.select("query_id", "vec_id").collect()]  # k for each sampled query
     if not pairs:
-        return LEAST_BLOCK, 1.0
+        return CURVES, LEAST_BLOCK, 1.0
     wanted = everything.sparkSession.createDataFrame([(row["vec_id"], False) for row in asked] + [(b, True) for _, b in pairs], "vec_id bigint, candidate boolean").distinct()
     at: dict[tuple, np.ndarray] = {}
     for row in placed.join(F.broadcast(wanted), ["vec_id", "candidate"]).select("vec_id", "candidate", "curve", "place").collect():
         at.setdefault((row["vec_id"], row["candidate"]), np.full(CURVES, -(1 << 40), dtype=np.int64))[row["curve"]] = row["place"]
-    far = np.array([np.abs(at[a, False] - at[b, True]).min() for a, b in pairs if (a, False) in at and (b, True) in at])
-    width = int(np.quantile(far, TARGET, method="higher")) + LEAST_BLOCK // 2
-    return width, float((far <= width).mean())
+    apart = np.array([np.abs(at[a, False] - at[b, True]) for a, b in pairs if (a, False) in at and (b, True) in at])
+    found = []
+    for used in range(1, CURVES + 1):
+        far = apart[:, :used].min(axis=1)
+        width = int(np.quantile(far, TARGET, method="higher")) + LEAST_BLOCK // 2
+        found.append((used * min(2 * width, total), -used, width, float((far <= width).mean())))
+    _, used, width, share = min(found)
+    return -used, width, share
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:
