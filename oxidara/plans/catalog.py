@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxidara.functions.rounding import half_even, half_even_sql
-from oxidara.functions.special import hermite
+from oxidara.functions.special import hermite, register
 from oxidara.operators import faults, forecast, ingest, ranks, report, scoring, wear
 from oxidara.plans import scorecard
 from oxidara.sources.store import examples, settle
@@ -209,6 +209,13 @@ def q_rul_cdf_monthly(spark, d):
     return found.select("chan", F.posexplode("cdf").alias("month", "p")).select("chan", (F.col("month") + 1).alias("month"), F.round("p", 6).alias("p"))
 
 
+def q_failure_cdf_sql(spark, d):
+    """Failures within the horizon by the SQL function rul_cdf: no row leaves the JVM."""
+    register(spark)
+    inputs = "x0, la_mu, la_var, beta, threshold, usage"
+    return _whole_state(spark, d).selectExpr("chan", f"round(rul_cdf({inputs}, {HORIZON}), 6) AS pfail", f"round(rul_cdf({inputs}, 1), 6) AS p_first_month")
+
+
 def q_expected_failures(spark, d):
     found = forecast.expected_by_month(forecast.forecast(_whole_state(spark, d), HORIZON))
     return found.select("month", F.round("expected", 4).alias("expected"), F.round("variance", 4).alias("variance"))
@@ -493,6 +500,7 @@ def oracle_sql() -> dict[str, str]:
         "unit_state": _STATE + "SELECT chan, basis, fault, n_incr, round(shrink, 5) AS shrink, round(x0, 5) AS x0, round(usage, 5) AS usage FROM state",
         "examples_by_basis": _STATE + "SELECT basis, comp, min(chan) AS chan FROM state GROUP BY basis, comp",
         "rul_cdf_monthly": _MONTHLY + "SELECT chan, CAST(t AS INT) AS month, round(p, 6) AS p FROM cdf",
+        "failure_cdf_sql": _MONTHLY + f"SELECT chan, max(round(p, 6)) FILTER (t = {HORIZON}) AS pfail, max(round(p, 6)) FILTER (t = 1) AS p_first_month FROM cdf GROUP BY chan",
         "rul": _quantiles() + "SELECT chan, round(max(month) FILTER (prob = 0.05), 3) AS p05, round(max(month) FILTER (prob = 0.5), 3) AS p50, round(max(month) FILTER (prob = 0.95), 3) AS p95, any_value(round(p, 6)) AS pfail FROM quantiles JOIN cdf USING (chan) WHERE t = " + str(HORIZON) + " GROUP BY chan",
         "expected_failures": _MONTHLY
         + "SELECT CAST(t AS INT) AS month, round(sum(f), 4) AS expected, round(sum(f * (1 - f)), 4) AS variance FROM (SELECT t, p - coalesce(lag(p) OVER (PARTITION BY chan ORDER BY t), 0) AS f FROM cdf) GROUP BY t",
