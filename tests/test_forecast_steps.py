@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from oxidara.functions import special
-from oxidara.operators import faults
+from oxidara.operators import faults, forecast
 from oxidara.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -20,6 +20,16 @@ def test_ledger_isolates_faults_once(spark, monkeypatch):
     assert "seg_before" not in plan  # the scan is in no plan that is still to run
 
 
+def _never(*_):
+    raise AssertionError("quantiles are sought")
+
+
+@pytest.mark.parametrize("name", ["rul_cdf_monthly"])
+def test_monthly_probabilities_seek_no_quantile(spark, monkeypatch, name):
+    monkeypatch.setattr(forecast, "forecast", _never)
+    assert catalog.queries()[name](spark, DATA).count()
+
+
 def _units(n):
     r = np.random.default_rng(3)
     return r.uniform(0, 7.9, n), r.normal(-0.8, 0.3, n), r.choice([0.0, 0.001, 0.04, 0.5], n), r.uniform(0.01, 0.9, n), np.full(n, 7.9), r.choice([0.0, 5.0, 27.0, 300.0], n)
