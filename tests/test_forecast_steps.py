@@ -24,7 +24,7 @@ def _never(*_):
     raise AssertionError("quantiles are sought")
 
 
-@pytest.mark.parametrize("name", ["rul_cdf_monthly"])
+@pytest.mark.parametrize("name", ["rul_cdf_monthly", "expected_failures"])
 def test_monthly_probabilities_seek_no_quantile(spark, monkeypatch, name):
     monkeypatch.setattr(forecast, "forecast", _never)
     assert catalog.queries()[name](spark, DATA).count()
