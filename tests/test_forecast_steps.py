@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oxidara.functions import special
 from oxidara.operators import faults, forecast
@@ -24,12 +25,20 @@ def _never(*_):
     raise AssertionError("quantiles are sought")
 
 
-@pytest.mark.parametrize("name", ["rul_cdf_monthly", "expected_failures"])
+@pytest.mark.parametrize("name", ["rul_cdf_monthly", "expected_failures", "fleet_totals"])
 def test_monthly_probabilities_seek_no_quantile(spark, monkeypatch, name):
     monkeypatch.setattr(forecast, "forecast", _never)
     assert catalog.queries()[name](spark, DATA).count()
 
 
+def test_top_risk_seeks_quantiles_of_its_rows_only(spark, monkeypatch):
+    whole, seen = forecast.forecast, []
+    wanted = whole(catalog._whole_state(spark, DATA), catalog.HORIZON).orderBy(F.desc(F.round("pfail", 5)), "chan").limit(catalog.TOP).select("chan", F.round("pfail", 5)).collect()
+    monkeypatch.setattr(forecast, "forecast", lambda state, horizon: seen.append(state.count()) or whole(state, horizon))
+    found = catalog.flagship(spark, DATA).select("chan", "pfail").collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in wanted] and seen == [len(wanted)]
+
+
 def _units(n):
     r = np.random.default_rng(3)
     return r.uniform(0, 7.9, n), r.normal(-0.8, 0.3, n), r.choice([0.0, 0.001, 0.04, 0.5], n), r.uniform(0.01, 0.9, n), np.full(n, 7.9), r.choice([0.0, 5.0, 27.0, 300.0], n)
