@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oxidara.functions import special
-from oxidara.operators import faults, forecast
+from oxidara.operators import faults, forecast, wear
 from oxidara.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -31,6 +31,31 @@ def test_monthly_probabilities_seek_no_quantile(spark, monkeypatch, name):
     assert catalog.queries()[name](spark, DATA).count()
 
 
+def test_rul_computes_no_other_month(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "forecast", _never)
+    assert catalog.q_rul(spark, DATA).count()
+
+
+def test_state_keeps_a_row_per_channel_only(spark, monkeypatch):
+    kept, settle = [], catalog.settle
+    monkeypatch.setattr(catalog, "settle", lambda frame: kept.append(frame) or settle(frame))
+    state = catalog._whole_state(spark, DATA)
+    assert [f.count() for f in kept] == [state.count()]
+    assert "lineitem" not in state._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fused_state_is_that_of_its_steps(spark):
+    """A serial that comes back later, and a channel without increments."""
+    seen = [(1, "a", 0), (1, "a", 1), (1, "b", 2), (1, "b", 3), (1, "a", 4), (1, "a", 6), (2, "c", 5), (3, "d", 0), (3, "d", 9)]
+    rows = wear.sequence_columns(spark.createDataFrame([(c, c, 1, s, m, 10.0 + m, float(m)) for c, s, m in seen], "chan bigint, tail int, comp int, serial string, month int, usage_hours double, reading double"))
+    also = forecast.last_row() | wear.increment_sums()
+    found = {r["chan"]: r for r in faults.isolate(catalog._with_params(rows), None, 10, also).select("chan", *also).collect()}
+    assert {c: (r["serial"], r["month"], r["installed"]) for c, r in found.items()} == {1: ("a", 6, 0), 2: ("c", 5, 5), 3: ("d", 9, 0)}
+    sums = {r["chan"]: r for r in wear.unit_stats(wear.increments(rows)).collect()}
+    assert {c for c, r in found.items() if r["n_incr"]} == set(sums) == {1, 3} and found[2]["n_incr"] == 0
+    assert all(found[c][k] == sums[c][k] for c in sums for k in ("n_incr", "n_seg", "sdu", "sd")) and found[1]["n_seg"] == 2
+
+
 def test_top_risk_seeks_quantiles_of_its_rows_only(spark, monkeypatch):
     whole, seen = forecast.forecast, []
     wanted = whole(catalog._whole_state(spark, DATA), catalog.HORIZON).orderBy(F.desc(F.round("pfail", 5)), "chan").limit(catalog.TOP).select("chan", F.round("pfail", 5)).collect()
@@ -61,6 +86,26 @@ def test_probabilities_are_the_whole_mixture(monkeypatch):
     assert (few == found[7:10]).all()  # equal units get equal bits in any batch
 
 
+def test_quantiles_are_those_of_the_probabilities(monkeypatch):
+    units, probs = _units(400), np.array([0.05, 0.5, 0.95])
+    computed, expand = [], special._tails
+    monkeypatch.setattr(special, "_tails", lambda a, *rest: computed.append(len(a)) or expand(a, *rest))
+    found = special.failure_quantiles(*units)
+    assert sum(computed) < 450 * len(found)  # 700 by false position, and 210 for the months
+    for j, p in enumerate(probs):
+        fine = np.isfinite(found[:, j])
+        assert fine.any() and np.abs(special.failure_cdf(*(c[fine] for c in units), found[fine, j][:, None])[:, 0] - p).max() < 1e-9
+        assert (special.failure_cdf(*(c[~fine] for c in units), [72.0]) < p).all()
+    monthly = special.failure_cdf(*units, np.arange(1, 19))
+    for known in (monthly, monthly[:, -1:]):
+        again = special.failure_quantiles(*units, monthly=known)
+        fine = np.isfinite(found)
+        assert (np.isfinite(again) == fine).all() and np.abs(again[fine] - found[fine]).max() < 1e-8
+    odd = [np.array(c) for c in ([7.9, 0.0, 0.0], [-0.8, -0.8, -60.0], [0.0, 0.0, 0.1], [0.05] * 3, [7.9] * 3, [27.0, 0.0, 27.0])]  # at its limit, unused, hardly worn
+    edge = special.failure_quantiles(*odd)
+    assert np.isinf(edge[1:]).all() and np.abs(special.failure_cdf(*(c[:1] for c in odd), edge[:1])[0] - probs).max() < 1e-6
+
+
 @pytest.mark.parametrize("a", [1e-4, 0.3, 1.0, 15.0, 25.0, 300.0])
 def test_absolute_probabilities(a):
     x = a * np.geomspace(1e-3, 30, 500)
